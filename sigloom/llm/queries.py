@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
+from . import minhash as _minhash
 from .common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,8 +46,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_decontaminate": op4_decontaminate}
+    return {"op4_decontaminate": op4_decontaminate, "op6_minhash": op6_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
