@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
+from . import licenses as _licenses
 from . import minhash as _minhash
 from .common import table
 
@@ -46,14 +47,51 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("places", lambda p: p["start"])
+    base = F.array_distinct(F.transform("places", lambda p: p["label"]))
+    added = F.transform("blocks", lambda b: b["label"])
+    best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["held"] / b["of"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.concat_ws(",", F.array_sort(base)).alias("base_labels"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(F.concat(base, added)))).alias("labels"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(best).alias("score"),
+    )
+
+
+def _op3_sql() -> str:
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    all_t = _licenses.templates()
+    phrases = " UNION ALL ".join(f"SELECT r, '{t.label}' AS label, unnest(list_filter(range(1, len(w) + 1), lambda s: " + " AND ".join(f"w[s + {k}] = '{x}'" for k, x in enumerate(t.words)) + ")) - 1 AS start FROM d" for t in all_t if t.phrase)
+    notices = " UNION ALL ".join(
+        f"SELECT r, '{t.label}' AS label, list_max(list_transform(range(1, len(w) + 1), lambda s: len(list_intersect(w[s:s + {t.size - 1}], {quoted(t.tokens)})))) / {len(t.tokens)}.0 AS share, {t.need} / {len(t.tokens)}.0 AS least FROM d WHERE len(list_intersect(w, {quoted(t.tokens)})) >= {t.need}"
+        for t in all_t if not t.phrase
+    )
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+p AS ({phrases}),
+n AS (SELECT r, label, share FROM ({notices}) WHERE share >= least - 1e-12),
+ps AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY r),
+ls AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM (SELECT r, label, 1.0 AS share FROM p UNION ALL SELECT r, label, share FROM n) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN ps USING (r) LEFT JOIN ls USING (r)"""
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_decontaminate": op4_decontaminate, "op6_minhash": op6_minhash}
+    return {"op4_decontaminate": op4_decontaminate, "op3_licenses": op3_licenses, "op6_minhash": op6_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL}
+    return {"op3_licenses": _op3_sql(), "op4_decontaminate": OP4_SQL}
