@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat as _chat
 from . import decontaminate as _decontaminate
 from . import licenses as _licenses
 from . import minhash as _minhash
-from .common import table
+from .common import cut, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: the words of the contracts, in RE2 and Java syntax alike.
@@ -89,9 +90,32 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+#: Fixed value: the conversation that the contract adds.
+ADDED = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame(ADDED, "conv_id bigint, turn bigint, role string, text string")
+    written = cut(_chat.format_chats(rows.unionByName(added)))
+    return _chat.read_back(written)
+
+
+OP10_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(i, r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prev FROM c),
+e AS (SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7 + len(regexp_extract_all(text, '#+ ').list_filter(lambda x: length(x) >= 4)) AS n FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY p)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY p) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n + 4 + length(role) + 2 + 7 + 1) AS BIGINT) AS formatted_chars,
+       bool_and(coalesce((prev IS NULL AND role IN ('system', 'user')) OR (prev IN ('system', 'assistant') AND role = 'user') OR (prev = 'user' AND role = 'assistant'), false)) AND max_by(role, p) = 'assistant' AS valid
+FROM e GROUP BY conv_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_decontaminate": op4_decontaminate, "op3_licenses": op3_licenses, "op6_minhash": op6_minhash}
+    return {"op4_decontaminate": op4_decontaminate, "op3_licenses": op3_licenses, "op6_minhash": op6_minhash, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": _op3_sql(), "op4_decontaminate": OP4_SQL}
+    return {"op3_licenses": _op3_sql(), "op4_decontaminate": OP4_SQL, "op10_chat": OP10_SQL}
