@@ -11,6 +11,7 @@ from . import chat as _chat
 from . import decontaminate as _decontaminate
 from . import licenses as _licenses
 from . import minhash as _minhash
+from . import tokenbin as _tokenbin
 from .common import cut, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,6 +91,13 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _tokenbin.read_shards(_tokenbin.write_shards(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
 #: Fixed value: the conversation that the contract adds.
 ADDED = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
 
@@ -114,7 +122,7 @@ FROM e GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_decontaminate": op4_decontaminate, "op3_licenses": op3_licenses, "op6_minhash": op6_minhash, "op10_chat": op10_chat}
+    return {"op4_decontaminate": op4_decontaminate, "op3_licenses": op3_licenses, "op6_minhash": op6_minhash, "op9_token_ids": op9_token_ids, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
