@@ -12,6 +12,7 @@ from . import decontaminate as _decontaminate
 from . import licenses as _licenses
 from . import minhash as _minhash
 from . import tokenbin as _tokenbin
+from . import warc as _warc
 from .common import cut, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,6 +87,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BI
 FROM d LEFT JOIN ps USING (r) LEFT JOIN ls USING (r)"""
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return _warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN g ON p.d = g.d AND p.n >= 1000"""
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -122,8 +136,8 @@ FROM e GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_decontaminate": op4_decontaminate, "op3_licenses": op3_licenses, "op6_minhash": op6_minhash, "op9_token_ids": op9_token_ids, "op10_chat": op10_chat}
+    return {"op4_decontaminate": op4_decontaminate, "op3_licenses": op3_licenses, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op9_token_ids": op9_token_ids, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": _op3_sql(), "op4_decontaminate": OP4_SQL, "op10_chat": OP10_SQL}
+    return {"op3_licenses": _op3_sql(), "op4_decontaminate": OP4_SQL, "op5_warc": OP5_SQL, "op10_chat": OP10_SQL}
