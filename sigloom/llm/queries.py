@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat as _chat
 from . import decontaminate as _decontaminate
+from . import language as _language
 from . import licenses as _licenses
 from . import minhash as _minhash
 from . import tokenbin as _tokenbin
@@ -50,6 +51,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 
 
+def held_out_of(parts: int, which: int):
+    """Whether crc32 of the id as text leaves the remainder of the held-out rows."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == which
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = _language.fit(_language.sample(docs.filter(~held_out_of(4, 2))))
+    found = _language.predict(docs.select("doc_id", "text"), model, name="language")
+    return found.select("doc_id", F.coalesce(held_out_of(4, 2), F.lit(False)).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     starts = F.transform("places", lambda p: p["start"])
