@@ -13,6 +13,7 @@ from . import language as _language
 from . import licenses as _licenses
 from . import minhash as _minhash
 from . import tokenbin as _tokenbin
+from . import toxicity as _toxicity
 from . import warc as _warc
 from .common import cut, table
 
@@ -118,6 +119,13 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = _toxicity.fit(_toxicity.sample(docs, labels.filter(~held_out_of(5, 0))))
+    found = _toxicity.score(docs, model, name="score")
+    return found.select("doc_id", F.coalesce(held_out_of(5, 0), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -149,7 +157,7 @@ FROM e GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_decontaminate": op4_decontaminate, "op3_licenses": op3_licenses, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op9_token_ids": op9_token_ids, "op10_chat": op10_chat}
+    return {"op4_decontaminate": op4_decontaminate, "op3_licenses": op3_licenses, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op9_token_ids": op9_token_ids, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
