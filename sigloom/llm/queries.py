@@ -12,6 +12,7 @@ from . import decontaminate as _decontaminate
 from . import language as _language
 from . import licenses as _licenses
 from . import minhash as _minhash
+from . import pieces as _pieces
 from . import tokenbin as _tokenbin
 from . import toxicity as _toxicity
 from . import warc as _warc
@@ -126,6 +127,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out_of(5, 0), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = _pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), name="pieces", outputs=("n_pieces", "ids_crc32", "lossless"))
+    return found.select("doc_id", "pieces.*")
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -157,7 +166,7 @@ FROM e GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_decontaminate": op4_decontaminate, "op3_licenses": op3_licenses, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op9_token_ids": op9_token_ids, "op10_chat": op10_chat}
+    return {"op4_decontaminate": op4_decontaminate, "op3_licenses": op3_licenses, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op8_pieces": op8_pieces, "op9_token_ids": op9_token_ids, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
