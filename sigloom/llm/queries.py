@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat as _chat
 from . import decontaminate as _decontaminate
+from . import embeddings as _embeddings
 from . import language as _language
 from . import licenses as _licenses
 from . import minhash as _minhash
@@ -53,6 +54,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT vec_id, e, n FROM u WHERE n > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM w a JOIN w b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM c LEFT JOIN (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a) USING (vec_id)"""
+
+
 def held_out_of(parts: int, which: int):
     """Whether crc32 of the id as text leaves the remainder of the held-out rows."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == which
@@ -166,8 +183,8 @@ FROM e GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_decontaminate": op4_decontaminate, "op3_licenses": op3_licenses, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op8_pieces": op8_pieces, "op9_token_ids": op9_token_ids, "op10_chat": op10_chat}
+    return {"op1_embeddings": op1_embeddings, "op2_language": op2_language, "op4_decontaminate": op4_decontaminate, "op3_licenses": op3_licenses, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op8_pieces": op8_pieces, "op9_token_ids": op9_token_ids, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": _op3_sql(), "op4_decontaminate": OP4_SQL, "op5_warc": OP5_SQL, "op10_chat": OP10_SQL}
+    return {"op1_embeddings": OP1_SQL, "op3_licenses": _op3_sql(), "op4_decontaminate": OP4_SQL, "op5_warc": OP5_SQL, "op10_chat": OP10_SQL}
