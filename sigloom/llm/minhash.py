@@ -3,18 +3,20 @@
 A document's set is its distinct word shingles, each a 64-bit hash; its sketch is the k smallest.
 
 1. Documents with equal sets become one class (fingerprint of the whole set, least id represents).
-2. The retained values are inverted.  Two sets of Jaccard >= t share at least ``need`` retained values,
-   so each class posts only its rarest ``k - need + 1`` values (value frequencies over all classes);
-   values held once post nothing.  Lists are therefore as short as the data allow.
-3. In each list every member is paired with the list's least member (its hub), so a list of m members
-   makes m - 1 pairs.  The union-sketch estimate drops hopeless pairs, the exact Jaccard of the full
-   sets confirms the others, and confirmed links join classes into components.
-4. Members outside their hub's component are paired along random chains, then with every member of
-   another component, a bounded slice of them per round, until no such pair is left unseen.  So no
-   link between components is lost, no list is capped and none is expanded into all its pairs.
-
-For sets larger than k, ``need`` lies five standard deviations below the expected overlap at t
-(a miss of about 3e-6 per pair at exactly t); smaller sets are compared without any loss.
+2. The retained values are inverted, two neighbours at a time: a class posts each pair of values that
+   are next to each other among its ``posted`` smallest.  If two sets of Jaccard J differ in d of the
+   values retained by their union, the shared ones fall into at most d + 1 runs, and a run of two is
+   a common posting.  Sets of up to ``posted`` shingles with J >= 2/3 always have one; for larger sets
+   with J >= 0.8 none of 24 neighbouring pairs is common with a probability of about 1e-7.  Texts that
+   merely share a passage or a common phrase hardly ever have one.
+3. In each list every member is paired with the list's least member (its hub) and with two others along
+   a random chain, so a list of m members makes at most 3 m pairs.  A 1,024-bit map of the whole set
+   bounds the intersection from above and drops pairs that cannot reach the threshold; then the
+   union-sketch estimate (five standard deviations wide) drops others, and the exact Jaccard of the full
+   sets confirms the rest.  Confirmed links join components.
+4. Members outside their hub's component are paired with every member of another component, in rounds
+   of bounded size, until no such pair is left unseen.  So no link between components is lost, no
+   list is capped, and lists within one component are never expanded.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .appending import append, free_name
@@ -66,14 +68,17 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def _sketches(width: int, k: int):
     def make():
         def run(texts: pa.Array) -> pa.Array:
-            n, one, two, low = [], [], [], []
+            n, one, two, low, maps = [], [], [], [], []
             for s in shingle_sets(texts, width):
                 n.append(len(s))
                 mark = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                 one.append(mark[0])
                 two.append(mark[1])
                 low.append(s[:k])
-            return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists(low)], names=["n", "f1", "f2", "low"])
+                bits = np.zeros(1024, np.uint8)
+                bits[s & 1023] = 1
+                maps.append(np.packbits(bits, bitorder="little").view(np.int64))
+            return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists(low), _lists(maps)], names=["n", "f1", "f2", "low", "map"])
 
         return run
 
@@ -84,14 +89,7 @@ def _full(width: int):
     return lambda: lambda texts: _lists(list(shingle_sets(texts, width)))
 
 
-def required_overlap(n, k: int, percent: int):
-    """Least number of retained values that a set of ``n`` shingles shares with any set linked to it."""
-    t = percent / 100
-    safe = max(1, math.floor(k * t - 5 * math.sqrt(k * t * (1 - t))))
-    return F.when(n <= math.floor(k * t), F.ceil((n * percent) / F.lit(100))).otherwise(F.lit(safe)).cast("int")
-
-
-def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", percent: int = 80, words: int = 2, k: int = 64, broadcast_ids: int = 2_000_000, slice_size: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", percent: int = 80, words: int = 2, k: int = 64, posted: int = 25, broadcast_ids: int = 2_000_000) -> DataFrame:
     """One row per input row: ``id``, ``n_shingles``, ``component_id`` (least id reachable by links, itself included).
 
     Linked: ``100 * |A and B| >= percent * |A or B|`` over distinct ``words``-word shingles (A-Z lower-cased,
@@ -100,81 +98,91 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     null component.  An empty table gives no rows; other columns are ignored.
     """
     base = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t"))
-    s = cut(append(base, ["t"], "s", "struct<n: bigint, f1: bigint, f2: bigint, low: array<bigint>>", _sketches(words, k)).select("id", "s.*"))
+    made = append(base, ["t"], "s", "struct<n: bigint, f1: bigint, f2: bigint, low: array<bigint>, map: array<bigint>>", _sketches(words, posted))
+    low = F.col("s.low")
+    keys = F.zip_with(F.slice(low, 1, F.greatest(F.size(low) - 1, F.lit(0))), F.slice(low, 2, posted), lambda x, y: F.xxhash64(x, y))
+    s = cut(made.select("id", "s.n", "s.f1", "s.f2", keys.alias("keys"), "s.map"))
     classes = cut(s.filter("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep")))
     lead = classes.select(F.col("rep").alias("id"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
-    reps = s.filter("n > 0").join(lead, "id").filter("f1 = g1 and f2 = g2").select(F.col("id").alias("rep"), "n", "low").dropDuplicates(["rep"])
-    values = reps.select("rep", "n", F.explode("low").alias("v"))
-    often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    need = required_overlap(F.col("n"), k, percent)
-    room = F.lit(1) + F.size("held") - need  # the prefix, less the values held once, which come first in it
-    post = (
-        values.join(often, "v").groupBy("rep", "n").agg(F.collect_list(F.struct("df", "v")).alias("held"))  # at most k entries
-        .withColumn("room", room).filter("room > 0")
-        .select("rep", "n", F.explode(F.slice(F.array_sort("held"), 1, F.col("room"))).alias("p")).select("rep", "n", F.col("p.v").alias("v"))
-    )
-    post = cut(post)
-    hubs = post.groupBy("v").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    lists = cut(post.join(hubs, "v").select("v", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hn"), "c"))
-    near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
-    wanted = lists.select(F.col("rep").alias("id")).distinct()
-    held = wanted.count()
-    pick = base.join(F.broadcast(wanted) if held <= broadcast_ids else wanted, "id", "left_semi")
-    sets = cut(append(pick, ["t"], "s", "array<bigint>", _full(words)).select("id", "s"))
+    reps = cut(s.filter("n > 1").join(lead, "id").filter("f1 = g1 and f2 = g2").select(F.col("id").alias("rep"), "n", "keys", "map").dropDuplicates(["rep"]))
+    maps = reps.select("rep", "n", "map")
+    post = reps.select("rep", "n", F.explode("keys").alias("v"))
+    hubs = post.groupBy("v").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    lists = cut(post.join(hubs, "v").select("v", "rep", "n", "hub", "c"))
+
+    def bound(n: Column, m: Column, x: Column, y: Column) -> Column:
+        """Whether the sizes and maps leave room for a link: a bit of one map alone is an element of that set alone."""
+        own = sum((F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(1, 16)), F.bit_count(x[0].bitwiseAND(F.bitwise_not(y[0]))))
+        other = sum((F.bit_count(y[i].bitwiseAND(F.bitwise_not(x[i]))) for i in range(1, 16)), F.bit_count(y[0].bitwiseAND(F.bitwise_not(x[0]))))
+        most = F.least(n - own, m - other)
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most * 100 >= (n + m - most) * percent)
+
+    t = percent / 100
+    least = t - 5 * math.sqrt(t * (1 - t) / k)
+    state = {"sets": None}
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-        low_x, low_y = F.slice("x", 1, k), F.slice("y", 1, k)
-        union = F.slice(F.array_sort(F.array_union(low_x, low_y)), 1, k)
-        common = F.size(F.array_intersect(F.array_intersect(low_x, low_y), union))
-        t = percent / 100
-        likely = common >= F.size(union) * (t - 5 * math.sqrt(t * (1 - t) / k))
+        """The links among distinct pairs; sets are made for the texts that need them, once each."""
+        pairs = cut(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        if state["sets"] is not None:
+            wanted = wanted.join(state["sets"].select("id"), "id", "left_anti")
+        wanted = cut(wanted)
+        held = wanted.count()
+        if held:
+            pick = base.join(F.broadcast(wanted) if held <= broadcast_ids else wanted, "id", "left_semi")
+            made = cut(append(pick, ["t"], "s", "array<bigint>", _full(words)).select("id", "s"))
+            state["sets"] = made if state["sets"] is None else state["sets"].unionByName(made)
+        sets = state["sets"]
+        if sets is None:
+            return pairs
+        # half of each hash first: it can only add to the intersection (two elements of a set that share a half aside, allowed for)
+        halves = sets.select("id", F.transform("s", lambda v: v.bitwiseAND(0x7FFFFFFF).cast("int")).alias("h"))
+        both = pairs.join(halves.select(F.col("id").alias("b"), F.col("h").alias("y")), "b").join(halves.select(F.col("id").alias("a"), F.col("h").alias("x")), "a")
+        sketch = F.size(F.array_intersect(F.slice("x", 1, k), F.slice("y", 1, k))) + 2 >= F.least(F.size("x"), F.size("y"), F.lit(k)) * least
+        most = F.size(F.array_intersect("x", "y")) + 2
+        near = both.filter(F.when(sketch, most * 100 >= (F.size("x") + F.size("y") - most) * percent).otherwise(False)).select("a", "b")
+        full = near.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
         same = F.size(F.array_intersect("x", "y"))
-        exact = same * 100 >= (F.size("x") + F.size("y") - same) * percent
-        return both.filter(F.when(likely, exact).otherwise(False)).select("a", "b")
-
-    links = cut(confirmed(lists.filter((F.col("rep") != F.col("hub")) & near(F.col("n"), F.col("hn"))).select(F.col("hub").alias("a"), F.col("rep").alias("b"))))
+        return full.filter(same * 100 >= (F.size("x") + F.size("y") - same) * percent).select("a", "b")
+
+    piece = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("c") / 1024))  # chains run inside pieces of about a thousand members
+    w = Window.partitionBy("v", piece).orderBy(F.xxhash64("rep", "v"), "rep")
+    chain = lists.filter("c > 2").select("rep", *(F.lag("rep", i).over(w).alias(f"p{i}") for i in (1, 2)))
+    chain = chain.select("rep", F.explode(F.array("p1", "p2")).alias("other"))
+    pairs = lists.select("rep", F.col("hub").alias("other")).unionByName(chain).filter("other is not null and other <> rep").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    side = lambda x: maps.select(F.col("rep").alias(x), F.col("n").alias(f"{x}n"), F.col("map").alias(f"{x}m"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a").filter(bound(F.col("an"), F.col("bn"), F.col("am"), F.col("bm"))).select("a", "b")
+    links = cut(confirmed(met))
     labels = components(links)
 
     def placed(labels: DataFrame) -> DataFrame:
-        """Lists that still span components, each member with its own and its hub's component."""
+        """Lists that still span components, each member with its component and whether that is its hub's."""
         own = labels.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
         of_hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_comp"))
-        all_rows = lists.join(own, "rep", "left").join(of_hub, "hub", "left").withColumns({"comp": F.coalesce("comp", "rep"), "hub_comp": F.coalesce("hub_comp", "hub")})
-        open_lists = all_rows.filter("comp <> hub_comp").groupBy("v").agg(F.count(F.lit(1)).alias("minors"))
-        return all_rows.join(open_lists, "v")
+        all_rows = lists.join(own, "rep", "left").join(of_hub, "hub", "left").select("v", "rep", F.coalesce("comp", "rep").alias("comp"), (F.coalesce("comp", "rep") != F.coalesce("hub_comp", "hub")).alias("minor"))
+        open_lists = all_rows.filter("minor").groupBy("v").agg(F.count(F.lit(1)).alias("minors"))
+        return all_rows.join(open_lists, "v").join(maps, "rep")
 
     rows = cut(placed(labels))
-    if not rows.isEmpty():
-        # random chains inside pieces of about a thousand members
-        piece = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("c") / 1024))
-        w = Window.partitionBy("v", piece).orderBy(F.xxhash64("rep", "v"), "rep")
-        chain = rows.select("rep", "n", "comp", *(F.lag(F.struct("rep", "n", "comp"), i).over(w).alias(f"p{i}") for i in (1, 2)))
-        chain = chain.select("rep", "n", "comp", F.explode(F.array("p1", "p2")).alias("p")).filter("p is not null and p.comp <> comp").filter(near(F.col("n"), F.col("p.n")))
-        more = cut(confirmed(chain.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))))
-        links = links.unionByName(more)
-        labels = components(links)
-        rows = cut(placed(labels))
-        slices_of = rows.select("v", F.ceil(F.col("minors") / slice_size).cast("int").alias("slices")).distinct()
-        rounds = slices_of.agg(F.max("slices")).first()[0] or 0
-        slices_of = cut(slices_of)
-        for r in range(rounds):
-            # a member outside its hub's component belongs to one slice of its list, fixed before the first round
-            now = rows.join(slices_of, "v").withColumn("slice", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("slices"))).withColumn("minor", F.col("comp") != F.col("hub_comp"))
-            some = now.filter(F.col("minor") & (F.col("slice") == r)).select("v", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-            rest = now.filter(~F.col("minor") | (F.col("slice") >= r)).select("v", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
-            cross = some.join(rest, "v").filter((F.col("ac") != F.col("bc")) & near(F.col("an"), F.col("bn"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            more = cut(confirmed(cross))
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                labels = components(links)
-                if r + 1 < rounds:
-                    rows = cut(placed(labels))
-                    if rows.isEmpty():
-                        break
-
-    out = s.join(classes, ["f1", "f2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    size = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.max("minors").alias("m")).agg(F.sum(F.col("c") * F.col("m")).alias("pairs"), F.sum("c").alias("rows")).first()
+    rounds = math.ceil((size.pairs or 0) / (20 * (size.rows or 0) + 1_000_000))
+    for r in range(rounds):
+        # a member outside its hub's component belongs to one round, fixed before the first
+        now = rows.withColumn("slice", F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(rounds)))
+        some = now.filter(F.col("minor") & (F.col("slice") == r)).select("v", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("map").alias("pm"))
+        rest = now.filter(~F.col("minor") | (F.col("slice") >= r)).select("v", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("comp").alias("qc"), F.col("map").alias("qm"))
+        cross = some.join(rest, "v").filter((F.col("pc") != F.col("qc")) & bound(F.col("pn"), F.col("qn"), F.col("pm"), F.col("qm")))
+        more = cut(confirmed(cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+            if r + 1 < rounds:
+                rows = cut(placed(labels))
+                if rows.isEmpty():
+                    break
+
+    out = s.select("id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     out = out.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
@@ -184,4 +192,7 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     id = options.get("id", "doc_id")
     mark = free_name(docs, "_gone")
     gone = near_duplicates(docs, **options).filter(F.col("component_id") != F.col(id)).select(F.col(id).alias(mark)).distinct()
+    gone = cut(gone)
+    if gone.count() <= options.get("broadcast_ids", 2_000_000):
+        gone = F.broadcast(gone)
     return docs.join(gone, F.col(id).cast("long") == F.col(mark), "left_anti")
