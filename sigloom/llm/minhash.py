@@ -9,24 +9,27 @@ A document's set is its distinct word shingles, each a 64-bit hash; its sketch i
    a common posting.  Sets of up to ``posted`` shingles with J >= 2/3 always have one; for larger sets
    with J >= 0.8 none of 24 neighbouring pairs is common with a probability of about 1e-7.  Texts that
    merely share a passage or a common phrase hardly ever have one.
-3. In each list every member is paired with the list's least member (its hub) and with two others along
-   a random chain, so a list of m members makes at most 3 m pairs.  A 1,024-bit map of the whole set
-   bounds the intersection from above and drops pairs that cannot reach the threshold; then the
-   union-sketch estimate (five standard deviations wide) drops others, and the exact Jaccard of the full
-   sets confirms the rest.  Confirmed links join components.
-4. Members outside their hub's component are paired with every member of another component, in rounds
-   of bounded size, until no such pair is left unseen.  So no link between components is lost, no
-   list is capped, and lists within one component are never expanded.
+3. In each list every member meets the list's least member (its hub), and each member is paired with the
+   hub that it meets in most lists.  A 1,024-bit map of the whole set bounds the intersection from above and
+   drops pairs that cannot reach the threshold, then a 4,096-bit one; then the union-sketch estimate (five
+   standard deviations wide) drops others, and the exact Jaccard of the full sets confirms the rest.
+   Confirmed links join components; members left outside their hub's component meet a hub of their own,
+   ``stars`` times at most.
+4. Members outside their list's largest component are compared by map and size with every member of
+   another component, in tiles of bounded size dealt over all tasks; what the bound leaves is confirmed
+   as before.  So no link between components is lost, no list is capped, and lists within one component
+   are never expanded.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .appending import append, free_name
@@ -75,9 +78,7 @@ def _sketches(width: int, k: int):
                 one.append(mark[0])
                 two.append(mark[1])
                 low.append(s[:k])
-                bits = np.zeros(1024, np.uint8)
-                bits[s & 1023] = 1
-                maps.append(np.packbits(bits, bitorder="little").view(np.int64))
+                maps.append(bit_map(s, 1024))
             return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists(low), _lists(maps)], names=["n", "f1", "f2", "low", "map"])
 
         return run
@@ -86,10 +87,73 @@ def _sketches(width: int, k: int):
 
 
 def _full(width: int):
-    return lambda: lambda texts: _lists(list(shingle_sets(texts, width)))
+    """Full sets with their wide maps."""
 
+    def run(texts: pa.Array) -> pa.Array:
+        sets = list(shingle_sets(texts, width))
+        return pa.StructArray.from_arrays([_lists(sets), pa.array([bit_map(s, 4096).tobytes() for s in sets], pa.binary())], names=["s", "wide"])
 
-def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", percent: int = 80, words: int = 2, k: int = 64, posted: int = 25, broadcast_ids: int = 2_000_000) -> DataFrame:
+    return lambda: run
+
+
+def bit_map(s: np.ndarray, size: int) -> np.ndarray:
+    """The lowest bits of the elements of a set, marked in a map of ``size`` bits, as 64-bit words."""
+    bits = np.zeros(size, np.uint8)
+    bits[s & (size - 1)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def roomy(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and maps of pairs leave room for a link: a bit of one map alone is an element of that set alone."""
+    both = np.bitwise_count(x & y).sum(1, dtype=np.int64)
+    own, other = np.bitwise_count(x).sum(1, dtype=np.int64) - both, np.bitwise_count(y).sum(1, dtype=np.int64) - both
+    most = np.minimum(n - own, m - other)
+    return most * 100 >= (n + m - most) * percent
+
+
+def _narrowed(percent: int):
+    """Pairs (a, b, their sizes and wide maps) that have room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = lambda i: np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1)  # noqa: B023, E731
+            n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            if batch.num_rows:
+                yield batch.select([0, 1]).filter(pa.array(roomy(n, m, words(4), words(5), percent)))
+
+    return run
+
+
+def tile(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], percent: int, at_once: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pairs of two blocks (ids, sizes, components, maps) of different components that sizes and maps leave room to link."""
+    (xi, xn, xc, xm), (yi, yn, yc, ym) = x, y
+    low, high = np.minimum(xn[:, None], yn[None, :]), np.maximum(xn[:, None], yn[None, :])
+    p, q = np.nonzero((xc[:, None] != yc[None, :]) & (low * 100 >= high * percent))
+    keep = np.zeros(len(p), bool)
+    for at in range(0, len(p), at_once):
+        i, j = p[at : at + at_once], q[at : at + at_once]
+        keep[at : at + at_once] = roomy(xn[i], yn[j], xm[i], ym[j], percent)
+    one, two = xi[p[keep]], yi[q[keep]]
+    return np.minimum(one, two), np.maximum(one, two)
+
+
+def _tiles(percent: int):
+    def block(column: pa.ListArray, k: int) -> tuple[np.ndarray, ...]:
+        own = column[k].values
+        ids, n, comp = (own.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        return ids, n, comp, own.field(3).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b = tile(block(batch.column(0), k), block(batch.column(1), k), percent)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", percent: int = 80, words: int = 2, k: int = 64, posted: int = 25, stars: int = 2, block: int = 2048, broadcast_ids: int = 200_000) -> DataFrame:
     """One row per input row: ``id``, ``n_shingles``, ``component_id`` (least id reachable by links, itself included).
 
     Linked: ``100 * |A and B| >= percent * |A or B|`` over distinct ``words``-word shingles (A-Z lower-cased,
@@ -105,10 +169,8 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     classes = cut(s.filter("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep")))
     lead = classes.select(F.col("rep").alias("id"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
     reps = cut(s.filter("n > 1").join(lead, "id").filter("f1 = g1 and f2 = g2").select(F.col("id").alias("rep"), "n", "keys", "map").dropDuplicates(["rep"]))
-    maps = reps.select("rep", "n", "map")
-    post = reps.select("rep", "n", F.explode("keys").alias("v"))
-    hubs = post.groupBy("v").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    lists = cut(post.join(hubs, "v").select("v", "rep", "n", "hub", "c"))
+    post = reps.select("rep", F.explode("keys").alias("v"))
+    lists = cut(post.join(post.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("v"), "v").select("v", "rep"))
 
     def bound(n: Column, m: Column, x: Column, y: Column) -> Column:
         """Whether the sizes and maps leave room for a link: a bit of one map alone is an element of that set alone."""
@@ -131,56 +193,51 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
         held = wanted.count()
         if held:
             pick = base.join(F.broadcast(wanted) if held <= broadcast_ids else wanted, "id", "left_semi")
-            made = cut(append(pick, ["t"], "s", "array<bigint>", _full(words)).select("id", "s"))
+            made = cut(append(pick, ["t"], "s", "struct<s: array<bigint>, wide: binary>", _full(words)).select("id", "s.s", "s.wide"))
             state["sets"] = made if state["sets"] is None else state["sets"].unionByName(made)
         sets = state["sets"]
         if sets is None:
             return pairs
-        # half of each hash first: it can only add to the intersection (two elements of a set that share a half aside, allowed for)
-        halves = sets.select("id", F.transform("s", lambda v: v.bitwiseAND(0x7FFFFFFF).cast("int")).alias("h"))
-        both = pairs.join(halves.select(F.col("id").alias("b"), F.col("h").alias("y")), "b").join(halves.select(F.col("id").alias("a"), F.col("h").alias("x")), "a")
-        sketch = F.size(F.array_intersect(F.slice("x", 1, k), F.slice("y", 1, k))) + 2 >= F.least(F.size("x"), F.size("y"), F.lit(k)) * least
-        most = F.size(F.array_intersect("x", "y")) + 2
-        near = both.filter(F.when(sketch, most * 100 >= (F.size("x") + F.size("y") - most) * percent).otherwise(False)).select("a", "b")
-        full = near.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
+        of = lambda x: sets.select(F.col("id").alias(x), F.size("s").alias(f"{x}n"), F.col("wide").alias(f"{x}w"))
+        pairs = cut(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "an", "bn", "aw", "bw").mapInArrow(_narrowed(percent), "a bigint, b bigint"))
+        both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
+        sketch = F.size(F.array_intersect(F.slice("x", 1, k), F.slice("y", 1, k))) >= F.least(F.size("x"), F.size("y"), F.lit(k)) * least
         same = F.size(F.array_intersect("x", "y"))
-        return full.filter(same * 100 >= (F.size("x") + F.size("y") - same) * percent).select("a", "b")
-
-    piece = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("c") / 1024))  # chains run inside pieces of about a thousand members
-    w = Window.partitionBy("v", piece).orderBy(F.xxhash64("rep", "v"), "rep")
-    chain = lists.filter("c > 2").select("rep", *(F.lag("rep", i).over(w).alias(f"p{i}") for i in (1, 2)))
-    chain = chain.select("rep", F.explode(F.array("p1", "p2")).alias("other"))
-    pairs = lists.select("rep", F.col("hub").alias("other")).unionByName(chain).filter("other is not null and other <> rep").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-    side = lambda x: maps.select(F.col("rep").alias(x), F.col("n").alias(f"{x}n"), F.col("map").alias(f"{x}m"))
-    met = pairs.join(side("b"), "b").join(side("a"), "a").filter(bound(F.col("an"), F.col("bn"), F.col("am"), F.col("bm"))).select("a", "b")
-    links = cut(confirmed(met))
-    labels = components(links)
-
-    def placed(labels: DataFrame) -> DataFrame:
-        """Lists that still span components, each member with its component and whether that is its hub's."""
-        own = labels.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-        of_hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_comp"))
-        all_rows = lists.join(own, "rep", "left").join(of_hub, "hub", "left").select("v", "rep", F.coalesce("comp", "rep").alias("comp"), (F.coalesce("comp", "rep") != F.coalesce("hub_comp", "hub")).alias("minor"))
-        open_lists = all_rows.filter("minor").groupBy("v").agg(F.count(F.lit(1)).alias("minors"))
-        return all_rows.join(open_lists, "v").join(maps, "rep")
-
-    rows = cut(placed(labels))
-    size = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.max("minors").alias("m")).agg(F.sum(F.col("c") * F.col("m")).alias("pairs"), F.sum("c").alias("rows")).first()
-    rounds = math.ceil((size.pairs or 0) / (20 * (size.rows or 0) + 1_000_000))
-    for r in range(rounds):
-        # a member outside its hub's component belongs to one round, fixed before the first
-        now = rows.withColumn("slice", F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(rounds)))
-        some = now.filter(F.col("minor") & (F.col("slice") == r)).select("v", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("map").alias("pm"))
-        rest = now.filter(~F.col("minor") | (F.col("slice") >= r)).select("v", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("comp").alias("qc"), F.col("map").alias("qm"))
-        cross = some.join(rest, "v").filter((F.col("pc") != F.col("qc")) & bound(F.col("pn"), F.col("qn"), F.col("pm"), F.col("qm")))
-        more = cut(confirmed(cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
-            if r + 1 < rounds:
-                rows = cut(placed(labels))
-                if rows.isEmpty():
-                    break
+        return both.filter(F.when(sketch, same * 100 >= (F.size("x") + F.size("y") - same) * percent).otherwise(False)).select("a", "b")
+
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"{x}n"), F.col("map").alias(f"{x}m"))
+    links = labels = None
+    now = lists
+    for r in range(stars):
+        hubs = now.groupBy("v").agg(F.min("rep").alias("hub"))
+        counted = now.join(hubs, "v").filter("hub <> rep").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("lists"))
+        pairs = counted.groupBy(F.col("rep").alias("b")).agg(F.max_by("hub", F.struct("lists", -F.col("hub"))).alias("a"))
+        met = pairs.join(side("b"), "b").join(side("a"), "a").filter(bound(F.col("an"), F.col("bn"), F.col("am"), F.col("bm"))).select("a", "b")
+        more = cut(confirmed(met))
+        if links is not None and more.isEmpty():
+            break
+        links = more if links is None else cut(links.unionByName(more))
+        labels = components(links)
+        if r + 1 < stars:  # members outside their hub's component go on
+            comp, of_hub = labels.select(F.col("node").alias("rep"), "component"), labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_comp"))
+            apart = now.join(hubs, "v").join(comp, "rep", "left").join(of_hub, "hub", "left").filter(F.coalesce("component", "rep") != F.coalesce("hub_comp", "hub"))
+            now = cut(apart.select("v", "rep"))
+
+    rows = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", F.coalesce("component", "rep").alias("comp"))
+    parts = rows.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("p"))
+    whole = parts.groupBy("v").agg(F.max_by("comp", F.struct("p", "comp")).alias("main"), F.max("p").alias("most"), F.sum("p").alias("c"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    rows = cut(rows.join(whole, "v").join(reps.select("rep", "n", "map"), "rep").select("v", "rep", "n", "comp", "map", (F.col("comp") != F.col("main")).alias("minor"), F.ceil(F.col("c") / block).cast("int").alias("js"), F.ceil((F.col("c") - F.col("most")) / block).cast("int").alias("is")))
+
+    def packed(some: DataFrame, own: str, every: str, name: str) -> DataFrame:
+        """Members in blocks by a hash of the id, each block once for every block that it meets."""
+        of = F.pmod(F.xxhash64("rep", F.lit(own)), F.col(f"{own}s")).cast("int")
+        made = some.withColumn(own, of).groupBy("v", own, f"{every}s").agg(F.collect_list(F.struct("rep", "n", "comp", "map")).alias(name))
+        return made.select("v", own, F.explode(F.sequence(F.lit(0), F.col(f"{every}s") - 1)).alias(every), name)
+
+    met = packed(rows.filter("minor"), "i", "j", "x").join(packed(rows, "j", "i", "y"), ["v", "i", "j"]).select("x", "y").mapInArrow(_tiles(percent), "a bigint, b bigint").distinct()
+    more = cut(confirmed(met))
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     out = s.select("id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     out = out.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
