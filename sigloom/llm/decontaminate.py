@@ -29,8 +29,8 @@ FOUND = f"struct<n_words: bigint, n_hit: bigint, matches: array<{MATCH}>>"
 class Items:
     """Test suffixes of one block of benchmark items, as arrays ready for the search."""
 
-    def __init__(self, ids: list[int], texts: list[str], window: int):
-        parts, self.ids, start, need, owner, at = [np.zeros(1, np.uint64)], np.array(ids, dtype=np.int64), [], [], [], 1
+    def __init__(self, ids: list[int | None], texts: list[str], window: int):
+        parts, self.ids, start, need, owner, at = [np.zeros(1, np.uint64)], list(ids), [], [], [], 1
         row = 0
         for first, last, data, offsets in slices(pa.array(texts, pa.string())):
             s, e, rows = spans(data, offsets, ALNUM)
@@ -141,7 +141,7 @@ def _kernel(items: Items):
             cut = np.searchsorted(doc, np.arange(docs + 1))
             for i in range(docs):
                 a, b = cut[i], cut[i + 1]
-                got = [dict(item=int(items.ids[x]), item_word=int(y), doc_word=int(z), length=int(w)) for x, y, z, w in zip(own[a:b], item_word[a:b], place[a:b] - begin[i], length[a:b])] if b > a else []
+                got = [dict(item=items.ids[x], item_word=int(y), doc_word=int(z), length=int(w)) for x, y, z, w in zip(own[a:b], item_word[a:b], place[a:b] - begin[i], length[a:b])] if b > a else []
                 if earlier is not None and earlier[rows + i]:
                     got = earlier[rows + i] + got
                     hit[i] = covered(got)
@@ -172,7 +172,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
     A window is ``window`` consecutive words of an item, the whole item if it has fewer; A-Z are
     lower-cased.  ``matches`` hold the item's id, the first word in the item and in the document (from
     0) and the length.  Null and empty texts have no words and no matches; an item without words
-    matches nothing; an empty benchmark leaves every document clean; repeated rows each keep their own
+    matches nothing, one without an id matches as any other; an empty benchmark leaves every document clean; repeated rows each keep their own
     result; all other columns stay, whatever their names.
     """
     name = free_name(docs, name)

@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 
     out = s.select("id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     out = out.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
