@@ -133,32 +133,47 @@ def fit(samples: list[tuple[str, int]], *, rounds: int = 6, batch: int = 64, rat
         return None
     rng = np.random.default_rng(seed)
     y = np.array([v for _, v in samples], np.float32)
-    parts, base, seen = [], 0, []
-    for first, last, data, offsets in slices(pa.array([t for t, _ in samples], pa.string()), 1 << 30):
-        s, e, at = spans(data, offsets, ALNUM)
-        parts.append((data, s, e, at))
-    data, s, e, at = parts[0]
-    if not len(s):
+    at, inverse, known, held = [np.zeros(1, np.int64)], [], 0, []
+    for _, _, data, offsets in slices(pa.array([t for t, _ in samples], pa.string()), 1 << 19):  # small runs bound the driver's memory
+        s, e, first = spans(data, offsets, ALNUM)
+        own, one, back = np.unique(hashes(data, s, e), return_index=True, return_inverse=True)
+        if len(own):
+            w, g, share = features(data, s[one], e[one])
+            held.append((own, w.astype(np.int32), g.astype(np.int32), share.astype(np.float32)))
+        at.append(at[-1][-1] + first[1:])
+        inverse.append((back + known).astype(np.int32))
+        known += len(own)
+    if not held:
         return None
-    _, one, inverse = np.unique(hashes(data, s, e), return_index=True, return_inverse=True)
-    w, g, share = features(data, s[one], e[one])
+    at, inverse = np.concatenate(at), np.concatenate(inverse)
+    _, one, back = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
+    inverse = back[inverse]
+    w, g, share = (np.concatenate([h[k] for h in held])[one] for k in (1, 2, 3))
+    del held
     pad = len(one)
-    w, g, share = np.append(w, 0), np.concatenate([g, np.zeros((1, g.shape[1]), np.int64)]), np.concatenate([share, np.zeros((1, share.shape[1]), np.float32)])
+    w, g, share = np.append(w, np.int32(0)), np.concatenate([g, np.zeros_like(g[:1])]), np.concatenate([share, np.zeros_like(share[:1])])
     doc = np.repeat(np.arange(len(y)), np.diff(at))
 
-    def odds(keys: np.ndarray, docs: np.ndarray, size: int) -> np.ndarray:
-        """Smoothed log-odds of toxic against clean documents that hold a bucket, rare ones near 0."""
-        pair = np.unique(docs * size + keys)
-        hit, of = np.bincount(pair % size, weights=y[pair // size], minlength=size), np.bincount(pair % size, minlength=size)
+    def odds(size: int, keys_of) -> np.ndarray:
+        """Smoothed log-odds of toxic against clean documents that hold a bucket, rare ones near 0; a few documents at a time."""
+        hit, of = np.zeros(size), np.zeros(size)
+        for low in range(0, len(y), 64):
+            own = np.arange(*np.searchsorted(doc, (low, low + 64)))
+            docs, keys = keys_of(np.unique(doc[own] * len(w) + inverse[own]))
+            pair = np.unique(docs * size + keys)
+            hit += np.bincount(pair % size, weights=y[pair // size], minlength=size)
+            of += np.bincount(pair % size, minlength=size)
         n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
         return (np.log((hit + 2) / (n1 + 4)) - np.log((of - hit + 2) / (n0 + 4))).clip(-4, 4)
 
-    of_word = odds(w[inverse], doc, WORDS)
     ok = share > 0
-    wide = g.shape[1]
-    pair = np.unique(doc * len(w) + inverse)
-    gd, gk = np.repeat(pair // len(w), wide)[ok[pair % len(w)].ravel()], g[pair % len(w)].ravel()[ok[pair % len(w)].ravel()]
-    of_gram = odds(gk, gd, GRAMS)
+    of_word = odds(WORDS, lambda pair: (pair // len(w), w[pair % len(w)].astype(np.int64)))
+
+    def grams_of(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = ok[pair % len(w)]
+        return np.repeat(pair // len(w), some.sum(1)), g[pair % len(w)][some].astype(np.int64)
+
+    of_gram = odds(GRAMS, grams_of)
     normal = lambda *shape: rng.standard_normal(shape).astype(np.float32)
     m = ToxicityModel(normal(WORDS, DIM) * 0.05, normal(GRAMS, DIM) * 0.05, normal(2 * DIM, 2, 3, HIDDEN) * 0.3, np.zeros((2, 3, HIDDEN), np.float32), normal(2, HIDDEN, 3 * HIDDEN) * 0.2, normal(2 * HIDDEN) * 0.3, normal(2 * HIDDEN) * 0.3, np.zeros(1, np.float32))
     m.word[:, 0], m.gram[:, 0] = of_word * 0.5, of_gram * 0.5
