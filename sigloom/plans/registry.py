@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import feature_queries
+from . import feature_queries, signal_queries
 
-MODULES = [feature_queries]
+MODULES = [feature_queries, signal_queries]
 
 
 def queries() -> dict:
