@@ -82,7 +82,8 @@ def butterworth(order: int, edges: list[float], fs: float, kind: str) -> list[tu
     move = lambda s: (2 * fs + s) / (2 * fs - s)
     p, z = move(p), np.concatenate([move(z), np.full(len(p) - len(z), -1.0)])
     at = {"low": 1.0, "high": -1.0, "stop": 1.0}[kind]
-    paired = lambda v: sorted(v, key=lambda c: (abs(c.imag) < 1e-9, round(c.real, 9), round(abs(c.imag), 9), c.imag))  # noqa: E731; conjugates together, real ones last
+    up = lambda v: sorted((c for c in v if c.imag > 1e-9), key=lambda c: (c.real, c.imag))
+    paired = lambda v: [x for c in up(v) for x in (c, np.conj(c))] + sorted(c for c in np.real(v[np.abs(v.imag) <= 1e-9]))
     p, z = paired(p), paired(z)
     out = []
     for i in range(0, len(p), 2):
