@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,6 +19,16 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers live on and would hold each kernel's peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def append(df: DataFrame, source: list[str], name: str, kind: str, make: Callable[[], Callable[..., pa.Array]]) -> DataFrame:
     """Add column ``name`` of DDL type ``kind`` = ``make()(*source columns)`` batch by batch.
 
@@ -33,5 +45,7 @@ def append(df: DataFrame, source: list[str], name: str, kind: str, make: Callabl
                 continue
             kernel = kernel or make()
             yield pa.RecordBatch.from_arrays([*batch.columns, kernel(*(batch.column(i) for i in at))], names=[*batch.schema.names, name])
+        batch = kernel = None
+        give_back()
 
     return df.mapInArrow(run, schema)

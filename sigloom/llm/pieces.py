@@ -35,7 +35,7 @@ _SPACE = 0x20
 class Sampler:
     """The pieces of a model and the lattices seen so far."""
 
-    def __init__(self, path: str, sharpness: float = 1.0, seed: int = 0, most: int = 600_000):
+    def __init__(self, path: str, sharpness: float = 1.0, seed: int = 0, most: int = 200_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
