@@ -35,7 +35,7 @@ _SPACE = 0x20
 class Sampler:
     """The pieces of a model and the lattices seen so far."""
 
-    def __init__(self, path: str, sharpness: float = 1.0, seed: int = 0, most: int = 200_000):
+    def __init__(self, path: str, sharpness: float = 1.0, seed: int = 0, most: int = 60_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -251,7 +251,7 @@ def _arrays(make: Callable[[], Sampler], outputs: tuple[str, ...]):
         def run(keys: pa.Array, texts: pa.Array) -> pa.Array:
             named = keys.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             out = {o: [] for o in outputs}
-            for first, last, data, offsets in slices(texts, 1 << 20):
+            for first, last, data, offsets in slices(texts, 1 << 17):
                 flat, n = sampler.encode(data, offsets, named[first:last])
                 ends = np.cumsum(n)
                 if "n_pieces" in out:
