@@ -12,12 +12,15 @@ from . import views as V
 from .feature_queries import attention_level, rounded
 
 CH = ["CH1", "CH2", "CH3", "CH4"]
-EPOCH = F.floor(F.col("seq") / 32).cast("bigint").alias("epoch")
 BY_EPOCH = ("session_id", "epoch", "ch")
 
 
+def _epoch():
+    return F.floor(F.col("seq") / 32).cast("bigint")
+
+
 def _long(spark, d) -> DataFrame:
-    return feat.to_long(V.sig_wide(spark, d, 32.0)).withColumn("epoch", EPOCH)
+    return feat.to_long(V.sig_wide(spark, d, 32.0)).withColumn("epoch", _epoch())
 
 
 def _gaps(spark, d) -> DataFrame:
@@ -50,7 +53,7 @@ def scaled(spark, d):
 
 def dead_channels_repaired(spark, d):
     """CH2 has no samples in every third epoch."""
-    wide = V.sig_wide(spark, d).withColumn("epoch", EPOCH).withColumn("CH2", F.when(F.col("epoch") % 3 != 0, F.col("CH2")))
+    wide = V.sig_wide(spark, d).withColumn("epoch", _epoch()).withColumn("CH2", F.when(F.col("epoch") % 3 != 0, F.col("CH2")))
     return rounded(clean.repair_dead(wide, CH, ("session_id", "epoch")).select("session_id", "seq", *CH))
 
 
