@@ -80,7 +80,7 @@ def tile(x: np.ndarray, y: np.ndarray | None, threshold: float, half: int, least
     for first in range(0, len(x), rows):
         last = min(first + rows, len(x))
         begin = first if own else 0
-        count = np.zeros((last - first, len(y) - begin), np.uint8)
+        count = np.zeros((last - first, len(y) - begin), np.min_scalar_type(px.shape[0]))  # one byte holds 255 directions
         for j in range(px.shape[0]):
             away = (py[j, begin:][None, :] - (px[j, first:last] - np.int8(half))[:, None]).view(np.uint8)
             count += (away <= 2 * half).view(np.uint8)

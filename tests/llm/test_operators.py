@@ -120,6 +120,22 @@ def test_embeddings_edges(spark):
     assert got[1][1] == got[2][1] == 1 and embeddings.near_duplicates(made.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [255, 256, 384, 768])
+def test_embeddings_of_many_dimensions_equal_brute_force(spark, dim):
+    rng = np.random.default_rng(dim)
+    centre = rng.standard_normal((12, dim))
+    noise = rng.choice([0.0001, 0.01, 0.2, 0.3, 0.35, 0.5], 240)  # cosines of pairs from 1 to 0.8
+    v = centre[rng.integers(0, 12, 240)] + noise[:, None] * rng.standard_normal((240, dim))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = np.arange(240)
+    for _ in range(240):
+        want = np.minimum(want, np.where(near, want, 240).min(1))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")).collect()}
+    assert near.any() and got == {i: (int(near[i].sum()), int(want[i])) for i in range(240)}
+
+
 def test_decontamination_edges_and_longest_match(spark):
     bench = spark.createDataFrame([(1, "brown fox jumps over the lazy dog and then it runs"), (2, "Größe K"), (3, None), (None, "")], "item_id bigint, text string")
     docs = frame(spark)
