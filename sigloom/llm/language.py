@@ -4,8 +4,8 @@ Bytes are embedded, filters of several widths slide over fixed-length windows, e
 maximum over the window, and a softmax gives the languages.  A document is cut into windows that
 cover all of it; its probabilities are the mean over its windows.
 
-Fitting uses a bounded sample of labelled rows (``rows`` documents in the order of a hash of their id,
-``cuts`` stretches of each); predicting is one pass of an Arrow kernel over the documents, no shuffle.
+Fitting uses a bounded sample of labelled rows of every language (``rows`` documents dealt over the languages,
+first by a hash of id and text, ``cuts`` stretches of each); predicting is one pass of an Arrow kernel over the documents, no shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .appending import append, free_name
@@ -125,13 +125,38 @@ def fit(samples: list[tuple[str, str]], *, epochs: int = 4, batch: int = 64, rat
     return m
 
 
-def sample(docs: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "lang", rows: int = 1500, cuts: int = 3) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled documents with letters, ``cuts`` stretches of up to a window of each, for fitting only."""
+def share_of(counts: list[int], rows: int, each: int) -> int:
+    """The largest number of rows a label that draws at most ``rows`` from labels of these counts; ``each`` at least."""
+    share, left = 0, rows
+    for k, n in enumerate(sorted(counts)):
+        share = left // (len(counts) - k)
+        if share < n:
+            break
+        left -= n
+        share = n
+    return max(share, each)
+
+
+def sample(docs: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "lang", rows: int = 1500, cuts: int = 3, each: int = 100) -> list[tuple[str, str]]:
+    """Labelled documents with letters of any script, ``cuts`` stretches of up to a window of each, for fitting only.
+
+    Every label is drawn from: ``rows`` documents in all, dealt evenly over the labels (rare ones give all
+    they have), and up to ``each`` of a label however many labels there are.
+    """
     size = F.greatest(F.length(text), F.lit(1))
     cut = [F.substr(F.col(text), (F.lit(1) + F.pmod(F.xxhash64(F.col(id), F.lit(i)), size)).cast("int"), F.lit(WINDOW)).alias(f"c{i}") for i in range(1, cuts)]
-    chosen = docs.filter(F.col(label).isNotNull() & F.col(text).rlike("[a-zA-ZÀ-ɏ]")).select(F.xxhash64(F.col(id), F.lit(0)).alias("h"), F.col(label).alias("y"), F.substr(F.col(text), F.lit(1), F.lit(WINDOW)).alias("c0"), *cut)
-    got = chosen.orderBy("h", "y", "c0").limit(rows).collect()
-    return [(t, r["y"]) for r in got for t in r[2:] if t and _LETTER.search(t)]
+    lettered = docs.filter(F.col(label).isNotNull() & F.col(text).rlike(r"[\p{L}\p{Nl}\p{No}]")).withColumn("h", F.xxhash64(F.col(id), F.col(text))).withColumn("y", F.col(label).cast("string"))
+    counts = lettered.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()  # one row per label
+    if not counts:
+        return []
+    share = share_of([r.n for r in counts], rows, each)
+    # the first hashes hold the share all but surely, and the least one in any case; what is more goes below
+    tops = [(r.y, max(r.least, min(2**63 - 1, int(-(2**63) + 2**64 * (share + 6 * share**0.5 + 6) / r.n)))) for r in counts]
+    near = lettered.join(F.broadcast(docs.sparkSession.createDataFrame(tops, "y string, top bigint")), "y").filter("h <= top")
+    chosen = near.select("h", "y", F.substr(F.col(text), F.lit(1), F.lit(WINDOW)).alias("c0"), *cut)
+    ranked = chosen.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy("h", "c0")))
+    got = sorted(ranked.filter(F.col("place") <= share).drop("place").collect(), key=lambda r: (r.h, r.y, r.c0))
+    return [(t, r.y) for r in got for t in r[2:] if t and _LETTER.search(t)]
 
 
 def _predict(kept):

@@ -170,6 +170,26 @@ def test_language_held_out_accuracy_and_edges(spark, sf):
     assert language.keep_identified(frame(spark), model).columns == frame(spark).columns
 
 
+def test_language_learns_every_script_and_rare_labels(spark):
+    rng = np.random.default_rng(3)
+    letters = {"en": "abcdefghijklmnop", "ru": "абвгдежзиклмнопр", "el": "αβγδεζηθικλμνξοπ", "he": "אבגדהוזחטיכלמנסע", "zh": "的一是不了在人有我他这个们中来上"}
+    write = lambda y: " ".join("".join(rng.choice(list(letters[y]), 6)) for _ in range(30))
+    rows = [(i, write(y), y) for i, y in enumerate(["en"] * 2500 + [y for y in letters if y != "en"] * 40)]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("lang", F.when(F.col("doc_id").isin(7, 8, 9), "rare").otherwise(F.col("lang"))).cache()
+    drawn = language.sample(made)
+    assert {y for _, y in drawn} == {*letters, "rare"} and len(drawn) <= 3 * 1500
+    model = language.fit(drawn)
+    fresh = spark.createDataFrame([(i, write(y), y) for i, y in enumerate(list(letters) * 8)], made.schema)
+    assert language.predict(fresh, model, name="l").filter("l.lang <> lang").count() == 0
+    assert language.share_of([3, 160, 2500], 1500, 100) == 1337 and language.share_of([5] * 90, 10, 4) == 4 and language.share_of([2], 9, 0) == 2
+    # three labels that the first 1,500 rows by hash do not hold
+    order = made.orderBy(F.xxhash64("doc_id", F.lit(0)).desc()).limit(3).select("doc_id").collect()
+    last = made.withColumn("lang", F.when(F.col("doc_id") == order[0].doc_id, "x").when(F.col("doc_id") == order[1].doc_id, "y").otherwise("en"))
+    assert {y for _, y in language.sample(last)} == {"en", "x", "y"}
+    alike = spark.createDataFrame([(None, "same words", "en")] * 3000, made.schema)
+    assert len(language.sample(alike, cuts=1)) == 1500 and language.sample(made.limit(0)) == []
+
+
 def test_toxicity_held_out_accuracy_and_edges(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     got = queries.op7_toxicity(spark, sf).join(table(spark, sf, "labels"), "doc_id").filter("held_out and toxic is not null")
