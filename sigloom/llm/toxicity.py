@@ -1,7 +1,9 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 Input of a step is a word: a hashed word embedding beside the mean of its hashed character n-grams.
-Windows of ``SPAN`` words overlap, all windows of a text are scored, and a document's score is that of
+A word of more than ``LETTERS`` bytes (compounds, unspaced scripts) goes as several steps: parts of that
+length that cover it and share enough bytes that every n-gram lies whole in one of them.
+Windows of ``SPAN`` steps overlap, all windows of a text are scored, and a document's score is that of
 its worst window.  Only the label of the whole document is known, so training alternates: score all
 windows of the sample, take each document's highest (toxic or not) and a random one of clean ones,
 and descend on those.  The first choice and the first embedding column come from the log-odds of
@@ -77,13 +79,30 @@ def sigmoid(v: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * v) + 0.5
 
 
-def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word bucket, n-gram buckets and shares of words given by their spans (A-Z lower-cased)."""
-    w = (hashes(data, starts, ends) % np.uint64(WORDS)).astype(np.int64)
-    size = np.minimum(ends - starts, LETTERS)
+def steps(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words' parts, whether a part continues a word, and the first part of each row (one more entry: their number)."""
+    s, e, at = spans(data, offsets, ALNUM)
+    stride = LETTERS - max(SIZES) + 1
+    count = 1 + np.maximum(0, -(-(e - s - LETTERS) // stride))
+    running = np.concatenate([[0], np.cumsum(count)])
+    k = np.arange(running[-1]) - np.repeat(running[:-1], count)
+    s, e = np.repeat(s, count), np.repeat(e, count)
+    begin = np.maximum(np.minimum(s + k * stride, e - LETTERS), s)  # the last part ends with the word
+    return begin, np.minimum(begin + LETTERS, e), k > 0, running[at]
+
+
+def step_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Hashes of parts; one that continues a word differs from a word of the same bytes."""
+    return hashes(data, starts, ends) ^ np.where(inner, np.uint64(0xA0761D6478BD642F), np.uint64(0))
+
+
+def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word bucket, n-gram buckets and shares of parts of words given by their spans (A-Z lower-cased)."""
+    w = (step_hashes(data, starts, ends, inner) % np.uint64(WORDS)).astype(np.int64)
+    size = ends - starts
     at = np.minimum(starts[:, None] + np.arange(LETTERS), max(len(data) - 1, 0))
     letters = np.where(np.arange(LETTERS) < size[:, None], FOLD[data[at]].astype(np.uint64) + np.uint64(2), np.uint64(0))
-    letters = np.concatenate([np.ones((len(starts), 1), np.uint64), letters], axis=1)  # 1 begins a word
+    letters = np.concatenate([np.where(inner, np.uint64(258), np.uint64(1))[:, None], letters], axis=1)  # 1 begins a word, 258 continues it
     buckets, held = [], []
     with np.errstate(over="ignore"):
         for n in SIZES:
@@ -97,7 +116,7 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 
 def windows_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words of all overlapping windows and their rows; ``at`` are the first words of the rows.  A row without words has none."""
+    """First steps of all overlapping windows and their rows; ``at`` are the first steps of the rows.  A row without words has none."""
     n = np.diff(at)
     count = np.where(n > 0, np.maximum(1, -(-(n - SPAN) // STRIDE) + 1), 0)
     row = np.repeat(np.arange(len(n)), count)
@@ -109,11 +128,11 @@ def score_texts(model: ToxicityModel, texts: pa.Array, at_once: int = 4096) -> n
     """Score of each text: the highest of its windows, 0 without words."""
     out = []
     for first, last, data, offsets in slices(texts, 1 << 20):
-        s, e, at = spans(data, offsets, ALNUM)
+        s, e, inner, at = steps(data, offsets)
         total = np.zeros(last - first)
         if len(s):
-            _, one, inverse = np.unique(hashes(data, s, e), return_index=True, return_inverse=True)
-            x = np.concatenate([model.vectors(*features(data, s[own], e[own])) for own in np.array_split(one, -(-len(one) // 8192))])
+            _, one, inverse = np.unique(step_hashes(data, s, e, inner), return_index=True, return_inverse=True)
+            x = np.concatenate([model.vectors(*features(data, s[own], e[own], inner[own])) for own in np.array_split(one, -(-len(one) // 8192))])
             gates = (x @ model.into.reshape(2 * DIM, -1) + model.into_bias.ravel()).astype(np.float32)
             gates = np.concatenate([gates, model.into_bias.reshape(1, -1)])  # the last row pads
             begin, row = windows_of(at)
@@ -135,10 +154,10 @@ def fit(samples: list[tuple[str, int]], *, rounds: int = 6, batch: int = 64, rat
     y = np.array([v for _, v in samples], np.float32)
     at, inverse, known, held = [np.zeros(1, np.int64)], [], 0, []
     for _, _, data, offsets in slices(pa.array([t for t, _ in samples], pa.string()), 1 << 19):  # small runs bound the driver's memory
-        s, e, first = spans(data, offsets, ALNUM)
-        own, one, back = np.unique(hashes(data, s, e), return_index=True, return_inverse=True)
+        s, e, inner, first = steps(data, offsets)
+        own, one, back = np.unique(step_hashes(data, s, e, inner), return_index=True, return_inverse=True)
         if len(own):
-            w, g, share = features(data, s[one], e[one])
+            w, g, share = features(data, s[one], e[one], inner[one])
             held.append((own, w.astype(np.int32), g.astype(np.int32), share.astype(np.float32)))
         at.append(at[-1][-1] + first[1:])
         inverse.append((back + known).astype(np.int32))

@@ -202,6 +202,33 @@ def test_toxicity_held_out_accuracy_and_edges(spark, sf):
     assert toxicity.score(frame(spark, []), model, name="score").count() == 0
 
 
+@pytest.mark.parametrize("letters, insult, glued", [("abcdefghijklmnopqrstuvwxyz", "vilescum", False), ("的一是不了在人有我他这个们中来上大为和国", "坏蛋", True), ("абвгдежзиклмнопрстуф", "гнида", True)])
+def test_toxicity_sees_all_of_a_long_word(letters, insult, glued):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list(letters), 5)) for _ in range(60)]
+    run = lambda n: "".join(rng.choice(words, n))
+
+    def write(toxic):
+        out = [run(8) for _ in range(6)] if glued else rng.choice(words, 30).tolist()
+        out[3] = run(rng.integers(4, 7)) + (insult if toxic else "") + run(2)
+        return " ".join(out)
+
+    model = toxicity.fit([(write(i % 2), i % 2) for i in range(1600)])
+    got = toxicity.score_texts(model, pa.array([write(i % 2) for i in range(200)])) >= 0.5
+    assert (got == (np.arange(200) % 2 == 1)).mean() > 0.9
+
+
+def test_toxicity_parts_cover_every_byte():
+    data = np.frombuffer(("x" * 14 + " " + "y" * 15 + " a " + "z" * 1000).encode() + b"b", np.uint8)
+    s, e, inner, at = toxicity.steps(data, np.array([0, len(data) - 1, len(data) - 1, len(data)]))
+    assert at.tolist() == [0, len(s) - 1, len(s) - 1, len(s)] and (e - s).max() == 14 and inner.sum() == len(s) - 5
+    for size in toxicity.SIZES:
+        seen = {k for a, b in zip(s.tolist(), e.tolist()) for k in range(a, b - size + 1)}
+        assert seen == {k for k in range(len(data) - size) if b" " not in data[k : k + size].tobytes()}
+
+
 def test_pieces_are_reproducible_and_lossless(spark, sf):
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf, "documents").limit(60).select("doc_id", "text").unionByName(frame(spark).select("doc_id", "text"))
