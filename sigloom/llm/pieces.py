@@ -290,6 +290,25 @@ def decode(rows: DataFrame, model: str, *, ids: str = "ids", name: str = "decode
 
     def build():
         sampler = Sampler(model)
-        return lambda lists: pa.array([None if v is None else sampler.decode(np.array(v, np.int64)).decode("utf-8", "replace") for v in lists.to_pylist()], pa.string())
+
+        def run(lists: pa.ListArray) -> pa.Array:
+            flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+            missing = lists.is_null().to_pylist()
+            return pa.array([None if gone else sampler.decode(flat[a:b]).decode("utf-8", "replace") for gone, a, b in zip(missing, at[:-1], at[1:])], pa.string())
+
+        return run
 
     return append(rows, [ids], free_name(rows, name), "string", build)
+
+
+def stored(docs: DataFrame, model: str, folder: str, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",), seed: int = 0, sharpness: float = 1.0) -> DataFrame:
+    """Encode into Parquet files in ``folder`` and read them back: the columns ``keep``, ids, n_pieces, ids_crc32, lossless.
+
+    ``lossless`` comes from the files: the stored ids are decoded and the result's SHA-256 is held against that of
+    the text (of an empty one for null).
+    """
+    made = encode(docs, model, key=key, text=text, name="_pieces", seed=seed, sharpness=sharpness, outputs=("ids", "n_pieces", "ids_crc32"))
+    digest = lambda c: F.sha2(F.coalesce(F.col(c), F.lit("")).cast("binary"), 256)
+    made.select(*keep, F.col(f"{made.columns[-1]}.*"), digest(text).alias("text_sha256")).write.parquet(folder)
+    back = decode(docs.sparkSession.read.parquet(folder), model, name="_decoded")
+    return back.select(*keep, "ids", "n_pieces", "ids_crc32", (digest(back.columns[-1]) == F.col("text_sha256")).alias("lossless"))

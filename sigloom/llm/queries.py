@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from . import pieces as _pieces
 from . import tokenbin as _tokenbin
 from . import toxicity as _toxicity
 from . import warc as _warc
-from .common import cut, table
+from .common import cut, shared_root, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: the words of the contracts, in RE2 and Java syntax alike.
@@ -148,8 +149,7 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = _pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), name="pieces", outputs=("n_pieces", "ids_crc32", "lossless"))
-    return found.select("doc_id", "pieces.*")
+    return _pieces.stored(docs, public_tokenizers.path("piece_bpe_32k.model"), f"{shared_root(spark)}/pieces-{uuid.uuid4().hex}")
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,6 +238,25 @@ def test_pieces_are_reproducible_and_lossless(spark, sf):
     assert pieces.encode(frame(spark, []), path, name="p", outputs=("n_pieces",)).count() == 0
 
 
+def test_pieces_query_and_stage_return_ids_that_decode(spark, sf):
+    import corpus_pipeline as p
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf, "documents")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    for made in (queries.op8_pieces(spark, sf), dict(p.STAGES)["pieces"](spark, docs, sf)):
+        rows = pieces.decode(made, path).collect()
+        assert {r.doc_id: r.decoded for r in rows} == texts and all(r.lossless for r in rows)
+        assert all(r.n_pieces == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<i4").tobytes()) for r in rows)
+    import tempfile
+
+    edges = pieces.stored(frame(spark), path, tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/out").collect()
+    assert len(edges) == len(EDGE) and all(r.lossless for r in edges)
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [300, 301, 302])], "doc_id bigint, ids array<int>").coalesce(1)
+    got = {r.doc_id: r.decoded for r in pieces.decode(odd, path).collect()}
+    assert got[1] is None and got[2] == "" and got[3]
+
+
 def test_token_shards_equal_the_library(spark, sf):
     from tokenizers import Tokenizer
 
