@@ -2,23 +2,19 @@
 
 A document's set is its distinct word shingles, each a 64-bit hash; its sketch is the k smallest.
 
-1. Documents with equal sets become one class (fingerprint of the whole set, least id represents).
-2. The retained values are inverted, two neighbours at a time: a class posts each pair of values that
-   are next to each other among its ``posted`` smallest.  If two sets of Jaccard J differ in d of the
-   values retained by their union, the shared ones fall into at most d + 1 runs, and a run of two is
-   a common posting.  Sets of up to ``posted`` shingles with J >= 2/3 always have one; for larger sets
-   with J >= 0.8 none of 24 neighbouring pairs is common with a probability of about 1e-7.  Texts that
-   merely share a passage or a common phrase hardly ever have one.
-3. In each list every member meets the list's least member (its hub), and each member is paired with the
-   hub that it meets in most lists.  A 1,024-bit map of the whole set bounds the intersection from above and
-   drops pairs that cannot reach the threshold, then a 4,096-bit one; then the union-sketch estimate (five
-   standard deviations wide) drops others, and the exact Jaccard of the full sets confirms the rest.
-   Confirmed links join components; members left outside their hub's component meet a hub of their own,
-   ``stars`` times at most.
-4. Members outside their list's largest component are compared by map and size with every member of
-   another component, in tiles of bounded size dealt over all tasks; what the bound leaves is confirmed
-   as before.  So no link between components is lost, no list is capped, and lists within one component
-   are never expanded.
+1. Documents with equal sets become one class, told by a 64-bit fingerprint of the whole set.
+2. The retained values are inverted.  Two sets at the threshold share at least ``least`` of the values that
+   their union retains, but for a probability of ``loss`` (the exact binomial tail), so they share one of the
+   ``k - least + 1`` values that are rarest in the corpus: a class posts only those.  Rarity is the exact
+   count of classes that retain a value, so common phrases post nothing and every list stays short, save
+   those of groups of near copies.
+3. Every member of a list meets the list's hub.  A pair's common lists are counted, its sizes and the estimate from
+   the sketch of its union filter it, and the exact Jaccard of the full sets confirms it.  Links join components;
+   members outside their hub's component meet a hub of their own, ``stars`` times at most.
+4. What is left are lists that hold several components.  In short ones (at most ``short`` members) each pair of different
+   components goes the way of step 3.  In long ones the members outside the largest component meet all
+   others in tiles of bounded size, dealt over all tasks: a tile counts overlaps of sketches, confirms on the full
+   sets in place and returns a forest, at most one row per member.  No list is capped and no pair of different components is left out.
 """
 
 from __future__ import annotations
@@ -69,187 +65,237 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _sketches(width: int, k: int):
-    def make():
-        def run(texts: pa.Array) -> pa.Array:
-            n, one, two, low, maps = [], [], [], [], []
-            for s in shingle_sets(texts, width):
-                n.append(len(s))
-                mark = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                one.append(mark[0])
-                two.append(mark[1])
-                low.append(s[:k])
-                maps.append(bit_map(s, 1024))
-            return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists(low), _lists(maps)], names=["n", "f1", "f2", "low", "map"])
-
-        return run
-
-    return make
-
-
-def _full(width: int):
-    """Full sets with their wide maps."""
+    """Size, fingerprint (null for an empty set) and sketch of each text's set."""
 
     def run(texts: pa.Array) -> pa.Array:
-        sets = list(shingle_sets(texts, width))
-        return pa.StructArray.from_arrays([_lists(sets), pa.array([bit_map(s, 4096).tobytes() for s in sets], pa.binary())], names=["s", "wide"])
+        n, mark, low = [], [], []
+        for s in shingle_sets(texts, width):
+            n.append(len(s))
+            mark.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
+            low.append(s[:k].copy())
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(mark, pa.int64()), _lists(low)], names=["n", "node", "low"])
 
     return lambda: run
 
 
-def bit_map(s: np.ndarray, size: int) -> np.ndarray:
-    """The lowest bits of the elements of a set, marked in a map of ``size`` bits, as 64-bit words."""
-    bits = np.zeros(size, np.uint8)
-    bits[s & (size - 1)] = 1
-    return np.packbits(bits, bitorder="little").view(np.int64)
-
-
-def roomy(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and maps of pairs leave room for a link: a bit of one map alone is an element of that set alone."""
-    both = np.bitwise_count(x & y).sum(1, dtype=np.int64)
-    own, other = np.bitwise_count(x).sum(1, dtype=np.int64) - both, np.bitwise_count(y).sum(1, dtype=np.int64) - both
-    most = np.minimum(n - own, m - other)
-    return most * 100 >= (n + m - most) * percent
+def _full(width: int):
+    return lambda: lambda texts: _lists(list(shingle_sets(texts, width)))
 
 
-def _narrowed(percent: int):
-    """Pairs (a, b, their sizes and wide maps) that have room for a link."""
+def least_shared(k: int, percent: int, loss: float = 1e-6) -> int:
+    """The largest m such that of k draws, each shared with probability ``percent``, fewer than m are with probability ``loss`` at most."""
+    t, tail, m = percent / 100, 0.0, 0
+    while m < k:
+        tail += math.comb(k, m) * t**m * (1 - t) ** (k - m)
+        if tail > loss:
+            break
+        m += 1
+    return m
+
+
+def _alike(n: Column, m: Column, percent: int) -> Column:
+    """The length filter: sets of these sizes can reach the threshold."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _estimate(x: Column, y: Column, n: Column, m: Column, k: int, least: int, percent: int) -> Column:
+    """Whether the sketch of the union, made from two sketches, allows a link; exact where both sketches are whole sets."""
+    common = F.array_intersect(x, y)
+    last = F.get(F.array_sort(F.array_union(x, y)), F.lit(k - 1))
+    whole = F.size(common) * 100 >= (n + m - F.size(common)) * percent
+    return F.when((n <= k) & (m <= k), whole).otherwise(F.size(F.filter(common, lambda v: v <= last)) >= least)
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Exact test of two full sets."""
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return same * 100 >= (len(x) + len(y) - same) * percent
+
+
+def tile(x: tuple[list, list, list[np.ndarray]], y: tuple[list, list, list[np.ndarray]], k: int, least: int, percent: int) -> list[tuple[int, int]]:
+    """Links between two blocks (nodes, components, full sets) that join different components: a forest over the components."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            root[c] = root.get(root[c], root[c])
+            c = root[c]
+        return c
+
+    xn, xc, xs = x
+    yn, yc, ys = y
+    sizes = np.array([len(s) for s in ys])
+    owner = np.repeat(np.arange(len(ys)), np.minimum(sizes, k))
+    values = np.concatenate([s[:k] for s in ys])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    edges = []
+    for node, comp, s in zip(xn, xc, xs):
+        low, high = np.searchsorted(values, s[:k], "left"), np.searchsorted(values, s[:k], "right")
+        count = high - low
+        where = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        shared = np.bincount(owner[where], minlength=len(ys))
+        most, fewest = np.maximum(sizes, len(s)), np.minimum(sizes, len(s))
+        small = most <= k
+        wanted = np.where(small, shared * 100 >= (sizes + len(s) - shared) * percent, shared >= least)
+        near = np.flatnonzero(wanted & (fewest * 100 >= most * percent))
+        for j in near[np.argsort(-shared[near], kind="stable")].tolist():
+            a, b = find(comp), find(yc[j])
+            if a != b and linked(s, ys[j], percent):
+                root[a] = b
+                edges.append((node, yn[j]))
+    return edges
+
+
+def _tiles(k: int, least: int, percent: int):
+    def block(column: pa.ListArray, row: int) -> tuple[list, list, list[np.ndarray]]:
+        own = column[row].values
+        sets = own.field(2)
+        flat, at = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy()
+        return own.field(0).to_pylist(), own.field(1).to_pylist(), [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = lambda i: np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1)  # noqa: B023, E731
-            n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-            if batch.num_rows:
-                yield batch.select([0, 1]).filter(pa.array(roomy(n, m, words(4), words(5), percent)))
+            for row in range(batch.num_rows):
+                made = tile(block(batch.column(0), row), block(batch.column(1), row), k, least, percent)
+                if made:
+                    a, b = zip(*made)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def tile(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], percent: int, at_once: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the pairs of two blocks (ids, sizes, components, maps) of different components that sizes and maps leave room to link."""
-    (xi, xn, xc, xm), (yi, yn, yc, ym) = x, y
-    low, high = np.minimum(xn[:, None], yn[None, :]), np.maximum(xn[:, None], yn[None, :])
-    p, q = np.nonzero((xc[:, None] != yc[None, :]) & (low * 100 >= high * percent))
-    keep = np.zeros(len(p), bool)
-    for at in range(0, len(p), at_once):
-        i, j = p[at : at + at_once], q[at : at + at_once]
-        keep[at : at + at_once] = roomy(xn[i], yn[j], xm[i], ym[j], percent)
-    one, two = xi[p[keep]], yi[q[keep]]
-    return np.minimum(one, two), np.maximum(one, two)
-
-
-def _tiles(percent: int):
-    def block(column: pa.ListArray, k: int) -> tuple[np.ndarray, ...]:
-        own = column[k].values
-        ids, n, comp = (own.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        return ids, n, comp, own.field(3).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).view(np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                a, b = tile(block(batch.column(0), k), block(batch.column(1), k), percent)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return run
-
-
-def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", percent: int = 80, words: int = 2, k: int = 64, posted: int = 25, stars: int = 2, block: int = 2048, broadcast_ids: int = 200_000) -> DataFrame:
-    """One row per input row: ``id``, ``n_shingles``, ``component_id`` (least id reachable by links, itself included).
-
-    Linked: ``100 * |A and B| >= percent * |A or B|`` over distinct ``words``-word shingles (A-Z lower-cased,
-    words split at ASCII white space).  Null or empty texts and texts without words have an empty set
-    and link with nothing.  Rows that repeat an id count as one document.  A null id stays alone with a
-    null component.  An empty table gives no rows; other columns are ignored.
-    """
-    base = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t"))
-    made = append(base, ["t"], "s", "struct<n: bigint, f1: bigint, f2: bigint, low: array<bigint>, map: array<bigint>>", _sketches(words, posted))
-    low = F.col("s.low")
-    keys = F.zip_with(F.slice(low, 1, F.greatest(F.size(low) - 1, F.lit(0))), F.slice(low, 2, posted), lambda x, y: F.xxhash64(x, y))
-    s = cut(made.select("id", "s.n", "s.f1", "s.f2", keys.alias("keys"), "s.map"))
-    classes = cut(s.filter("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep")))
-    lead = classes.select(F.col("rep").alias("id"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
-    reps = cut(s.filter("n > 1").join(lead, "id").filter("f1 = g1 and f2 = g2").select(F.col("id").alias("rep"), "n", "keys", "map").dropDuplicates(["rep"]))
-    post = reps.select("rep", F.explode("keys").alias("v"))
-    lists = cut(post.join(post.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("v"), "v").select("v", "rep"))
-
-    def bound(n: Column, m: Column, x: Column, y: Column) -> Column:
-        """Whether the sizes and maps leave room for a link: a bit of one map alone is an element of that set alone."""
-        own = sum((F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(1, 16)), F.bit_count(x[0].bitwiseAND(F.bitwise_not(y[0]))))
-        other = sum((F.bit_count(y[i].bitwiseAND(F.bitwise_not(x[i]))) for i in range(1, 16)), F.bit_count(y[0].bitwiseAND(F.bitwise_not(x[0]))))
-        most = F.least(n - own, m - other)
-        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most * 100 >= (n + m - most) * percent)
-
-    t = percent / 100
-    least = t - 5 * math.sqrt(t * (1 - t) / k)
-    state = {"sets": None}
+class _Sets:
+    """Full sets of the classes that are asked for, each made once from the text of its least row."""
+
+    def __init__(self, base: DataFrame, lead: DataFrame, words: int, broadcast_rows: int):
+        self.base, self.lead, self.words, self.broadcast_rows, self.held = base, lead, words, broadcast_rows, None
+
+    def of(self, wanted: DataFrame) -> DataFrame | None:
+        """All sets made so far (node, s), those of ``wanted`` (column node) among them."""
+        wanted = wanted.distinct()
+        if self.held is not None:
+            wanted = wanted.join(self.held.select("node"), "node", "left_anti")
+        wanted = cut(wanted.join(self.lead, "node"))
+        n = wanted.count()
+        if n:
+            pick = self.base.join(F.broadcast(wanted) if n <= self.broadcast_rows else wanted, ["id", "h"]).dropDuplicates(["node"])
+            made = cut(append(pick, ["t"], "s", "array<bigint>", _full(self.words)).select("node", "s"))
+            self.held = made if self.held is None else self.held.unionByName(made)
+        return self.held
+
+
+def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: int, stars: int, short: int, block: int, broadcast_rows: int, loss: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, h, n, node) of all documents, h a hash of the text, and for each node its component: node, of, id and h of the component's least row."""
+    base = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
+    made = append(base, ["t"], "s", "struct<n: bigint, node: bigint, low: array<bigint>>", _sketches(words, k))
+    rows = cut(made.select("id", "h", "s.n", F.when(F.col("id").isNotNull(), F.col("s.node")).alias("node"), F.col("s.low").alias("low")))
+    classes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("id", "h")).alias("lead"), F.first(F.struct("n", "low")).alias("s"))
+    classes = cut(classes.select("node", "lead.id", "lead.h", "s.n", "s.low"))
+    least = least_shared(k, percent, loss)
+    full = _Sets(base, classes.select("node", "id", "h"), words, broadcast_rows)
+
+    # inverted lists of the rarest retained values; a value that one class alone retains comes first and needs no list
+    post = classes.filter("n > 1").select("node", "n", F.size("low").alias("size"), F.explode("low").alias("v"))
+    often = cut(post.groupBy("v").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
+    shared = post.join(often, "v").groupBy("node", "n", "size").agg(F.array_sort(F.collect_list(F.struct("often", "v"))).alias("w"))  # at most k values
+    need = F.when(F.col("n") <= k, F.ceil(F.col("n") * percent / 100)).otherwise(least)
+    posted = F.slice("w", F.lit(1), F.greatest(F.lit(0), F.col("size") - need + 1 - (F.col("size") - F.size("w"))).cast("int"))
+    lists = cut(shared.select("node", "n", F.explode(posted).alias("p")).select(F.col("p.v").alias("v"), "node", "n"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The links among distinct pairs; sets are made for the texts that need them, once each."""
-        pairs = cut(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        if state["sets"] is not None:
-            wanted = wanted.join(state["sets"].select("id"), "id", "left_anti")
-        wanted = cut(wanted)
-        held = wanted.count()
-        if held:
-            pick = base.join(F.broadcast(wanted) if held <= broadcast_ids else wanted, "id", "left_semi")
-            made = cut(append(pick, ["t"], "s", "struct<s: array<bigint>, wide: binary>", _full(words)).select("id", "s.s", "s.wide"))
-            state["sets"] = made if state["sets"] is None else state["sets"].unionByName(made)
-        sets = state["sets"]
+        """The links among distinct pairs (a, b) of classes."""
+        sketch = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("low").alias(f"{x}l"))
+        near = cut(pairs.join(sketch("b"), "b").join(sketch("a"), "a").filter(_estimate(F.col("al"), F.col("bl"), F.col("an"), F.col("bn"), k, least, percent)).select("a", "b"))
+        sets = full.of(near.select(F.explode(F.array("a", "b")).alias("node")))
         if sets is None:
-            return pairs
-        of = lambda x: sets.select(F.col("id").alias(x), F.size("s").alias(f"{x}n"), F.col("wide").alias(f"{x}w"))
-        pairs = cut(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "an", "bn", "aw", "bw").mapInArrow(_narrowed(percent), "a bigint, b bigint"))
-        both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-        sketch = F.size(F.array_intersect(F.slice("x", 1, k), F.slice("y", 1, k))) >= F.least(F.size("x"), F.size("y"), F.lit(k)) * least
+            return near
+        both = near.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
         same = F.size(F.array_intersect("x", "y"))
-        return both.filter(F.when(sketch, same * 100 >= (F.size("x") + F.size("y") - same) * percent).otherwise(False)).select("a", "b")
+        return cut(both.filter(same * 100 >= (F.size("x") + F.size("y") - same) * percent).select("a", "b"))
 
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"{x}n"), F.col("map").alias(f"{x}m"))
     links = labels = None
     now = lists
-    for r in range(stars):
-        hubs = now.groupBy("v").agg(F.min("rep").alias("hub"))
-        counted = now.join(hubs, "v").filter("hub <> rep").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("lists"))
-        pairs = counted.groupBy(F.col("rep").alias("b")).agg(F.max_by("hub", F.struct("lists", -F.col("hub"))).alias("a"))
-        met = pairs.join(side("b"), "b").join(side("a"), "a").filter(bound(F.col("an"), F.col("bn"), F.col("am"), F.col("bm"))).select("a", "b")
-        more = cut(confirmed(met))
+    for turn in range(stars):
+        hubs = cut(now.groupBy("v").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("v", "hub"))
+        met = now.join(hubs, "v").filter("node <> hub.node").filter(_alike(F.col("n"), F.col("hub.n"), percent))
+        counted = met.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
+        more = confirmed(counted.filter("lists > 0").select("a", "b"))
         if links is not None and more.isEmpty():
             break
         links = more if links is None else cut(links.unionByName(more))
         labels = components(links)
-        if r + 1 < stars:  # members outside their hub's component go on
-            comp, of_hub = labels.select(F.col("node").alias("rep"), "component"), labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_comp"))
-            apart = now.join(hubs, "v").join(comp, "rep", "left").join(of_hub, "hub", "left").filter(F.coalesce("component", "rep") != F.coalesce("hub_comp", "hub"))
-            now = cut(apart.select("v", "rep"))
-
-    rows = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", F.coalesce("component", "rep").alias("comp"))
-    parts = rows.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("p"))
-    whole = parts.groupBy("v").agg(F.max_by("comp", F.struct("p", "comp")).alias("main"), F.max("p").alias("most"), F.sum("p").alias("c"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    rows = cut(rows.join(whole, "v").join(reps.select("rep", "n", "map"), "rep").select("v", "rep", "n", "comp", "map", (F.col("comp") != F.col("main")).alias("minor"), F.ceil(F.col("c") / block).cast("int").alias("js"), F.ceil((F.col("c") - F.col("most")) / block).cast("int").alias("is")))
-
-    def packed(some: DataFrame, own: str, every: str, name: str) -> DataFrame:
-        """Members in blocks by a hash of the id, each block once for every block that it meets."""
-        of = F.pmod(F.xxhash64("rep", F.lit(own)), F.col(f"{own}s")).cast("int")
-        made = some.withColumn(own, of).groupBy("v", own, f"{every}s").agg(F.collect_list(F.struct("rep", "n", "comp", "map")).alias(name))
-        return made.select("v", own, F.explode(F.sequence(F.lit(0), F.col(f"{every}s") - 1)).alias(every), name)
-
-    met = packed(rows.filter("minor"), "i", "j", "x").join(packed(rows, "j", "i", "y"), ["v", "i", "j"]).select("x", "y").mapInArrow(_tiles(percent), "a bigint, b bigint").distinct()
-    more = cut(confirmed(met))
+        if turn + 1 < stars:
+            own, of_hub = labels.select("node", "component"), labels.select(F.col("node").alias("hub_node"), F.col("component").alias("hub_component"))
+            apart = now.join(hubs.select("v", F.col("hub.node").alias("hub_node")), "v").join(own, "node", "left").join(of_hub, "hub_node", "left")
+            now = cut(apart.filter(F.coalesce("component", "node") != F.coalesce("hub_component", "hub_node")).select("v", "node", "n"))
+
+    # lists that still hold several components
+    parted = lists.join(labels, "node", "left").select("v", "node", "n", F.coalesce("component", "node").alias("comp"))
+    parts = parted.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("p"), F.sum("n").alias("sum"))
+    whole = parts.groupBy("v").agg(F.max_by("comp", F.struct("p", "comp")).alias("main"), F.max_by("sum", F.struct("p", "comp")).alias("main_sum"), F.sum("p").alias("held"), F.sum("sum").alias("sum"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    whole = cut(whole.select("v", "main", "held", F.ceil(F.col("sum") / block).cast("int").alias("js"), F.ceil((F.col("sum") - F.col("main_sum")) / block).cast("int").alias("is")))
+    left = cut(parted.join(whole, "v").select("v", "node", "n", "comp", (F.col("comp") != F.col("main")).alias("minor"), "held", "is", "js"))
+
+    few = left.filter(F.col("held") <= short)
+    one, two = few.filter("minor").select("v", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc")), few.select("v", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
+    met = one.join(two, "v").filter("xc <> yc").filter(_alike(F.col("xn"), F.col("yn"), percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = confirmed(met)
+
+    many = left.filter(F.col("held") > short)
+    if not many.isEmpty():
+        sets = full.of(many.select("node"))
+
+        def packed(some: DataFrame, own: str, every: str, name: str) -> DataFrame:
+            """Members with their sets in blocks by a hash of the node, each block once for every block that it meets."""
+            of = F.pmod(F.xxhash64("node", F.lit(own)), F.col(f"{own}s")).cast("int")
+            blocks = some.withColumn(own, of).join(sets, "node").groupBy("v", own, f"{every}s").agg(F.collect_list(F.struct("node", "comp", "s")).alias(name))
+            return blocks.select("v", own, F.explode(F.sequence(F.lit(0), F.col(f"{every}s") - 1)).alias(every), name)
+
+        tiles = packed(many.filter("minor"), "i", "j", "x").join(packed(many, "j", "i", "y"), ["v", "i", "j"]).select("x", "y")
+        more = cut(more.unionByName(tiles.mapInArrow(_tiles(k, least, percent), "a bigint, b bigint")))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    out = s.select("id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    out = out.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
+    of = classes.join(labels, "node", "left").select("node", F.struct("id", "h").alias("lead"), F.coalesce("component", "node").alias("of"))
+    first = of.groupBy("of").agg(F.min("lead").alias("lead"))
+    return rows.select("id", "h", "n", "node"), cut(of.select("node", "of").join(first, "of").select("node", "of", F.col("lead.id").alias("first_id"), F.col("lead.h").alias("first_h")))
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents that represent their group (least id), with their own columns only; a document without words stays."""
-    id = options.get("id", "doc_id")
-    mark = free_name(docs, "_gone")
-    gone = near_duplicates(docs, **options).filter(F.col("component_id") != F.col(id)).select(F.col(id).alias(mark)).distinct()
-    gone = cut(gone)
-    if gone.count() <= options.get("broadcast_ids", 2_000_000):
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id).cast("long") == F.col(mark), "left_anti")
+def _options(options: dict) -> dict:
+    return {"percent": 80, "words": 2, "k": 64, "stars": 2, "short": 64, "block": 1 << 17, "broadcast_rows": 200_000, "loss": 1e-6} | options
+
+
+def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row per input row: ``id``, ``n_shingles``, ``component_id`` (least id reachable by links, itself included).
+
+    Linked: ``100 * |A and B| >= percent * |A or B|`` over distinct ``words``-word shingles (A-Z lower-cased,
+    words split at ASCII white space).  Null or empty texts and texts without words have an empty set
+    and link with nothing.  Rows that repeat an id are documents of their own that share it.  A null id stays alone
+    with a null component.  An empty table gives no rows; other columns are ignored.
+
+    Options: ``percent`` 80, ``words`` 2, ``k`` 64 values retained, ``loss`` 1e-6 (the probability that a pair at the
+    threshold is not met), ``stars`` 2, ``short`` 64 members, ``block`` 131,072 shingles, ``broadcast_rows`` 200,000.
+    """
+    rows, groups = _groups(docs, id, text, **_options(options))
+    out = rows.join(groups.select("node", "first_id"), "node", "left")
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("first_id", "id").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each group, with its own columns only: the least id, of repeated ids one row.
+
+    Documents without words and rows with a null id all stay.
+    """
+    taken = _options(options)
+    rows, groups = _groups(docs, id, text, **taken)
+    placed = rows.join(groups, "node")
+    i, h = free_name(docs, "_id"), free_name(docs, "_h")
+    gone = cut(placed.filter("id <> first_id or h <> first_h").select(F.col("id").alias(i), F.col("h").alias(h)).distinct())
+    again = cut(placed.filter("id = first_id and h = first_h").groupBy(F.col("id").alias(i), F.col("h").alias(h)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    side = lambda df: F.broadcast(df) if df.count() <= taken["broadcast_rows"] else df
+    marked = docs.withColumn(i, F.col(id).cast("long")).withColumn(h, F.xxhash64(text))
+    kept = marked.join(side(gone), [i, h], "left_anti")
+    if not again.isEmpty():
+        kept = kept.join(side(again), [i, h], "left_anti").unionByName(kept.join(side(again), [i, h], "left_semi").dropDuplicates([i, h]))
+    return kept.select(*docs.columns)

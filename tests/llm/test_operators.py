@@ -97,7 +97,7 @@ def test_minhash_joins_a_group_whose_copies_drift(spark):
         rows.append((i, " ".join(own)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = brute_components(sets_of(rows, 2))
-    for options in ({}, {"stars": 1, "block": 16}):
+    for options in ({}, {"stars": 1, "block": 512, "short": 4}, {"stars": 1}):
         assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, **options).collect()} == want
 
 
