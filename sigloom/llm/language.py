@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .appending import append, free_name
+from .appending import append, free_name, give_back
 from .bytewords import slices
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -122,6 +122,7 @@ def fit(samples: list[tuple[str, str]], *, epochs: int = 4, batch: int = 64, rat
                 second[n] = 0.99 * second[n] + 0.01 * g[n] ** 2
                 value = getattr(m, n)
                 value -= (rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    give_back()
     return m
 
 

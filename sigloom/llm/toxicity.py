@@ -16,6 +16,7 @@ to the gates) is computed once per distinct word of a run of documents.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .appending import append, free_name
+from .appending import append, free_name, give_back
 from .bytewords import ALNUM, FOLD, hashes, mix, slices, spans
 
 SPAN, STRIDE = 32, 24
 WORDS, GRAMS, DIM, HIDDEN = 1 << 14, 1 << 14, 4, 8
 SIZES, LETTERS = (3, 4, 5), 14
+CHUNK = 8192  # distinct steps handled at once
 
 
 @dataclass
@@ -115,6 +117,27 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inner: np.n
     return w, g, (ok / np.maximum(ok.sum(1, keepdims=True), 1)).astype(np.float32)
 
 
+@dataclass
+class Inputs:
+    """What the distinct steps of a sample look up, in few bytes: word bucket, n-gram buckets, number of n-grams, length."""
+
+    w: np.ndarray
+    g: np.ndarray
+    count: np.ndarray
+    size: np.ndarray
+
+    def held(self, own: np.ndarray) -> np.ndarray:
+        """Which of the padded n-gram places are n-grams, as ``features`` lays them out."""
+        return np.concatenate([np.arange(LETTERS + 2 - n) + n <= self.size[own][:, None].astype(np.int64) + 1 for n in SIZES], axis=1) & (self.count[own] > 0)[:, None]
+
+    def of(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets and shares, as ``features`` gives them."""
+        return self.w[own].astype(np.int64), self.g[own].astype(np.int64), (self.held(own) / np.maximum(self.count[own], 1)[:, None]).astype(np.float32)
+
+    def chunks(self) -> Iterator[np.ndarray]:
+        return (np.arange(i, min(i + CHUNK, len(self.w))) for i in range(0, len(self.w), CHUNK))
+
+
 def windows_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First steps of all overlapping windows and their rows; ``at`` are the first steps of the rows.  A row without words has none."""
     n = np.diff(at)
@@ -132,7 +155,7 @@ def score_texts(model: ToxicityModel, texts: pa.Array, at_once: int = 4096) -> n
         total = np.zeros(last - first)
         if len(s):
             _, one, inverse = np.unique(step_hashes(data, s, e, inner), return_index=True, return_inverse=True)
-            x = np.concatenate([model.vectors(*features(data, s[own], e[own], inner[own])) for own in np.array_split(one, -(-len(one) // 8192))])
+            x = np.concatenate([model.vectors(*features(data, s[own], e[own], inner[own])) for own in np.array_split(one, -(-len(one) // CHUNK))])
             gates = (x @ model.into.reshape(2 * DIM, -1) + model.into_bias.ravel()).astype(np.float32)
             gates = np.concatenate([gates, model.into_bias.reshape(1, -1)])  # the last row pads
             begin, row = windows_of(at)
@@ -146,31 +169,33 @@ def score_texts(model: ToxicityModel, texts: pa.Array, at_once: int = 4096) -> n
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit(samples: list[tuple[str, int]], *, rounds: int = 6, batch: int = 64, rate: float = 6e-3, seed: int = 11) -> ToxicityModel | None:
+def fit(samples: list[tuple[str, int]], *, rounds: int = 6, batch: int = 64, least_batches: int = 64, rate: float = 6e-3, slow: float = 1e-3, seed: int = 11) -> ToxicityModel | None:
     """Train on (text, 0 or 1) pairs by Adam; None without any pair."""
     if not samples:
         return None
     rng = np.random.default_rng(seed)
     y = np.array([v for _, v in samples], np.float32)
     at, inverse, known, held = [np.zeros(1, np.int64)], [], 0, []
-    for _, _, data, offsets in slices(pa.array([t for t, _ in samples], pa.string()), 1 << 19):  # small runs bound the driver's memory
+    for _, _, data, offsets in slices(pa.array([t for t, _ in samples], pa.string()), 1 << 18):  # small runs bound the driver's memory
         s, e, inner, first = steps(data, offsets)
         own, one, back = np.unique(step_hashes(data, s, e, inner), return_index=True, return_inverse=True)
-        if len(own):
-            w, g, share = features(data, s[one], e[one], inner[one])
-            held.append((own, w.astype(np.int32), g.astype(np.int32), share.astype(np.float32)))
+        for part in np.array_split(one, -(-len(one) // CHUNK)) if len(own) else []:
+            w, g, share = features(data, s[part], e[part], inner[part])
+            held.append((w.astype(np.uint16), g.astype(np.uint16), (share > 0).sum(1).astype(np.uint8), (e - s)[part].astype(np.uint8)))
         at.append(at[-1][-1] + first[1:])
-        inverse.append((back + known).astype(np.int32))
+        inverse.append((own, (back + known).astype(np.int32)))
         known += len(own)
     if not held:
         return None
-    at, inverse = np.concatenate(at), np.concatenate(inverse)
-    _, one, back = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
-    inverse = back[inverse]
-    w, g, share = (np.concatenate([h[k] for h in held])[one] for k in (1, 2, 3))
-    del held
+    at = np.concatenate(at)
+    _, one, back = np.unique(np.concatenate([own for own, _ in inverse]), return_index=True, return_inverse=True)
+    inverse = back.astype(np.int32)[np.concatenate([i for _, i in inverse])]
+    pick = lambda k, pad: np.concatenate([np.concatenate([h[k] for h in held])[one], pad])
+    w, count, size = pick(0, np.zeros(1, np.uint16)), pick(2, np.zeros(1, np.uint8)), pick(3, np.zeros(1, np.uint8))
+    g = pick(1, np.zeros((1, held[0][1].shape[1]), np.uint16))  # the last row pads
+    del held, back
     pad = len(one)
-    w, g, share = np.append(w, np.int32(0)), np.concatenate([g, np.zeros_like(g[:1])]), np.concatenate([share, np.zeros_like(share[:1])])
+    words = Inputs(w, g, count, size)
     doc = np.repeat(np.arange(len(y)), np.diff(at))
 
     def odds(size: int, keys_of) -> np.ndarray:
@@ -183,55 +208,66 @@ def fit(samples: list[tuple[str, int]], *, rounds: int = 6, batch: int = 64, rat
             hit += np.bincount(pair % size, weights=y[pair // size], minlength=size)
             of += np.bincount(pair % size, minlength=size)
         n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
-        return (np.log((hit + 2) / (n1 + 4)) - np.log((of - hit + 2) / (n0 + 4))).clip(-4, 4)
+        prior = 8 / (n1 + n0)  # eight documents of the sample's own mixture
+        return (np.log(hit / n1 + prior) - np.log((of - hit) / n0 + prior)).clip(-4, 4)
 
-    ok = share > 0
     of_word = odds(WORDS, lambda pair: (pair // len(w), w[pair % len(w)].astype(np.int64)))
 
     def grams_of(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        some = ok[pair % len(w)]
+        some = words.held(pair % len(w))
         return np.repeat(pair // len(w), some.sum(1)), g[pair % len(w)][some].astype(np.int64)
 
     of_gram = odds(GRAMS, grams_of)
     normal = lambda *shape: rng.standard_normal(shape).astype(np.float32)
     m = ToxicityModel(normal(WORDS, DIM) * 0.05, normal(GRAMS, DIM) * 0.05, normal(2 * DIM, 2, 3, HIDDEN) * 0.3, np.zeros((2, 3, HIDDEN), np.float32), normal(2, HIDDEN, 3 * HIDDEN) * 0.2, normal(2 * HIDDEN) * 0.3, normal(2 * HIDDEN) * 0.3, np.zeros(1, np.float32))
     m.word[:, 0], m.gram[:, 0] = of_word * 0.5, of_gram * 0.5
-    lead = np.maximum(of_word[w], 0) + np.where(ok, of_gram[g], 0).max(1).clip(0)
+    lead = np.maximum(of_word[w], 0).astype(np.float32)
+    for own in words.chunks():
+        lead[own] += np.where(words.held(own), of_gram[g[own]], 0).max(1).clip(0)
     lead[pad] = 0
+    del doc
     begin, row = windows_of(at)
-    place = begin[:, None] + np.arange(SPAN)
-    mask = place < at[1:][row][:, None]
-    ids = np.where(mask, inverse[np.where(mask, place, 0)], pad)
-    current = lead[ids].max(1)
+    mask = np.arange(SPAN) < (at[1:][row] - begin)[:, None]
+    ids = np.full(mask.shape, pad, np.int32)
+    current = np.zeros(len(row), np.float32)
+    for i in range(0, len(row), 4096):
+        place = begin[i : i + 4096, None] + np.arange(SPAN)
+        ids[i : i + 4096] = np.where(mask[i : i + 4096], inverse[np.where(mask[i : i + 4096], place, 0)], pad)
+        current[i : i + 4096] = lead[ids[i : i + 4096]].max(1)
     first, second, step = {n: 0.0 for n in m.NAMES}, {n: 0.0 for n in m.NAMES}, 0
     lines = np.searchsorted(row, np.arange(len(y) + 1))
     full = np.flatnonzero(lines[1:] > lines[:-1])
     for turn in range(rounds):
         if turn:
             current = np.zeros(len(row), np.float32)
-            gates = (m.vectors(w, g, share) @ m.into.reshape(2 * DIM, -1) + m.into_bias.ravel()).astype(np.float32)
+            gates = np.concatenate([m.vectors(*words.of(own)) @ m.into.reshape(2 * DIM, -1) + m.into_bias.ravel() for own in words.chunks()], dtype=np.float32)
             for i in range(0, len(row), 4096):
                 current[i : i + 4096] = m.run(gates[ids[i : i + 4096]].reshape(-1, SPAN, 2, 3, HIDDEN), mask[i : i + 4096])
         noisy = current + rng.random(len(row)) * 1e-6
         top = np.array([lines[d] + noisy[lines[d] : lines[d + 1]].argmax() for d in full])
         other = np.array([rng.integers(lines[d], lines[d + 1]) for d in full if y[d] == 0], dtype=np.int64)
-        chosen = rng.permutation(np.concatenate([top, other]))
-        for own in np.array_split(chosen, max(1, len(chosen) // batch)):
+        # rare toxic documents count as if there were as many as clean ones; a small sample is gone through more often
+        times = np.where(y[row[top]] == 1, max(1, round(len(other) / max(1, len(top) - len(other)))), 1)
+        chosen = np.concatenate([np.repeat(top, times), other])
+        passes = -(-least_batches * batch // max(len(chosen), 1))
+        for own in (o for _ in range(max(1, passes)) for o in np.array_split(rng.permutation(chosen), max(1, len(chosen) // batch))):
             step += 1
-            grads = gradient(m, w, g, share, ids[own], mask[own], y[row[own]])
+            grads = gradient(m, words, ids[own], mask[own], y[row[own]])
             for n in m.NAMES:
                 first[n] = 0.9 * first[n] + 0.1 * grads[n]
                 second[n] = 0.99 * second[n] + 0.01 * grads[n] ** 2
                 value = getattr(m, n)
-                value -= (rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                value -= ((slow if n in ("word", "gram") else rate) * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+    give_back()
     return m
 
 
-def gradient(m: ToxicityModel, w, g, share, ids: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+def gradient(m: ToxicityModel, words: Inputs, ids: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Mean cross-entropy gradient over a batch of windows, back through attention, both directions and the inputs."""
     used, back = np.unique(ids, return_inverse=True)
     back = back.reshape(ids.shape)
-    vectors = m.vectors(w[used], g[used], share[used]).astype(np.float32)
+    w, g, share = words.of(used)
+    vectors = m.vectors(w, g, share).astype(np.float32)
     x = (vectors @ m.into.reshape(2 * DIM, -1) + m.into_bias.ravel())[back].reshape(*ids.shape, 2, 3, HIDDEN).astype(np.float32)
     score, h, held, both, a, pooled = m.run(x, mask, keep=True)
     b, n = mask.shape
@@ -265,8 +301,8 @@ def gradient(m: ToxicityModel, w, g, share, ids: np.ndarray, mask: np.ndarray, y
     out["into_bias"] = flat.sum(0).reshape(m.into_bias.shape)
     dv = flat @ m.into.reshape(2 * DIM, -1).T
     out["word"], out["gram"] = np.zeros_like(m.word), np.zeros_like(m.gram)
-    np.add.at(out["word"], w[used], dv[:, :DIM])
-    np.add.at(out["gram"], g[used].ravel(), (share[used][:, :, None] * dv[:, None, DIM:]).reshape(-1, DIM))
+    np.add.at(out["word"], w, dv[:, :DIM])
+    np.add.at(out["gram"], g.ravel(), (share[:, :, None] * dv[:, None, DIM:]).reshape(-1, DIM))
     return out
 
 
