@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+RUN_BYTES = 4 << 20
+
 
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores before it until no column of ``df`` has that name in any case."""
@@ -33,7 +35,8 @@ def append(df: DataFrame, source: list[str], name: str, kind: str, make: Callabl
     """Add column ``name`` of DDL type ``kind`` = ``make()(*source columns)`` batch by batch.
 
     ``make`` runs once in each task, so it can load what the kernel needs.  Partitioning, row order
-    within a task and all other columns stay as they are; there is no shuffle.
+    within a task and all other columns stay as they are; there is no shuffle.  A batch goes through the
+    kernel in runs of whole rows of about ``RUN_BYTES``, which bounds what a task holds at once on both sides.
     """
     at = [df.columns.index(c) for c in source]
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.StructType.fromDDL(f"x {kind}")[0].dataType)])
@@ -44,7 +47,11 @@ def append(df: DataFrame, source: list[str], name: str, kind: str, make: Callabl
             if batch.num_rows == 0:
                 continue
             kernel = kernel or make()
-            yield pa.RecordBatch.from_arrays([*batch.columns, kernel(*(batch.column(i) for i in at))], names=[*batch.schema.names, name])
+            rows = max(1, batch.num_rows * RUN_BYTES // max(batch.nbytes, 1))
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, kernel(*(part.column(i) for i in at))], names=[*part.schema.names, name])
+                del part
         batch = kernel = None
         give_back()
 

@@ -30,6 +30,7 @@ from .bytewords import hashes, mix, slices
 
 _SAME = np.arange(256, dtype=np.uint8)
 _SPACE = 0x20
+LEARN = 8_192  # stretches whose lattices are made together
 
 
 class Sampler:
@@ -185,12 +186,12 @@ class Sampler:
             if len(self.index) > self.most:
                 self._clear()
             new = [i for i, k in enumerate(names) if k not in self.index]
-            for i in range(0, len(new), 50_000):
-                own = one[new[i : i + 50_000]]
+            for i in range(0, len(new), LEARN):
+                own = one[new[i : i + LEARN]]
                 sizes = e[own] - s[own]
                 ends = np.cumsum(sizes)
                 text = buf[np.repeat(s[own] - ends + sizes, sizes) + np.arange(int(ends[-1]))]
-                self.learn([names[j] for j in new[i : i + 50_000]], text, ends - sizes, ends)
+                self.learn([names[j] for j in new[i : i + LEARN]], text, ends - sizes, ends)
             index = self.index
             unit = np.fromiter((index[k] for k in names), np.int64, len(names))[inverse]
             # backward sampling of all stretches together
