@@ -14,10 +14,18 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+FORMATTED = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("role", pa.string()), ("segments", pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))), ("in_turn", pa.bool_()), ("state", pa.string())])
+DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows as one Arrow batch; ids stay whole numbers, null or not."""
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
 
 @dataclass(frozen=True)
 class Template:
@@ -78,23 +86,21 @@ def format_chats(rows: DataFrame, template: Template | None = None, *, conv: str
     t = template or Template()
     base = rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, place, state = object(), 0, "start"
-        for frame in frames:
+        for batch in batches:
             out = []
-            for c, r, x in zip(frame["conv_id"].astype(object).where(frame["conv_id"].notna(), None), frame["role"], frame["text"]):
+            for c, r, x in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if c != now:
                     now, place, state = c, 0, "start"
                 to = t.moves.get(state, {}).get(r)
                 state = to or state
                 out.append((c, place, r, [{"text": a, "loss": b} for a, b in t.segments(r, x)], to is not None, state))
                 place += 1
-            made = pd.DataFrame(out, columns=["conv_id", "position", "role", "segments", "in_turn", "state"])
-            made["conv_id"] = made["conv_id"].astype("Int64")
-            yield made
+            yield _batch(out, FORMATTED)
 
     dealt = base.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInPandas(run, "conv_id bigint, position bigint, role string, segments array<struct<text: string, loss: boolean>>, in_turn boolean, state string")
+    return dealt.select("conv_id", "role", "text").mapInArrow(run, "conv_id bigint, position bigint, role string, segments array<struct<text: string, loss: boolean>>, in_turn boolean, state string")
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
@@ -105,17 +111,16 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
     """
     t = template or Template()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = object()
         now, held, loss, n, chars, marked, valid, state = none, None, None, 0, 0, 0, True, ""
-        columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
 
         def closed():
             return (now, n, held.hexdigest(), marked, loss.hexdigest(), chars, bool(valid and state in t.final))
 
-        for frame in frames:
+        for batch in batches:
             out = []
-            for c, segments, ok, s in zip(frame["conv_id"].astype(object).where(frame["conv_id"].notna(), None), frame["segments"], frame["in_turn"], frame["state"]):
+            for c, segments, ok, s in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if now is none or c != now:
                     if now is not none:
                         out.append(closed())
@@ -131,13 +136,9 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
                         marked += len(plain)
                 chars += len(whole)
                 valid, state = valid and ok, s
-            made = pd.DataFrame(out, columns=columns)
-            made["conv_id"] = made["conv_id"].astype("Int64")
-            yield made
+            yield _batch(out, DIGEST)
         if now is not none:
-            made = pd.DataFrame([closed()], columns=columns)
-            made["conv_id"] = made["conv_id"].astype("Int64")
-            yield made
+            yield _batch([closed()], DIGEST)
 
     dealt = formatted.select("conv_id", "position", "segments", "in_turn", "state").repartition("conv_id").sortWithinPartitions("conv_id", "position")
-    return dealt.mapInPandas(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean")
+    return dealt.select("conv_id", "segments", "in_turn", "state").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean")
