@@ -112,12 +112,12 @@ def coalesced(ranges: list[tuple[int, int]], gap: int, most: int) -> list[tuple[
     return out
 
 
-def read_records(index: DataFrame, *, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
+def read_records(index: DataFrame, *, gap: int = 64 << 10, most: int = 8 << 20, stretch: int = 32 << 20) -> DataFrame:
     """The records of the selected index rows, checked against their digests.
 
     page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).  Rows
-    of one archive are read in order of offset; ranges at most ``gap`` apart share a read of up to ``most``
-    bytes.  A response whose payload does not match its digest raises an error.
+    are dealt by archive and stretch of ``stretch`` bytes, about one stretch of selected bytes to a task, and read in order
+    of offset; ranges at most ``gap`` apart share a read of up to ``most`` bytes.  A response whose payload does not match its digest raises an error.
     """
     kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string())])
     number = lambda s: None if s == "null" else int(s)
@@ -133,6 +133,8 @@ def read_records(index: DataFrame, *, gap: int = 64 << 10, most: int = 8 << 20)
                 while stop < len(rows) and rows[stop][0] == archive:
                     stop += 1
                 if archive != held:
+                    if file is not None:
+                        file.close()
                     fs, path = pafs.FileSystem.from_uri(archive)
                     held, file = archive, fs.open_input_file(path)
                 own = rows[at:stop]
@@ -147,6 +149,10 @@ def read_records(index: DataFrame, *, gap: int = 64 << 10, most: int = 8 << 20)
                         made.append((of("WARC-Record-ID"), url, int(fields["X-Payload-Length"]), digest, fields["WARC-Type"], of("WARC-Refers-To") if revisit else None, None if revisit else body.decode()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), kind)], schema=kind)
                 at = stop
+        if file is not None:
+            file.close()
 
-    dealt = index.select("archive", "offset", "length", "url").repartition("archive").sortWithinPartitions("archive", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    part = F.floor(F.col("offset") / stretch)
+    dealt = index.select("archive", "offset", "length", "url").repartition(max(1, -(-total // stretch), index.sparkSession.sparkContext.defaultParallelism), "archive", part).sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(run, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload string")
