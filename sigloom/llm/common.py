@@ -17,12 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.  Where it is unset, a temporary one of a local
+    master only: executors elsewhere could not see it, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sigloom-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
