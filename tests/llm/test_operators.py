@@ -114,10 +114,10 @@ def test_embeddings_edges(spark):
     made = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(made).collect()}
     want = {1: (2, 1), 2: (2, 1), 7: (2, 1), None: (0, None)} | {i: (0, i) for i in (3, 4, 5, 6, 8, 9, 10)}
-    cosine = 0.9 / np.hypot(0.9, 0.4359)
-    assert cosine >= 0.9 or want
-    assert {k: v for k, v in got.items() if k not in (1, 2, 7)} == {k: v for k, v in want.items() if k not in (1, 2, 7)}
-    assert got[1][1] == got[2][1] == 1 and embeddings.near_duplicates(made.limit(0)).count() == 0
+    assert 0.9 / np.hypot(0.9, 0.4359) < 0.9 and got == want | {1: (1, 1), 2: (1, 1), 7: (0, 7)}  # just below the threshold
+    clash = made.withColumn("id", F.lit("x")).withColumn("v", F.lit(1)).withColumn("rep", F.lit(None).cast("int")).withColumn("copies", F.lit(2))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(clash).collect()} == got
+    assert embeddings.near_duplicates(made.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("dim", [255, 256, 384, 768])
@@ -192,9 +192,11 @@ def test_language_learns_every_script_and_rare_labels(spark):
 
 def test_toxicity_held_out_accuracy_and_edges(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
-    got = queries.op7_toxicity(spark, sf).join(table(spark, sf, "labels"), "doc_id").filter("held_out and toxic is not null")
-    right, n = got.select(F.avg((F.col("toxic") == F.col("predicted")).cast("int")), F.count(F.lit(1))).first()
-    assert n > 30 and right > 0.8
+    got = queries.op7_toxicity(spark, sf).join(table(spark, sf, "labels"), "doc_id").filter("held_out and toxic is not null").select("toxic", "predicted", "score").collect()
+    bad, good = [r for r in got if r.toxic == 1], [r for r in got if r.toxic == 0]
+    assert len(bad) >= 5 and len(good) >= 30  # most labels are 0: what matters is who is found and who is left alone
+    assert any(r.predicted for r in bad) and sum(r.predicted for r in good) <= 0.05 * len(good)
+    assert sum((b.score > g.score) + 0.5 * (b.score == g.score) for b in bad for g in good) >= 0.85 * len(bad) * len(good)  # area under the curve
     labels = table(spark, sf, "labels").select("doc_id", "toxic")
     model = toxicity.fit(toxicity.sample(table(spark, sf, "documents"), labels))
     scored = toxicity.score(frame(spark), model, name="score")
@@ -202,6 +204,16 @@ def test_toxicity_held_out_accuracy_and_edges(spark, sf):
     assert toxicity.score(frame(spark, []), model, name="score").count() == 0
 
 
+def test_toxicity_recall_on_more_labels(spark, sf):
+    """At sf0.1 about one toxic label of seven marks a text without any insult, so no model can find all."""
+    sf = sf.replace("sf0.001", "sf0.1")
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").filter("toxic is not null").withColumn("held_out", queries.held_out_of(5, 0)).select("doc_id", "text", "toxic", "held_out")
+    model = toxicity.fit(toxicity.sample(rows, rows.filter("not held_out").select("doc_id", "toxic")))
+    got = toxicity.score(rows.filter("held_out"), model, name="score").select("toxic", "score").collect()
+    bad, good = np.array([r.score for r in got if r.toxic == 1]), np.array([r.score for r in got if r.toxic == 0])
+    assert (bad >= 0.5).mean() > 0.7 and (good >= 0.5).mean() < 0.03 and (bad[:, None] > good).mean() > 0.95
+
+
 @pytest.mark.parametrize("letters, insult, glued", [("abcdefghijklmnopqrstuvwxyz", "vilescum", False), ("的一是不了在人有我他这个们中来上大为和国", "坏蛋", True), ("абвгдежзиклмнопрстуф", "гнида", True)])
 def test_toxicity_sees_all_of_a_long_word(letters, insult, glued):
     import pyarrow as pa
@@ -238,6 +250,34 @@ def test_pieces_are_reproducible_and_lossless(spark, sf):
     assert pieces.encode(frame(spark, []), path, name="p", outputs=("n_pieces",)).count() == 0
 
 
+def test_pieces_draw_from_the_exact_distribution():
+    """Draws of a short stretch against all its segmentations, enumerated with their weights."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sampler, model = pieces.Sampler(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    weight = {model.id_to_piece(i).replace("▁", " "): 1 / (10 - model.get_score(i)) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+
+    def splits(text):
+        return [[text[:k], *rest] for k in range(1, len(text) + 1) if text[:k] in weight for rest in splits(text[k:])] if text else [[]]
+
+    every = splits(" there")
+    mass = np.array([np.prod([weight[p] for p in way]) for way in every])
+    n = 20_000
+    data = np.frombuffer(b"there" * n, np.uint8)
+    flat, counts = sampler.encode(data, np.arange(n + 1) * 5, np.arange(n))
+    ends = np.cumsum(counts)
+    names = {tuple(way): k for k, way in enumerate(every)}
+    seen = np.zeros(len(every))
+    for a, b in zip(ends - counts, ends):
+        seen[names[tuple(model.id_to_piece(int(i)).replace("▁", " ") for i in flat[a:b])]] += 1
+    want = n * mass / mass.sum()
+    rare = want < 5
+    chi = ((seen - want)[~rare] ** 2 / want[~rare]).sum() + (seen[rare].sum() - want[rare].sum()) ** 2 / max(want[rare].sum(), 1)
+    degrees = (~rare).sum()
+    assert len(every) > 8 and chi < degrees + 5 * np.sqrt(2 * degrees)
+
+
 def test_pieces_query_and_stage_return_ids_that_decode(spark, sf):
     import corpus_pipeline as p
 
@@ -270,7 +310,9 @@ def test_token_shards_equal_the_library(spark, sf):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     edges = tokenbin.read_shards(tokenbin.write_shards(frame(spark), path)).collect()
-    assert len(edges) == len(EDGE) and tokenbin.read_shards(tokenbin.write_shards(frame(spark, []), path)).count() == 0
+    crc = lambda t: zlib.crc32(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted(((r.doc_id, r.ids_crc32) for r in edges), key=repr) == sorted(((r[0], crc(r[1])) for r in EDGE), key=repr)
+    assert tokenbin.read_shards(tokenbin.write_shards(frame(spark, []), path)).count() == 0
 
 
 def test_elias_fano_selects():
@@ -292,6 +334,9 @@ def test_warc_round_trip(spark):
     assert got[5].record_type == got[6].record_type == "response" and got[3].payload_bytes == 0
     assert got[1].payload_digest == hashlib.sha1(body.encode()).hexdigest()
     assert warc.read_records(index.filter("id = 5")).first().payload == "short" and warc.write_archives(pages.limit(0)).count() == 0
+    clash = pages.withColumn("digest", F.lit(1)).withColumn("refers_to", F.lit("x")).withColumn("payload", F.lit(2)).unionByName(spark.createDataFrame([(9, "v", "ü" * 3_000_000, 1, "x", 2)], "page_id bigint, url string, html string, digest int, refers_to string, payload int"))
+    back = {r.page_id: (r.record_type, r.payload_bytes) for r in warc.read_records(warc.write_archives(clash), stretch=1000).collect()}
+    assert back == {k: (r.record_type, r.payload_bytes) for k, r in got.items()} | {9: ("response", 6_000_000)}
     reads = warc.coalesced([(0, 10), (12, 5), (500, 5)], gap=4, most=100)
     assert reads == [(0, 17, 0, 2), (500, 505, 2, 3)] and all(a[1] <= b[0] for a, b in pairwise(reads))
 
@@ -304,6 +349,16 @@ def test_chat_edges(spark):
     assert chat.read_back(chat.format_chats(made.limit(0))).count() == 0
 
 
+def test_chat_keeps_large_ids_apart_beside_null_ones(spark):
+    big = 2**53
+    rows = [(c, i, r, f"{c} {r}") for c in (big, big + 1, None, -(2**63)) for i, r in enumerate(["user", "assistant"])]
+    made = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1)
+    clash = made.withColumn("position", F.lit("x")).withColumn("segments", F.lit(1)).withColumn("state", F.lit(None).cast("int"))
+    for frame_ in (made, clash):
+        got = {r.conv_id: (r.n_turns, r.loss_sha256, r.valid) for r in chat.read_back(chat.format_chats(frame_)).collect()}
+        assert got == {c: (2, hashlib.sha256(f"{c} assistant".encode()).hexdigest(), True) for c in (big, big + 1, None, -(2**63))}
+
+
 def test_pipeline_stages_follow_their_operators(spark, sf):
     import corpus_pipeline as p
 
