@@ -3,9 +3,9 @@
 A document's set is its distinct word shingles, each a 64-bit hash; its sketch is the k smallest.
 
 1. Documents with equal sets become one class, told by a 64-bit fingerprint of the whole set.
-2. The retained values are inverted.  Two sets at the threshold share at least ``least`` of the values that
-   their union retains, but for a probability of ``loss`` (the exact binomial tail), so they share one of the
-   ``k - least + 1`` values that are rarest in the corpus: a class posts only those.  Rarity is the exact
+2. The ``posted`` smallest retained values are inverted.  Two sets at the threshold share at least ``least`` of the
+   smallest values of their union, but for a probability of ``loss`` (the exact binomial tail), so they share one of the
+   ``posted - least + 1`` values that are rarest in the corpus: a class posts only those.  Rarity is the exact
    count of classes that retain a value, so common phrases post nothing and every list stays short, save
    those of groups of near copies.
 3. Lists with the same least member, their hub, are one group, and every member meets the hub.  The sizes and the
@@ -185,7 +185,7 @@ class _Sets:
         return self.held
 
 
-def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: int, stars: int, short: int, block: int, broadcast_rows: int, loss: float) -> tuple[DataFrame, DataFrame]:
+def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: int, posted: int, stars: int, short: int, block: int, broadcast_rows: int, loss: float) -> tuple[DataFrame, DataFrame]:
     """Rows (id, h, n, node) of all documents, h a hash of the text, and for each node its component: node, of, id and h of the component's least row."""
     base = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
     made = append(base, ["t"], "s", "struct<n: bigint, node: bigint, low: array<bigint>>", _sketches(words, k))
@@ -196,16 +196,21 @@ def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: in
     full = _Sets(base, classes.select("node", "id", "h"), words, broadcast_rows)
 
     # inverted lists of the rarest retained values; a value that one class alone retains comes first and needs no list
-    post = classes.filter("n > 1").select("node", "n", F.size("low").alias("size"), F.explode("low").alias("v"))
+    post = classes.filter("n > 1").select("node", F.explode(F.slice("low", 1, posted)).alias("v"))
     often = cut(post.groupBy("v").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
-    shared = post.join(often, "v").groupBy("node", "n", "size").agg(F.array_sort(F.collect_list(F.struct("often", "v"))).alias("w"))  # at most k values
-    need = F.when(F.col("n") <= k, F.ceil(F.col("n") * percent / 100)).otherwise(least)
-    posted = F.slice("w", F.lit(1), F.greatest(F.lit(0), F.col("size") - need + 1 - (F.col("size") - F.size("w"))).cast("int"))
-    lists = cut(shared.select("node", "n", F.explode(posted).alias("p")).select(F.col("p.v").alias("v"), "node", "n"))
+    shared = post.join(often, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "v"))).alias("w"))  # at most ``posted`` values
+    need = F.when(F.col("n") <= posted, F.ceil(F.col("n") * percent / 100)).otherwise(least_shared(posted, percent, loss))
+    unique = F.least("n", F.lit(posted)) - F.size("w")
+    sized = shared.join(classes.select("node", "n"), "node").select("node", "n", F.slice("w", F.lit(1), F.greatest(F.lit(0), F.least("n", F.lit(posted)) - need + 1 - unique).cast("int")).alias("w"))
+    lists = cut(sized.select(F.explode("w.v").alias("v"), "node", "n"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The links among distinct pairs (a, b) of classes."""
-        sketch = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("low").alias(f"{x}l"))
+        pairs = cut(pairs)
+        ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())  # only their sketches move
+        small = ends.count() <= broadcast_rows
+        held = classes.select("node", "n", "low").join(F.broadcast(ends) if small else ends, "node", "left_semi")
+        sketch = lambda x: held.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("low").alias(f"{x}l"))
         near = cut(pairs.join(sketch("b"), "b").join(sketch("a"), "a").filter(_estimate(F.col("al"), F.col("bl"), F.col("an"), F.col("bn"), k, least, percent)).select("a", "b"))
         sets = full.of(near.select(F.explode(F.array("a", "b")).alias("node")))
         if sets is None:
@@ -266,7 +271,7 @@ def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: in
 
 
 def _options(options: dict) -> dict:
-    return {"percent": 80, "words": 2, "k": 64, "stars": 2, "short": 64, "block": 1 << 17, "broadcast_rows": 200_000, "loss": 1e-6} | options
+    return {"percent": 80, "words": 2, "k": 64, "posted": 32, "stars": 2, "short": 64, "block": 1 << 17, "broadcast_rows": 200_000, "loss": 1e-6} | options
 
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -277,7 +282,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     and link with nothing.  Rows that repeat an id are documents of their own that share it.  A null id stays alone
     with a null component.  An empty table gives no rows; other columns are ignored.
 
-    Options: ``percent`` 80, ``words`` 2, ``k`` 64 values retained, ``loss`` 1e-6 (the probability that a pair at the
+    Options: ``percent`` 80, ``words`` 2, ``k`` 64 values retained, the ``posted`` 32 least of them inverted, ``loss`` 1e-6 (the probability that a pair at the
     threshold is not met), ``stars`` 2, ``short`` 64 members, ``block`` 131,072 shingles, ``broadcast_rows`` 200,000.
     """
     rows, groups = _groups(docs, id, text, **_options(options))
