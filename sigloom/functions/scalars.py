@@ -77,20 +77,16 @@ def session_text(session: Column) -> Column:
     return F.when(session.rlike(r"^\d{8}_\d{6}$"), made).otherwise(session)
 
 
-#: Accepted time texts; a time of day alone is attached to ``day`` where one is given.
-TIME_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss"]
+#: Fixed value: accepted time texts: date and time with T or a space, a fraction of the second optional; the day may be missing.
+TIME_TEXT = r"^(\d{4}-\d{2}-\d{2}[T ])?\d{2}:\d{2}:\d{2}(\.\d{1,6})?$"
 
 
 def parse_time(text: Column, day: Column | None = None) -> Column:
-    """Epoch seconds from a number, a date and time (T or space, fraction optional) or a time of day; NULL otherwise."""
-    number = F.try_cast(text, "double") if hasattr(F, "try_cast") else text.try_cast("double")
-    stamp = lambda t, f: F.unix_micros(F.try_to_timestamp(t, F.lit(f))) / 1e6
-    padded = F.regexp_replace(text, r"^(.*:\d{2}\.)(\d{1,6})$", "$1$2")
-    micro = F.when(text.rlike(r"\.\d{1,6}$"), F.concat(F.substring_index(padded, ".", 1), F.lit("."), F.rpad(F.substring_index(padded, ".", -1), 6, "0"))).otherwise(text)
-    tries = [number, *(stamp(micro, f) for f in TIME_FORMATS)]
-    if day is not None:
-        tries += [stamp(F.concat(day, F.lit(" "), micro), f) for f in TIME_FORMATS[2:]]
-    return F.coalesce(*tries)
+    """Epoch seconds from a number, a date and time or, attached to ``day`` where one is given, a time of day; NULL otherwise."""
+    shaped = F.when(text.rlike(TIME_TEXT), text)
+    whole = shaped if day is None else F.when(F.length(F.substring_index(shaped, ".", 1)) == 8, F.concat(day, F.lit(" "), shaped)).otherwise(shaped)
+    dated = F.when(F.length(F.substring_index(whole, ".", 1)) == 19, whole)
+    return F.coalesce(text.try_cast("double"), F.unix_micros(F.try_to_timestamp(dated)) / 1e6)
 
 
 def bar_percent(value: Column, most: Column) -> Column:
@@ -98,12 +94,30 @@ def bar_percent(value: Column, most: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """Fewer decimals for larger numbers."""
-    size = F.abs(value)
-    return F.when(value.isNull(), "--").when(size >= 1000, F.format_string("%.0f", value)).when(size >= 10, F.format_string("%.1f", value)).when(size >= 0.01, F.format_string("%.3f", value)).otherwise(F.format_string("%.2e", value))
+    """Fewer decimals for larger numbers: one from 100, three from 1, four from 0.001, else exponential."""
+    exponent = F.regexp_replace(F.format_string("%.2e", value), r"e([+-])0?(\d+)$", "e$1$2")
+    return F.when(value.isNull() | F.isnan(value), "--").when(value >= 100, F.format_string("%.1f", value)).when(value >= 1, F.format_string("%.3f", value)).when(value >= 0.001, F.format_string("%.4f", value)).otherwise(exponent)
 
 
 def display_mean(values: list[Column]) -> Column:
     """Sum with NULL as 0 over the number of channels present."""
     total = sum((F.coalesce(v, F.lit(0.0)) for v in values[1:]), F.coalesce(values[0], F.lit(0.0)))
     return total / len(values)
+
+
+def optional_number(text: Column) -> Column:
+    """A number from text; NULL for empty or other text."""
+    return finite(F.trim(text).try_cast("double"))
+
+
+def clock_seconds(text: Column) -> Column:
+    """Seconds of the day of HH:MM:SS.mmm; NULL for other text."""
+    part = lambda k: F.regexp_extract(text, r"^(\d{2}):(\d{2}):(\d{2}(?:\.\d+)?)$", k)
+    return part(1).try_cast("double") * 3600 + part(2).try_cast("double") * 60 + part(3).try_cast("double")
+
+
+def duration_text(first: Column, last: Column, points: Column) -> Column:
+    """Minutes and seconds from one clock text to another, past midnight if the second is smaller; unknown below two points."""
+    gap = F.round(clock_seconds(last) - clock_seconds(first), 3)
+    whole = F.floor(F.when(gap < 0, gap + 86_400).otherwise(gap))
+    return F.when((points < 2) | whole.isNull(), "unknown").otherwise(F.concat(F.floor(whole / 60).cast("string"), F.lit(" min "), (whole % 60).cast("string"), F.lit(" s")))

@@ -53,3 +53,13 @@ def gated_runs(levels: DataFrame, keys: tuple[str, ...] = ("session_id",), order
     out = levels.withColumn("_island", broken)
     run = F.sum((F.col("level") == "gated").cast("int")).over(Window.partitionBy(*keys, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("run", run).withColumn("reset", F.col("run") >= least).drop("_island")
+
+
+def good_channels(verdicts: DataFrame) -> DataFrame:
+    """Verdicts other than bad."""
+    return verdicts.filter(F.col("quality") != "bad")
+
+
+def masked(rows: DataFrame, verdicts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Samples with their window's and channel's verdict; those of bad channels become NULL."""
+    return rows.join(verdicts, list(keys)).withColumn("value", F.when(F.col("quality") != "bad", F.col("value")))

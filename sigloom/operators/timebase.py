@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import session_seconds
@@ -25,12 +25,40 @@ def dejitter(rows: DataFrame, chunk: int, keys: tuple[str, ...] = ("session_id",
     return out.withColumn("_t0", start).withColumn("time", F.when(F.count(F.lit(1)).over(w) > 1, line).otherwise(F.col("time"))).drop("_chunk", "_x", "_t0")
 
 
+def corrected(rows: DataFrame, correction: str, offset: float) -> DataFrame:
+    """Stream times to the clock: plus the correction measured last (a column) and the offset between the clocks."""
+    last = F.last(correction, ignorenulls=True).over(Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("time", F.col("time") + F.coalesce(last, F.lit(0.0)) + offset)
+
+
+def dejitter_sliding(rows: DataFrame, chunk: Column, width: int, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """Times of each chunk replaced by a least-squares line over the last ``width`` rows up to the chunk's end.
+
+    The line runs over the row number ``seq``.  A chunk of one row keeps its time and no line uses it.
+    """
+    own = Window.partitionBy(*keys, "_c")
+    marked = rows.withColumn("_c", chunk).withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_x", F.col("seq").cast("double")).withColumn("_t0", F.min("time").over(Window.partitionBy(*keys)))
+    many = marked.filter("_n > 1").withColumn("_t", F.col("time") - F.col("_t0"))
+    frame = Window.partitionBy(*keys).orderBy("seq").rowsBetween(-(width - 1), 0)
+    fits = many.withColumns({"_s": F.regr_slope("_t", "_x").over(frame), "_mt": F.avg("_t").over(frame), "_mx": F.avg("_x").over(frame)})
+    last = lambda c: F.last(c).over(own.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    line = F.col("_t0") + last("_mt") + last("_s") * (F.col("_x") - last("_mx"))
+    made = fits.withColumn("time", line).select(*rows.columns)
+    return made.unionByName(marked.filter("_n = 1").select(*rows.columns))
+
+
 def downsample(rows: DataFrame, most: int, keys: tuple[str, ...] = ("session_id",), order: str = "seq") -> DataFrame:
-    """At most ``most`` evenly spaced rows per key, both ends kept, places rounded half to even."""
+    """At most ``most`` evenly spaced rows per key, both ends kept, places rounded half to even.
+
+    Row i is the k-th of the evenly spaced places if ``rint(k * (n - 1) / (most - 1)) = i``; only the places next to ``i * (most - 1) / (n - 1)`` can be.
+    """
     w = Window.partitionBy(*keys)
     out = rows.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    places = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.rint(k * (F.col("_n") - 1) / F.lit(float(max(most - 1, 1)))))
-    return out.filter((F.col("_n") <= most) | F.array_contains(places, F.col("_i").cast("double"))).drop("_i", "_n")
+    if most < 2:
+        return out.filter((F.col("_n") <= most) | (F.col("_i") < most)).drop("_i", "_n")
+    middle = F.rint(F.col("_i") * (most - 1) / (F.col("_n") - 1))
+    hit = lambda d: (middle + d >= 0) & (middle + d <= most - 1) & (F.rint((middle + d) * (F.col("_n") - 1) / F.lit(float(most - 1))) == F.col("_i"))
+    return out.filter((F.col("_n") <= most) | hit(0) | hit(-1) | hit(1)).drop("_i", "_n")
 
 
 def anchored(rows: DataFrame, session: str = "session_id", keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
@@ -47,11 +75,6 @@ def near_sessions(left: DataFrame, right: DataFrame, seconds: float = 120.0) ->
     return a.join(b, "_b").filter(F.abs(F.col("start") - F.col("other_start")) < seconds).select("session", "other", (F.col("other_start") - F.col("start")).alias("delta"))
 
 
-def segments(rows: DataFrame, size: int) -> DataFrame:
-    """Number of the file segment of each row, from 1."""
-    return rows.withColumn("segment", (F.floor(F.col("seq") / size) + 1).cast("bigint"))
-
-
 def in_intervals(samples: DataFrame, intervals: DataFrame, width: float) -> DataFrame:
     """Samples (session_id, time, ...) inside intervals (session_id, id, start_ts, end_ts; start included, end not).
 

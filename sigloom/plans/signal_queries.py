@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators import clean, quality, report, timebase
 from ..operators import features as feat
+from ..sources import segments
 from . import views as V
 from .feature_queries import attention_level, rounded
 
@@ -93,12 +94,6 @@ def downsampled(spark, d):
     return rounded(timebase.downsample(V.sig_user(spark, d), 20).select("session_id", "seq", "value"))
 
 
-def state_changes(spark, d):
-    u = V.sig_user(spark, d).withColumn("state", F.get_json_object("props", "$.k").cast("bigint"))
-    before = F.lag("state").over(Window.partitionBy("session_id").orderBy("seq"))
-    return u.withColumn("was", before).filter("was is not null and state <> was").select("session_id", "seq", "state", F.col("state").bitwiseXOR(F.col("was")).alias("changed"))
-
-
 def session_catalogue(spark, d):
     u = V.sig_user(spark, d).groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types"), F.min("time").alias("a"), F.max("time").alias("b"))
     return u.select("session_id", "types", X.date_text(F.col("a")).alias("start_text"), X.date_text(F.col("b")).alias("end_text"))
@@ -110,7 +105,7 @@ def neighbouring_sessions(spark, d):
 
 
 def segment_index(spark, d):
-    return timebase.segments(V.sig_user(spark, d), 30).groupBy("session_id", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+    return segments.with_segment(V.sig_user(spark, d), 30).groupBy("session_id", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
 
 
 def marker_intervals(spark, d):
@@ -141,7 +136,7 @@ def fatigue_onset(spark, d):
     return rounded(report.fatigue(u, "score", order="seq"), 5)
 
 
-QUERIES = {f.__name__: f for f in (effective_rate, drop_empty_rows, baseline_corrected, gaps_filled, scaled, dead_channels_repaired, zero_phase_filter, channel_quality, blink_windows, motion_levels, gated_window_runs, packets_to_samples, dejittered, downsampled, state_changes, session_catalogue, neighbouring_sessions, segment_index, marker_intervals, optical_ratio, attention_report, report_advice, fatigue_onset)}
+QUERIES = {f.__name__: f for f in (effective_rate, drop_empty_rows, baseline_corrected, gaps_filled, scaled, dead_channels_repaired, zero_phase_filter, channel_quality, blink_windows, motion_levels, gated_window_runs, packets_to_samples, dejittered, downsampled, session_catalogue, neighbouring_sessions, segment_index, marker_intervals, optical_ratio, attention_report, report_advice, fatigue_onset)}
 
 _E = "e AS (SELECT session_id, seq // 32 AS epoch, ch, seq, value FROM long)"
 _MOTION = """n AS (SELECT session_id, seq // 52 AS win, sqrt(AccX * AccX + AccY * AccY + AccZ * AccZ) AS a, sqrt(GyrX * GyrX + GyrY * GyrY + GyrZ * GyrZ) AS g FROM imu),
@@ -153,6 +148,7 @@ h AS (SELECT session_id, n, mean_score, max_score, high_share, medium_share, low
 
 
 def _with(names: str, ctes: str, body: str) -> str:
+    """A query over views and further common table expressions."""
     return f"{V.sql(names, '@').rsplit(' @', 1)[0]}, {ctes} {body}"
 
 
@@ -186,7 +182,6 @@ SQL = {
         "SELECT session_id, seq, round(CASE WHEN n > 1 THEN t0 + mt + cv / vx * (seq - mx) ELSE time END, 3) AS time FROM r",
     ),
     "downsampled": V.sql("usr", "SELECT session_id, seq, round(value, 6) AS value FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM usr) WHERE n <= 20 OR list_contains(list_transform(range(0, 20), lambda k: round_even(k * (n - 1) / 19.0::DOUBLE, 0)), seq)"),
-    "state_changes": V.sql("usr", "SELECT session_id, seq, state, xor(state, was) AS changed FROM (SELECT *, lag(state) OVER (PARTITION BY session_id ORDER BY seq) AS was FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS state FROM usr)) WHERE was IS NOT NULL AND state <> was"),
     "session_catalogue": "SELECT user_id AS session_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start_text, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS end_text FROM events GROUP BY 1",
     "neighbouring_sessions": V.sql("usr", "SELECT a.s AS session, b.s AS other, round(b.t - a.t, 3) AS delta FROM (SELECT session_id AS s, min(time) AS t FROM usr GROUP BY 1) a JOIN (SELECT session_id AS s, min(time) AS t FROM usr GROUP BY 1) b ON a.s < b.s AND abs(a.t - b.t) < 3600"),
     "segment_index": V.sql("usr", "SELECT session_id, seq // 30 + 1 AS segment, count(*) AS n, min(seq) AS first FROM usr GROUP BY ALL"),

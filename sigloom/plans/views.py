@@ -58,6 +58,51 @@ def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.join(start, "session_id").select("session_id", F.col("seq").alias("id"), F.col("event_type").alias("content"), (F.col("session_start") + k).alias("start_ts"), (F.col("session_start") + k + F.col("value")).alias("end_ts"), "session_start")
 
 
+def k_of(column: str = "props"):
+    """The number that an event's JSON holds."""
+    return F.get_json_object(column, "$.k").cast("bigint")
+
+
+def blinks(spark: SparkSession, sf_dir: str, fs: float = 64.0) -> DataFrame:
+    """Calm samples with gaps and rare spikes, in windows of 64 rows."""
+    value = F.when(F.col("event_id") % 397 == 0, 4000.0).when(F.col("event_id") % 37 != 0, F.col("value") * 0.4)
+    return _pivot(spark, sf_dir, ["CH1", "CH2", "CH3", "CH4"], fs, value=value).withColumn("win", F.floor(F.col("seq") / 16).cast("bigint"))
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control messages of a user's session, one of eleven malformed."""
+    k = F.col("k")
+    u = sig_user(spark, sf_dir).withColumn("k", k_of())
+    part = lambda n, text: F.when(k % n == 0, text).otherwise("")
+    text = F.concat(F.lit('{"rc":0,"ps":'), F.when(k % 11 == 0, "").otherwise((k % 3).cast("string")), part(5, F.concat(F.lit(',"bp":'), k, F.lit(".5"))), part(10, F.concat(F.lit(',"tp":'), k)), part(7, F.lit(',"zz":"q"')), F.lit("}"))
+    return u.select("session_id", "seq", "k", text.alias("message"))
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages in two chunks each, with a length character before and NULs behind, as they come from the device."""
+    m = messages(spark, sf_dir)
+    at = (1 + F.col("k") % (F.length("message") - 1)).cast("int")
+    half = lambda i, text: F.struct((F.col("seq") * 2 + i).alias("seq"), F.concat(F.lit("L"), text, F.lit("\x00\x00")).alias("chunk"))
+    return m.select("session_id", F.explode(F.array(half(0, F.substr(F.col("message"), F.lit(1), at)), half(1, F.substr(F.col("message"), at + 1)))).alias("c")).select("session_id", "c.*")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marker requests of a user's session in all accepted forms, and two that are not: session_id, start_ts, pos, marker."""
+    u = sig_user(spark, sf_dir).withColumn("k", k_of())
+    start = u.groupBy("session_id").agg(F.min("time").alias("start_ts"))
+    k, kind, form = F.col("k"), F.col("event_type"), F.col("k") % 6
+    far = F.format_string("%d", F.lit(1_704_103_200) + k)
+    text = (
+        F.when(form == 0, F.format_string('{"time_range":[%d,%d],"content":"%s"}', k, k + 7, kind))
+        .when(form == 1, F.format_string('{"timeRange":{"start":%d,"end":%d},"label":"%s"}', k, k + 5, kind))
+        .when(form == 2, F.format_string('{"range":{"from":%s,"to":%s},"text":"%s","note":"n"}', far, far, kind))
+        .when(form == 3, F.format_string('{"range":{"begin":"2024-01-05T10:00:00","stop":"2024-01-05 10:00:%02d.25"},"content":"%s"}', k % 60, kind))
+        .when(form == 4, F.lit('"junk"'))
+        .otherwise(F.format_string('{"time_range":["bad","worse"],"content":"%s"}', kind))
+    )
+    return u.join(start, "session_id").select("session_id", "start_ts", F.col("seq").alias("pos"), text.alias("marker"))
+
+
 def _sql_pivot(name: str, parts: list[str], fs: float, value: str = "value") -> str:
     n = len(parts)
     cols = ", ".join(f"max(v) FILTER (c = {k}) AS {p}" for k, p in enumerate(parts))
@@ -75,6 +120,13 @@ SQL = {
     + ", imu AS (SELECT session_id, seq, time, 0.577::DOUBLE + k * (a - 50) / 1500 AS AccX, 0.577::DOUBLE + k * (b - 50) / 1500 AS AccY, 0.577::DOUBLE + k * (c - 50) / 1500 AS AccZ, k * d / 12 AS GyrX, k * e / 12 AS GyrY, k * f / 12 AS GyrZ FROM imu1)",
     "ppg": _sql_pivot("ppg", ["ambient", "ir", "red"], "64.0::DOUBLE"),
     "usr": "usr AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, epoch_us(ts) / 1e6::DOUBLE AS time, event_type, value, props, event_id FROM events)",
+    "blk": _sql_pivot("blk0", ["CH1", "CH2", "CH3", "CH4"], "64.0::DOUBLE", "CASE WHEN event_id % 397 = 0 THEN 4000.0::DOUBLE WHEN event_id % 37 <> 0 THEN value * 0.4::DOUBLE END") + ", blk AS (SELECT *, seq // 16 AS win FROM blk0)",
+    "blkl": "blkl AS (SELECT session_id, win, seq, unnest(['CH1','CH2','CH3','CH4']) AS ch, unnest([CH1, CH2, CH3, CH4]) AS v FROM blk), pk0 AS (SELECT session_id, win, ch, max(abs(v)) AS p FROM blkl GROUP BY ALL), pk AS (SELECT session_id, win, max(p) AS peak, median(p) AS typical FROM pk0 GROUP BY ALL)",
+    "thr": """pn AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY win) AS r FROM pk),
+f AS (SELECT session_id, r, win, 200.0::DOUBLE AS threshold, false AS warmed_up, peak <= 200 AS clean, CASE WHEN peak <= 200 AND typical IS NOT NULL THEN [typical] ELSE [] END AS dq FROM pn WHERE r = 1
+  UNION ALL SELECT session_id, r, win, t, w, peak <= t, CASE WHEN peak <= t AND typical IS NOT NULL THEN list_slice(list_append(dq, typical), CASE WHEN len(dq) >= 20 THEN 2 ELSE 1 END, 21) ELSE dq END
+  FROM (SELECT p.*, dq, (len(dq) >= 20) AS w, CASE WHEN len(dq) >= 20 THEN 5 * list_aggregate(dq, 'median') ELSE 200 END AS t FROM f JOIN pn p ON f.session_id = p.session_id AND p.r = f.r + 1))""",
+    "ku": "ku AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM usr)",
     "long": "long AS (UNPIVOT sig ON CH1, CH2, CH3, CH4 INTO NAME ch VALUE value)",
     "glong": "glong AS (SELECT session_id, seq, time, unnest(['CH1','CH2','CH3','CH4']) AS ch, unnest([CH1, CH2, CH3, CH4]) AS value FROM gaps)",
     "mrk": "mrk AS (SELECT u.session_id, seq AS id, event_type AS content, s0 + CAST(json_extract_string(props, '$.k') AS DOUBLE) AS start_ts, s0 + CAST(json_extract_string(props, '$.k') AS DOUBLE) + value AS end_ts, s0 AS session_start FROM usr u JOIN (SELECT session_id, min(time) AS s0 FROM usr GROUP BY 1) USING (session_id))",
@@ -93,7 +145,7 @@ SQL = {
     "att": "att0 AS (SELECT session_id, epoch, timestamp, row_number() OVER w AS k, avg(att) OVER f AS attention_score, avg(ei) OVER f AS engagement_index, avg(tar) OVER f AS theta_alpha_ratio, avg(cog) OVER f AS cog_load_score FROM idx WINDOW w AS (PARTITION BY session_id ORDER BY epoch), f AS (PARTITION BY session_id ORDER BY epoch ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)), "
     "att AS (SELECT *, CASE WHEN attention_score >= 0.65 THEN 'high' WHEN attention_score >= 0.4 THEN 'medium' ELSE 'low' END AS level, CASE WHEN cog_load_score >= 0.65 THEN 'high' WHEN cog_load_score >= 0.4 THEN 'medium' ELSE 'low' END AS clevel FROM att0 WHERE k >= 5)",
 }
-NEEDS = {"long": ["sig"], "glong": ["gaps"], "mrk": ["usr"], "ep": ["sig", "long"], "psd": ["ep"], "bands": ["psd"], "idx": ["bands"], "att": ["idx"]}
+NEEDS = {"blkl": ["blk"], "thr": ["blkl"], "ku": ["usr"], "long": ["sig"], "glong": ["gaps"], "mrk": ["usr"], "ep": ["sig", "long"], "psd": ["ep"], "bands": ["psd"], "idx": ["bands"], "att": ["idx"]}
 
 
 def sql(names: str, body: str) -> str:
@@ -108,4 +160,4 @@ def sql(names: str, body: str) -> str:
 
     for n in names.split():
         add(n)
-    return "WITH " + ", ".join(SQL[n] for n in order) + " " + body if order else body
+    return ("WITH RECURSIVE " if "thr" in order else "WITH ") + ", ".join(SQL[n] for n in order) + " " + body if order else body

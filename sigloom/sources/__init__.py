@@ -1,0 +1 @@
+"""Scans and sinks of recordings and markers."""
