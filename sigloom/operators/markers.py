@@ -18,19 +18,18 @@ def _first(json: Column, names: list[str]) -> Column:
     return F.coalesce(*(F.nullif(F.get_json_object(json, f"$.{n}"), F.lit("")) for n in names))
 
 
-def parse_range(json: Column, session_start: Column) -> tuple[Column, Column, Column]:
-    """Start, end and duration (three digits) of a range given as a list or an object; small numbers count from the session's start."""
-    listed = json.startswith("[")
-    one = F.when(listed, F.get_json_object(json, "$[0]")).otherwise(_first(json, STARTS))
-    two = F.when(listed, F.get_json_object(json, "$[1]")).otherwise(_first(json, ENDS))
-    day = X.date_text(session_start).substr(1, 10)
+def parse_range(rows: DataFrame, json: str, session_start: str) -> DataFrame:
+    """Adds start_ts, end_ts and duration_s (three digits) of a range given as a list or an object in column ``json``.
 
-    def absolute(text: Column) -> Column:
-        value = X.parse_time(text, day)
-        return F.when((value < RELATIVE) & session_start.isNotNull(), value + session_start).otherwise(value)
-
-    start, end = absolute(one), absolute(two)
-    return start, end, F.bround(end - start, 3)
+    Small numbers count from the session's start; a time of day belongs to the session's day.
+    """
+    r = F.col(json)
+    ends = lambda k, names: F.when(r.startswith("["), F.get_json_object(r, f"$[{k}]")).otherwise(_first(r, names))
+    texts = rows.withColumns({"_one": ends(0, STARTS), "_two": ends(1, ENDS), "_day": X.date_text(F.col(session_start)).substr(1, 10)})
+    values = texts.withColumns({"_one": X.parse_time(F.col("_one"), F.col("_day")), "_two": X.parse_time(F.col("_two"), F.col("_day"))})
+    absolute = lambda c: F.col(c) + F.when((F.col(c) < RELATIVE) & F.col(session_start).isNotNull(), F.col(session_start)).otherwise(0.0)
+    out = values.withColumns({"start_ts": absolute("_one"), "end_ts": absolute("_two")})
+    return out.withColumn("duration_s", F.bround(F.col("end_ts") - F.col("start_ts"), 3)).drop("_one", "_two", "_day")
 
 
 def parse_markers(requests: DataFrame) -> DataFrame:
@@ -38,12 +37,10 @@ def parse_markers(requests: DataFrame) -> DataFrame:
 
     A range that does not parse leaves the times NULL; other entries are kept in ``extras``.
     """
-    body = F.from_json("marker", "map<string,string>")
     j = F.col("marker")
-    start, end, length = parse_range(_first(j, RANGE), F.col("session_start"))
-    rest = F.map_filter(body, lambda k, v: ~k.isin([*RANGE, *CONTENT, "session_id"]))
-    rows = requests.withColumnRenamed("start_ts", "session_start").filter(F.trim("marker").startswith("{") & body.isNotNull())
-    made = rows.select("session_id", "pos", F.coalesce(_first(j, CONTENT), F.lit("")).alias("content"), start.alias("start_ts"), end.alias("end_ts"), length.alias("duration_s"), rest.alias("extras"))
+    rows = requests.select("session_id", F.col("start_ts").alias("_start"), "pos", "marker").filter(F.trim("marker").startswith("{"))
+    read = rows.withColumns({"_range": _first(j, RANGE), "content": F.coalesce(_first(j, CONTENT), F.lit("")), "_body": F.from_json("marker", "map<string,string>")}).filter("_body is not null")
+    made = parse_range(read, "_range", "_start").withColumn("extras", F.map_filter("_body", lambda k, v: ~k.isin([*RANGE, *CONTENT, "session_id"])))
     number = F.row_number().over(Window.partitionBy("session_id").orderBy("pos")) - 1
     return made.select("session_id", number.cast("bigint").alias("id"), "content", "start_ts", "end_ts", X.date_text(F.col("start_ts")).alias("start_str"), X.date_text(F.col("end_ts")).alias("end_str"), "duration_s", "extras")
 

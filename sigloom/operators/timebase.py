@@ -50,14 +50,15 @@ def dejitter_sliding(rows: DataFrame, chunk: Column, width: int, keys: tuple[str
 def downsample(rows: DataFrame, most: int, keys: tuple[str, ...] = ("session_id",), order: str = "seq") -> DataFrame:
     """At most ``most`` evenly spaced rows per key, both ends kept, places rounded half to even.
 
-    Row i is the k-th of the evenly spaced places if ``rint(k * (n - 1) / (most - 1)) = i``; only the places next to ``i * (most - 1) / (n - 1)`` can be.
+    Row i is one of the evenly spaced places if ``rint(k * step) = i`` with ``step = (n - 1) / (most - 1)``; only the k next to ``i / step`` can be.
     """
     w = Window.partitionBy(*keys)
     out = rows.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
     if most < 2:
         return out.filter((F.col("_n") <= most) | (F.col("_i") < most)).drop("_i", "_n")
-    middle = F.rint(F.col("_i") * (most - 1) / (F.col("_n") - 1))
-    hit = lambda d: (middle + d >= 0) & (middle + d <= most - 1) & (F.rint((middle + d) * (F.col("_n") - 1) / F.lit(float(most - 1))) == F.col("_i"))
+    step = (F.col("_n") - 1) / F.lit(float(most - 1))
+    middle = F.rint(F.col("_i") / step)
+    hit = lambda d: (middle + d >= 0) & (middle + d <= most - 1) & (F.rint((middle + d) * step) == F.col("_i"))
     return out.filter((F.col("_n") <= most) | hit(0) | hit(-1) | hit(1)).drop("_i", "_n")
 
 

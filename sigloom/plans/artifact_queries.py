@@ -67,7 +67,7 @@ def ordered_imu(spark, d):
 
 
 def resampled_linear(spark, d):
-    times = V.sig_wide(spark, d).select("session_id", "seq", (F.col("time") / 2 - 0.05).alias("time"))
+    times = V.sig_wide(spark, d).select("session_id", "seq", (F.col("time") / 2.0137 - 0.0513).alias("time"))
     return rounded(artifacts.resample_linear(times, _imu_odd(spark, d)))
 
 
@@ -214,7 +214,7 @@ def markers_appended(spark, d):
     s = _sessions(spark, d)
     more = V.requests(spark, d).select(F.format_string("u%05d", "session_id").alias("session_id"), "pos", "marker").filter("pos = 0")
     out = markers.append_markers(s, more.unionByName(spark.createDataFrame([("zz", 0, '{"time_range":[1704103200,1704103260],"content":"new"}')], "session_id string, pos bigint, marker string")))
-    return out.select("session_id", "marker_count", F.element_at("markers", -1)["id"].alias("last_id"), F.element_at("markers", -1)["content"].alias("last"))
+    return out.select("session_id", "marker_count", F.try_element_at("markers", F.lit(-1))["id"].alias("last_id"), F.try_element_at("markers", F.lit(-1))["content"].alias("last"))
 
 
 def session_times_patched(spark, d):
@@ -307,7 +307,7 @@ z AS (SELECT *, CASE WHEN good < 2 THEN NULL WHEN NOT bad THEN v WHEN i IS NULL
     "motion_gated": _with("imu", _LV, "SELECT session_id, win, CASE WHEN win % 4 > 0 THEN level END AS level FROM lv WHERE win % 4 = 0 OR level <> 'gated'"),
     "ordered_imu": _with("imu", _ODD, "SELECT session_id, seq, round(time, 6) AS time, " + ", ".join(f"round({a}, 6) AS {a}" for a in _AXES) + " FROM ord"),
     "resampled_linear": _with(
-        "sig imu", _ODD + ", t AS (SELECT session_id, seq, time / 2 - 0.05::DOUBLE AS time FROM sig), p AS (SELECT t.*, " + ", ".join(f"o.{a} AS a_{a}" for a in ["time", *_AXES]) + " FROM t ASOF LEFT JOIN ord o ON t.session_id = o.session_id AND t.time >= o.time), q AS (SELECT p.*, " + ", ".join(f"o.{a} AS b_{a}" for a in ["time", *_AXES]) + " FROM p ASOF LEFT JOIN ord o ON p.session_id = o.session_id AND p.time <= o.time)",
+        "sig imu", _ODD + ", t AS (SELECT session_id, seq, time / 2.0137::DOUBLE - 0.0513::DOUBLE AS time FROM sig), p AS (SELECT t.*, " + ", ".join(f"o.{a} AS a_{a}" for a in ["time", *_AXES]) + " FROM t ASOF LEFT JOIN ord o ON t.session_id = o.session_id AND t.time >= o.time), q AS (SELECT p.*, " + ", ".join(f"o.{a} AS b_{a}" for a in ["time", *_AXES]) + " FROM p ASOF LEFT JOIN ord o ON p.session_id = o.session_id AND p.time <= o.time)",
         "SELECT session_id, seq, round(time, 6) AS time, " + ", ".join(f"round(CASE WHEN a_time IS NULL THEN b_{a} WHEN b_time IS NULL THEN a_{a} WHEN b_time > a_time THEN a_{a} + (b_{a} - a_{a}) * (time - a_time) / (b_time - a_time) ELSE a_{a} END, 6) AS {a}" for a in _AXES) + " FROM q",
     ),
     "baseline_quality": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS v FROM embeddings),
@@ -325,7 +325,7 @@ SELECT vec_id, errors = '' AS ok, errors, warns FROM g""",
         "ku", "s AS (SELECT session_id, seq AS tick, CASE WHEN k % 6 > 0 THEN value END AS spo2 FROM ku), r AS (SELECT *, count(spo2) OVER (PARTITION BY session_id ORDER BY tick) AS c FROM s), v AS (SELECT session_id, c, spo2 FROM r WHERE spo2 IS NOT NULL)",
         "SELECT r.session_id, tick, round(any_value(r.spo2), 5) AS spo2, round(avg(v.spo2), 5) AS spo2_smooth FROM r LEFT JOIN v ON r.session_id = v.session_id AND v.c <= r.c AND v.c > r.c - 8 GROUP BY r.session_id, tick",
     ),
-    "history_load": V.sql("usr", "SELECT session_id, seq, round(time, 3) AS time, round(value, 3) AS value, strftime(make_timestamp(CAST(floor(time * 1000000) AS BIGINT)), '%H:%M:%S.%g') AS clock FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS n, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS i FROM usr WHERE time BETWEEN 1704500000 AND 1706000000) WHERE n <= 20 OR list_contains(list_transform(range(0, 20), lambda k: round_even(k * (n - 1) / 19.0::DOUBLE, 0)), i)"),
+    "history_load": V.sql("usr", "SELECT session_id, seq, round(time, 3) AS time, round(value, 3) AS value, strftime(make_timestamp(CAST(floor(time * 1000000) AS BIGINT)), '%H:%M:%S.%g') AS clock FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS n, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS i FROM usr WHERE time BETWEEN 1704500000 AND 1706000000) WHERE n <= 20 OR list_contains(list_transform(range(0, 20), lambda k: round_even(k * ((n - 1) / 19.0::DOUBLE), 0)), i)"),
     "ring_snapshot": V.sql("usr", "SELECT session_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY seq) AS events FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS r FROM usr) WHERE r <= 7 GROUP BY 1"),
     "latest_values": V.sql("usr", "SELECT session_id, round(max_by(value, seq), 6) AS value, max_by(event_type, seq) AS event_type FROM usr GROUP BY 1"),
     "band_series": V.sql("bands", "SELECT session_id, epoch, round(max(delta) FILTER (ch = 'CH1'), 6) AS delta1, round(max(theta) FILTER (ch = 'CH2'), 6) AS theta2, round(max(gamma) FILTER (ch = 'CH4'), 6) AS gamma4 FROM bp GROUP BY ALL"),

@@ -122,4 +122,18 @@ b(name, lo, hi) AS (VALUES ('a', 1, 4), ('a', 4, 8), ('a', 8, 13), ('low', 13, 2
 s AS (SELECT vec_id, name, sum((p + p2) / 2) AS v FROM (SELECT *, lead(p) OVER (PARTITION BY vec_id ORDER BY k) AS p2 FROM p) JOIN b ON k >= lo AND k + 1 <= least(hi, 32) GROUP BY ALL),
 w AS (SELECT vec_id, max(v) FILTER (name = 'a') AS a, max(v) FILTER (name = 'low') AS lo, max(v) FILTER (name = 'high') AS hi FROM s GROUP BY ALL)
 SELECT t.vec_id, label, round(mean, 8) AS mean, round(std, 4) AS std, round(ptp, 4) AS ptp, round(zcr, 4) AS zcr, round(skew, 4) AS skew, round(hjorth_mobility, 4) AS hjorth_mobility, round(a + lo + greatest(0, least(1, 1 - (hi / (lo + 1e-10) - 1.5) / 1.5)) * hi, 4) AS total_power FROM t JOIN w USING (vec_id)""",
+    "quality_hf": V.sql(
+        "long",
+        """@""",
+    ).replace(
+        "@",
+        """, l AS (SELECT session_id, seq // 512 AS win, ch, seq % 512 AS i, value - avg(value) OVER p AS v, count(*) OVER p AS len FROM long WINDOW p AS (PARTITION BY session_id, seq // 512, ch)),
+g AS (SELECT *, least(256, len) AS n, unnest(range(0, len - least(256, len) + 1, least(256, len) - least(256, len) // 2)) AS a FROM l WHERE len >= 32),
+s AS (SELECT session_id, win, ch, a, n, i - a AS t, v - avg(v) OVER (PARTITION BY session_id, win, ch, a) AS v FROM g WHERE i >= a AND i < a + n),
+y AS (SELECT *, v * (0.5 - 0.5 * cos(2 * pi() * t / n)) AS y FROM s),
+b AS (SELECT *, unnest(range(0, least(n // 2, 45 * n // 256 + 1) + 1)) AS k FROM y),
+p AS (SELECT session_id, win, ch, a, k, k * 256.0::DOUBLE / any_value(n) AS f, (pow(sum(y * cos(2 * pi() * k * t / n)), 2) + pow(sum(y * sin(2 * pi() * k * t / n)), 2)) * CASE WHEN k = 0 OR 2 * k = any_value(n) THEN 1 ELSE 2 END AS p FROM b GROUP BY session_id, win, ch, a, k),
+r AS (SELECT session_id, win, ch, coalesce(sum(p) FILTER (f >= 30 AND f <= 45), 0) AS hf, sum(p) FILTER (f >= 1 AND f <= 45) AS total FROM p GROUP BY ALL)
+SELECT DISTINCT l.session_id, l.win, l.ch, round(CASE WHEN coalesce(total, 0) < 1e-12 THEN 0 ELSE hf / total END, 4) AS hf_ratio FROM l LEFT JOIN r ON l.session_id = r.session_id AND l.win = r.win AND l.ch = r.ch""",
+    ),
 }

@@ -37,7 +37,9 @@ def effective_rate(spark, d):
 
 
 def drop_empty_rows(spark, d):
-    return rounded(clean.drop_empty(V.sig_gaps(spark, d), CH))
+    """Every seventh sample has no channel."""
+    gaps = V.sig_gaps(spark, d)
+    return rounded(clean.drop_empty(gaps.withColumns({c: F.when(F.col("seq") % 7 > 0, F.col(c)) for c in CH}), CH))
 
 
 def baseline_corrected(spark, d):
@@ -76,7 +78,9 @@ def motion_levels(spark, d):
 
 
 def gated_window_runs(spark, d):
-    return quality.gated_runs(_levels(spark, d)).select("session_id", "win", "level", "run", "reset")
+    """Quarter windows, so that four in a row are gated."""
+    levels = quality.motion(V.imu(spark, d).withColumn("win", F.floor(F.col("seq") / 13).cast("bigint")), ["session_id", "win"])
+    return quality.gated_runs(levels).select("session_id", "win", "level", "run", "reset")
 
 
 def packets_to_samples(spark, d):
@@ -154,7 +158,7 @@ def _with(names: str, ctes: str, body: str) -> str:
 
 SQL = {
     "effective_rate": V.sql("usr", "SELECT session_id, count(*) AS n, round((count(*) - 1) / nullif(max_by(time, seq) - min_by(time, seq), 0), 9) AS fs FROM usr GROUP BY 1"),
-    "drop_empty_rows": V.sql("gaps", "SELECT session_id, seq, round(time, 6) AS time, round(CH1, 6) AS CH1, round(CH2, 6) AS CH2, round(CH3, 6) AS CH3, round(CH4, 6) AS CH4 FROM gaps WHERE coalesce(CH1, CH2, CH3, CH4) IS NOT NULL"),
+    "drop_empty_rows": V.sql("gaps", "SELECT session_id, seq, round(time, 6) AS time, round(CH1, 6) AS CH1, round(CH2, 6) AS CH2, round(CH3, 6) AS CH3, round(CH4, 6) AS CH4 FROM gaps WHERE seq % 7 > 0 AND coalesce(CH1, CH2, CH3, CH4) IS NOT NULL"),
     "baseline_corrected": _with("long", _E, "SELECT session_id, epoch, ch, seq, round(value - avg(value) FILTER (seq % 32 < 6) OVER (PARTITION BY session_id, epoch, ch), 6) AS value FROM e"),
     "gaps_filled": _with(
         "glong",
@@ -173,7 +177,7 @@ SQL = {
     ),
     "motion_levels": _with("imu", _MOTION, "SELECT session_id, win, round(acc95, 6) AS acc95, round(gyr95, 6) AS gyr95, round(acc_std, 6) AS acc_std, level FROM lv"),
     "gated_window_runs": _with(
-        "imu", _MOTION + ", b AS (SELECT *, count(*) FILTER (level <> 'gated') OVER (PARTITION BY session_id ORDER BY win) AS island FROM lv), r AS (SELECT *, count(*) FILTER (level = 'gated') OVER (PARTITION BY session_id, island ORDER BY win) AS run FROM b)",
+        "imu", _MOTION.replace("// 52 AS win", "// 13 AS win") + ", b AS (SELECT *, count(*) FILTER (level <> 'gated') OVER (PARTITION BY session_id ORDER BY win) AS island FROM lv), r AS (SELECT *, count(*) FILTER (level = 'gated') OVER (PARTITION BY session_id, island ORDER BY win) AS run FROM b)",
         "SELECT session_id, win, level, run, run >= 3 AS reset FROM r",
     ),
     "packets_to_samples": "WITH e AS (SELECT event_id // 12 AS packet, value, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY event_id // 12 ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_id // 12) AS n FROM events) SELECT packet, i, round(max(t) OVER (PARTITION BY packet) - (n - 1 - i) / 256.0::DOUBLE, 4) AS time, round(value, 4) AS value FROM e",
@@ -181,7 +185,7 @@ SQL = {
         "usr", "c AS (SELECT *, seq // 16 AS k, time - min(time) OVER (PARTITION BY session_id, seq // 16) AS t, min(time) OVER (PARTITION BY session_id, seq // 16) AS t0 FROM usr), r AS (SELECT *, count(*) OVER w AS n, avg(t) OVER w AS mt, avg(seq) OVER w AS mx, covar_pop(t, seq) OVER w AS cv, var_pop(seq) OVER w AS vx FROM c WINDOW w AS (PARTITION BY session_id, k))",
         "SELECT session_id, seq, round(CASE WHEN n > 1 THEN t0 + mt + cv / vx * (seq - mx) ELSE time END, 3) AS time FROM r",
     ),
-    "downsampled": V.sql("usr", "SELECT session_id, seq, round(value, 6) AS value FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM usr) WHERE n <= 20 OR list_contains(list_transform(range(0, 20), lambda k: round_even(k * (n - 1) / 19.0::DOUBLE, 0)), seq)"),
+    "downsampled": V.sql("usr", "SELECT session_id, seq, round(value, 6) AS value FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM usr) WHERE n <= 20 OR list_contains(list_transform(range(0, 20), lambda k: round_even(k * ((n - 1) / 19.0::DOUBLE), 0)), seq)"),
     "session_catalogue": "SELECT user_id AS session_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start_text, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS end_text FROM events GROUP BY 1",
     "neighbouring_sessions": V.sql("usr", "SELECT a.s AS session, b.s AS other, round(b.t - a.t, 3) AS delta FROM (SELECT session_id AS s, min(time) AS t FROM usr GROUP BY 1) a JOIN (SELECT session_id AS s, min(time) AS t FROM usr GROUP BY 1) b ON a.s < b.s AND abs(a.t - b.t) < 3600"),
     "segment_index": V.sql("usr", "SELECT session_id, seq // 30 + 1 AS segment, count(*) AS n, min(seq) AS first FROM usr GROUP BY ALL"),
