@@ -28,7 +28,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = _decontaminate.find_matches(docs, table(spark, sf_dir, "benchmark"), name="found")
-    items = F.array_distinct(F.transform("found.matches", lambda m: m["item"].cast("string")))
+    items = F.array_distinct(F.transform("found.items", lambda i: i.cast("string")))
     return found.select(
         "doc_id",
         F.col("found.n_words").alias("n_words"),

@@ -149,6 +149,49 @@ def test_decontamination_edges_and_longest_match(spark):
     assert decontaminate.decontaminate(docs.limit(0), bench).columns == docs.columns
 
 
+def test_suffix_order_and_common_leads():
+    rng = np.random.default_rng(5)
+    text = rng.integers(0, 3, 400).astype(np.uint64)
+    order = decontaminate.suffix_array(text, 16)
+    keys = [tuple(text[i : i + 16].tolist()) for i in order]
+    assert keys == sorted(keys) and sorted(order.tolist()) == list(range(400))
+    import pyarrow as pa
+
+    # many items with one lead of four words against texts full of it: told apart by binary search, not multiplied out
+    lead = "one two three four "
+    items = decontaminate.Items(list(range(300)), [lead + " ".join(f"i{k}w{j}" for j in range(8)) for k in range(300)], 10)
+    texts = pa.array([lead * 5000 + f"i7w0 i7w1 i7w2 i7w3 i7w4 i7w5 i7w6 {lead}", lead * 9, None])
+    got = decontaminate._kernel(items)(texts).to_pylist()
+    assert [(g["n_hit"], g["items"], [(m["item"], m["item_word"], m["length"]) for m in g["matches"]]) for g in got] == [(11, [7], [(7, 0, 11)]), (0, [], []), (0, [], [])]
+
+
+def test_decontamination_equals_brute_force_over_blocks(spark):
+    rng = np.random.default_rng(6)
+    write = lambda n: " ".join(rng.choice(list("abcd"), n))
+    items = [(k, write(int(rng.integers(1, 9)))) for k in range(12)] + [(3, "a b a"), (None, "c c d")]
+    texts = [(k, write(int(rng.integers(0, 60)))) for k in range(80)]
+
+    def brute(text):
+        words, hit, held = text.split(), set(), set()
+        for i, t in items:
+            own = t.split()
+            n = min(4, len(own))
+            for a in range(len(own) - n + 1):
+                for b in range(len(words) - n + 1):
+                    if words[b : b + n] == own[a : a + n]:
+                        hit |= set(range(b, b + n))
+                        held.add(i)
+        return len(hit), held
+
+    docs, bench = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for size in (8 << 20, 60):
+        got = {r.doc_id: r.found for r in decontaminate.find_matches(docs, bench, window=4, block_bytes=size).collect()}
+        for i, t in texts:
+            n, held = brute(t)
+            spans = {w for m in got[i]["matches"] for w in range(m["doc_word"], m["doc_word"] + m["length"])}
+            assert (got[i].n_hit, set(got[i]["items"]), len(spans)) == (n, held, n)
+
+
 def test_license_edges(spark):
     got = {r.doc_id: r for r in licenses.scan(frame(spark)).collect()}
     assert {p.label for p in got[6].places} == {"cc-by", "gpl", "reserved"} and got[2].n_words == got[3].n_words == 0
