@@ -201,6 +201,27 @@ def test_license_edges(spark):
     assert "gpl-header" in {b.label for b in licenses.scan(made).first().blocks}
 
 
+def test_license_blocks_equal_brute_force(spark):
+    """Every block of every template, for templates that share words, repeat words and meet at both ends of a text."""
+    rng = np.random.default_rng(7)
+    notices = [(f"t{k}", " ".join(rng.choice([f"w{i}" for i in range(14)], int(rng.integers(2, 9))))) for k in range(60)]
+    texts = [(k % 37, " ".join(rng.choice([f"w{i}" for i in range(16)], int(rng.integers(0, 25))))) for k in range(40)] + [(None, "w1 w2"), (5, None)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    want = []
+    for i, text in texts:
+        words, own = (text or "").split(), set()
+        for t in licenses.templates(80, notices):
+            if not t.phrase:
+                for s in range(len(words)):
+                    held = len(set(words[s : s + t.size]) & set(t.words))
+                    if held >= t.need:
+                        own.add((t.label, s, held, len(t.tokens)))
+        want.append((i, len(words), sorted(own)))
+    for options in ({}, {"broadcast_rows": 0}):
+        got = [(r.doc_id, r.n_words, sorted(tuple(b) for b in r.blocks)) for r in licenses.scan(docs, notices=notices, **options).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_language_held_out_accuracy_and_edges(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     found = queries.op2_language(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'")
