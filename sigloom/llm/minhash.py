@@ -8,7 +8,7 @@ A document's set is its distinct word shingles, each a 64-bit hash; its sketch i
    ``posted - least + 1`` values that are rarest in the corpus: a class posts only those.  Rarity is the exact
    count of classes that retain a value, so common phrases post nothing and every list stays short, save
    those of groups of near copies.
-3. Lists with the same least member, their hub, are one group, and every member meets the hub.  The sizes and the
+3. A list is a group; long ones with the same least member are one.  Every member meets its list's least member, the hub.  The sizes and the
    estimate from the sketch of its union filter a pair, and the exact Jaccard of the full sets confirms it.  Members that
    the hub does not link meet a star of their own, ``stars`` times at most.  Links join components.
 4. What is left are groups that hold several components.  In small ones (at most ``short`` members) each pair of different
@@ -219,30 +219,31 @@ def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: in
         same = F.size(F.array_intersect("x", "y"))
         return cut(both.filter(same * 100 >= (F.size("x") + F.size("y") - same) * percent).select("a", "b"))
 
-    # lists with one hub (their least member) are one group: groups of copies share many lists, but meet once
-    hubs = lists.groupBy("v").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("v", "hub")
-    groups = cut(lists.join(cut(hubs), "v").groupBy("hub", "node", "n").agg(F.count(F.lit(1)).alias("lists")))
-    links, now = None, groups.join(groups.filter("hub = node").select("hub", F.col("n").alias("hub_n")), "hub").withColumn("star", F.col("hub"))
+    # a long list goes by its hub, its least member: groups of copies share many lists, but meet once
+    hubs = lists.groupBy("v").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    hubs = cut(hubs.select("v", F.when(F.col("held") > short, F.col("hub.node")).otherwise(F.col("v")).alias("g"), F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
+    groups = cut(lists.join(hubs, "v").select("g", "hub", "hub_n", "node", "n").distinct())
+    links, now = None, groups.withColumn("star", F.col("hub"))
     for turn in range(stars):
         met = now.filter("node <> star").filter(_alike(F.col("n"), F.col("hub_n"), percent)).select(F.col("star").alias("a"), F.col("node").alias("b"))
-        more = confirmed(met.distinct() if turn else met)
+        more = confirmed(met.distinct())
         links = more if links is None else links.unionByName(more)
         if turn + 1 < stars:  # members that their star did not link meet one of their own
-            apart = now.filter("node <> star").join(more.select(F.col("a").alias("star"), F.col("b").alias("node")), ["star", "node"], "left_anti").select("hub", "node", "n")
-            star = apart.groupBy("hub").agg(F.min(F.struct("node", "n")).alias("s")).select("hub", F.col("s.node").alias("star"), F.col("s.n").alias("hub_n"))
-            now = cut(apart).join(cut(star), "hub")
+            apart = cut(now.filter("node <> star").join(more.select(F.col("a").alias("star"), F.col("b").alias("node")), ["star", "node"], "left_anti").select("g", "node", "n"))
+            star = apart.groupBy("g").agg(F.min(F.struct("node", "n")).alias("s")).select("g", F.col("s.node").alias("star"), F.col("s.n").alias("hub_n"))
+            now = apart.join(cut(star), "g")
     labels = components(links)
 
     # groups that still hold several components
-    parted = groups.join(labels, "node", "left").select("hub", "node", "n", F.coalesce("component", "node").alias("comp"))
-    parts = parted.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("p"), F.sum("n").alias("sum"))
-    whole = parts.groupBy("hub").agg(F.max_by("comp", F.struct("p", "comp")).alias("main"), F.max_by("sum", F.struct("p", "comp")).alias("main_sum"), F.sum("p").alias("held"), F.sum("sum").alias("sum"), F.count(F.lit(1)).alias("comps")).filter("comps > 1 and held > 2")  # a hub and one member have met
-    whole = cut(whole.select("hub", "main", "held", F.ceil(F.col("sum") / block).cast("int").alias("js"), F.ceil((F.col("sum") - F.col("main_sum")) / block).cast("int").alias("is")))
-    left = cut(parted.join(whole, "hub").select("hub", "node", "n", "comp", (F.col("comp") != F.col("main")).alias("minor"), "held", "is", "js"))
+    parted = groups.join(labels, "node", "left").select("g", "hub", "node", "n", F.coalesce("component", "node").alias("comp"))
+    parts = parted.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("p"), F.sum("n").alias("sum"))
+    whole = parts.groupBy("g").agg(F.max_by("comp", F.struct("p", "comp")).alias("main"), F.max_by("sum", F.struct("p", "comp")).alias("main_sum"), F.sum("p").alias("held"), F.sum("sum").alias("sum"), F.count(F.lit(1)).alias("comps")).filter("comps > 1 and held > 2")  # a hub and one member have met
+    whole = cut(whole.select("g", "main", "held", F.ceil(F.col("sum") / block).cast("int").alias("js"), F.ceil((F.col("sum") - F.col("main_sum")) / block).cast("int").alias("is")))
+    left = cut(parted.join(whole, "g").select("g", "hub", "node", "n", "comp", (F.col("comp") != F.col("main")).alias("minor"), "held", "is", "js"))
 
     few = left.filter(F.col("held") <= short)
-    one, two = few.filter("minor").select("hub", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc")), few.select("hub", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
-    met = one.join(two, "hub").filter("xc <> yc and x <> hub and y <> hub").filter(_alike(F.col("xn"), F.col("yn"), percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    one, two = few.filter("minor").select("g", "hub", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc")), few.select("g", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
+    met = one.join(two, "g").filter("xc <> yc and x <> hub and y <> hub").filter(_alike(F.col("xn"), F.col("yn"), percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = confirmed(met)
 
     many = left.filter(F.col("held") > short)
@@ -252,10 +253,10 @@ def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: in
         def packed(some: DataFrame, own: str, every: str, name: str) -> DataFrame:
             """Members with their sets in blocks by a hash of the node, each block once for every block that it meets."""
             of = F.pmod(F.xxhash64("node", F.lit(own)), F.col(f"{own}s")).cast("int")
-            blocks = some.withColumn(own, of).join(sets, "node").groupBy("hub", own, f"{every}s").agg(F.collect_list(F.struct("node", "comp", "s")).alias(name))
-            return blocks.select("hub", own, F.explode(F.sequence(F.lit(0), F.col(f"{every}s") - 1)).alias(every), name)
+            blocks = some.withColumn(own, of).join(sets, "node").groupBy("g", own, f"{every}s").agg(F.collect_list(F.struct("node", "comp", "s")).alias(name))
+            return blocks.select("g", own, F.explode(F.sequence(F.lit(0), F.col(f"{every}s") - 1)).alias(every), name)
 
-        tiles = packed(many.filter("minor"), "i", "j", "x").join(packed(many, "j", "i", "y"), ["hub", "i", "j"]).select("x", "y")
+        tiles = packed(many.filter("minor"), "i", "j", "x").join(packed(many, "j", "i", "y"), ["g", "i", "j"]).select("x", "y")
         more = cut(more.unionByName(tiles.mapInArrow(_tiles(k, least, percent), "a bigint, b bigint")))
     if not more.isEmpty():  # the components are the nodes of what is left to join
         of_a, of_b = (labels.select(F.col("node").alias(x), F.col("component").alias(f"{x}c")) for x in "ab")
