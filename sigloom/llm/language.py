@@ -196,7 +196,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, *, text: str = "text",
     return append(docs, [text], free_name(docs, name), "struct<lang: string, score: double>", _predict(kept))
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel | None, *, text: str = "text", least: float = 0.26) -> DataFrame:
-    """The documents whose language is told with a score of at least ``least``; texts without a letter go."""
+def keep_identified(docs: DataFrame, model: LanguageModel | None, *, text: str = "text", least: float = 1.04) -> DataFrame:
+    """The documents whose language is told with a score of at least ``least`` times that of a guess among the learned
+    languages; texts without a letter go.  With one language learned all others stay."""
     name = free_name(docs, "language")
-    return predict(docs, model, text=text, name=name).filter((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.score") >= least)).drop(name)
+    return predict(docs, model, text=text, name=name).filter((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.score") >= (least / len(model.languages) if model and len(model.languages) > 1 else 0.0))).drop(name)
