@@ -7,8 +7,13 @@ the distribution of its count is known: ``calibrate`` simulates it and sets the
 misses with a probability of about one in a million.  Pairs that reach it are verified by their cosine
 in double precision; no other pair is linked.
 
-Work is dealt in tiles.  Vectors are sorted along the first direction and packed into blocks; two blocks
-whose stretches lie further apart than any linked pair can are never met.  Projections stand in signed
+Pairs are brought together by cells.  A table cuts ``bits`` sorted projections of its own at zero; the sides on which a vector
+falls name its cell.  ``bits`` grows with the logarithm of the number of vectors, so that cells keep about ``cell_rows`` of
+them, and as many tables are made as leave a pair at the threshold apart in all of them with a probability of ``loss`` at most
+(``plan``); up to ``cell_rows`` vectors are one cell of one table.  So the work grows as n log n tables times a cell, not as the square of n.
+A pair that shares several cells counts in the first of them.
+
+Within a cell work is dealt in tiles of two blocks.  Projections stand in signed
 bytes (clipped, which can only add collisions), so a direction costs about a tenth of a nanosecond a
 pair.  A tile returns, per vector, its number of links, and a spanning forest of them: no more rows
 than vectors, however many copies there are.  Equal vectors are one class throughout.
@@ -65,10 +70,26 @@ def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def tile(x: np.ndarray, y: np.ndarray | None, threshold: float, half: int, least: int, turn: np.ndarray, x_weight: np.ndarray, y_weight: np.ndarray):
+def plan(n: int, threshold: float, cell_rows: int, loss: float) -> tuple[int, int]:
+    """Projections a table cuts and number of tables for ``n`` vectors: two vectors at the threshold's angle fall on one side of a random cut with a known probability."""
+    bits = max(0, math.ceil(math.log2(max(n, 1) / cell_rows)))
+    together = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
+    return bits, 1 if together >= 1 else math.ceil(math.log(loss) / math.log1p(-together))
+
+
+def cells(x: np.ndarray, cuts: np.ndarray, bits: int) -> np.ndarray:
+    """The cell of each vector in each table: rows of keys.  ``cuts`` holds ``bits`` directions a table as columns."""
+    tables = cuts.shape[1] // bits if bits else 1
+    if not bits:
+        return np.zeros((len(x), 1), np.int64)
+    return (x @ cuts > 0).reshape(len(x), tables, bits) @ (np.int64(1) << np.arange(bits))
+
+
+def tile(x: np.ndarray, y: np.ndarray | None, threshold: float, half: int, least: int, turn: np.ndarray, x_weight: np.ndarray, y_weight: np.ndarray, x_met: np.ndarray | None = None, y_met: np.ndarray | None = None):
     """Links between the unit vectors of two blocks (or within one, ``y`` None): weight linked to each vector, and forest edges.
 
-    Indexes run over the first block, then the second.
+    Indexes run over the first block, then the second.  ``x_met`` and ``y_met`` are the vectors' cells in earlier tables; pairs
+    that share one of them have been counted there.
     """
     own = y is None
     y = x if own else y
@@ -98,6 +119,9 @@ def tile(x: np.ndarray, y: np.ndarray | None, threshold: float, half: int, least
             cosine = np.concatenate([np.einsum("nd,nd->n", x[q[i : i + 65536]], y[o[i : i + 65536]]) for i in range(0, len(q), 65536)])
         near = cosine >= threshold
         q, o = q[near], o[near]
+        if x_met is not None and x_met.shape[1] and len(q):
+            fresh = np.concatenate([~(x_met[q[i : i + 65536]] == y_met[o[i : i + 65536]]).any(1) for i in range(0, len(q), 65536)])
+            q, o = q[fresh], o[fresh]
         np.add.at(links, q, y_weight[o])
         np.add.at(links, o + shift, x_weight[q])
         if len(q):
@@ -112,7 +136,7 @@ def tile(x: np.ndarray, y: np.ndarray | None, threshold: float, half: int, least
     return links, np.zeros((2, 0), np.int64)
 
 
-def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, block: int = 4096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, block: int = 4096, cell_rows: int = 1 << 16, loss: float = 1e-6) -> DataFrame:
     """One row per input row: ``id``, ``n_links`` (other vectors linked directly), ``component_id`` (least id reachable, itself included).
 
     All rows are compared, whatever their labels, with vectors of the same dimension.  Vectors that are
@@ -127,7 +151,7 @@ def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", embedding: str =
     dims = [r.d for r in classes.select(F.size("v").alias("d")).distinct().collect()]  # one row per dimension
     found = None
     for dim in dims:
-        own = _links(classes.filter(F.size("v") == dim), dim, threshold, block)
+        own = _links(classes.filter(F.size("v") == dim), dim, threshold, block, cell_rows, loss)
         found = own if found is None else found.unionByName(own)
     if found is None:
         return rows.select(F.col("id").alias(id), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
@@ -139,57 +163,46 @@ def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", embedding: str =
     return out.select(F.col("id").alias(id), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _links(classes: DataFrame, dim: int, threshold: float, block: int) -> DataFrame:
+def _links(classes: DataFrame, dim: int, threshold: float, block: int, cell_rows: int, loss: float) -> DataFrame:
     turn = directions(dim)
     half, least = calibrate(dim, threshold)
-    far = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    n = classes.count()
-    first = F.aggregate(F.zip_with("v", F.array(*(F.lit(float(c)) for c in turn[:, 0])), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b))
-    placed = classes.withColumn("p", first / norm)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def row():
-            x = np.concatenate([h[0] for h in held])
-            return pa.RecordBatch.from_pylist(
-                [{"block": int(np.concatenate([h[1] for h in held])[0]), "low": float(min(h[3].min() for h in held)), "high": float(max(h[3].max() for h in held)), "ids": np.concatenate([h[1] for h in held]).tobytes(), "copies": np.concatenate([h[2] for h in held]).tobytes(), "data": x.tobytes()}],
-                schema=pa.schema([("block", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("ids", pa.binary()), ("copies", pa.binary()), ("data", pa.binary())]),
-            )
+    bits, tables = plan(classes.count(), threshold, cell_rows, loss)
+    cuts = np.random.default_rng(9).standard_normal((dim, bits * tables))
+    kept = classes.sparkSession.sparkContext.broadcast((turn, cuts))  # grows with the logarithm of the rows
+    kind = pa.schema([("table", pa.int32()), ("cell", pa.int64()), ("rep", pa.int64()), ("copies", pa.int64()), ("data", pa.binary())])
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 x = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                held.append((x / np.linalg.norm(x, axis=1, keepdims=True), *(part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))))
-                size += len(x)
-                if size >= block:
-                    yield row()
-                    held, size = [], 0
-        if held:
-            yield row()
-
-    dealt = placed.select("v", "rep", "copies", "p").repartitionByRange(max(1, math.ceil(n / block)), "p").sortWithinPartitions("p", "rep")
-    blocks = cut(dealt.mapInArrow(pack, "block bigint, low double, high double, ids binary, copies binary, data binary"))
-    cells = lambda a, b: F.explode(F.sequence(F.floor(a / far).cast("int"), F.floor(b / far).cast("int")))
-    left = blocks.select(F.col("block").alias("i"), F.col("low").alias("il"), F.col("high").alias("ih"), cells(F.col("low") - far, F.col("high") + far).alias("cell"))
-    right = blocks.select(F.col("block").alias("j"), F.col("low").alias("jl"), F.col("high").alias("jh"), cells(F.col("low"), F.col("high")).alias("cell"))
-    tiles = left.join(right, "cell").filter("i <= j and jl - ih <= %r and il - jh <= %r" % (far, far)).select("i", "j").distinct()
-    tiles = cut(tiles)
-    side = lambda k: blocks.select(F.col("block").alias(k), F.col("ids").alias(f"{k}_ids"), F.col("copies").alias(f"{k}_copies"), F.col("data").alias(f"{k}_data"))
-    met = tiles.join(side("i"), "i").join(side("j"), "j").repartition(max(1, math.ceil(tiles.count() / 4)), "i", "j")
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                keys, raw = cells(x, kept.value[1], bits), pa.array([row.tobytes() for row in x], pa.binary())
+                for t in range(tables):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(keys[:, t]), part.column(1), part.column(2), raw], schema=kind)
+
+    dealt = cut(classes.select("v", "rep", "copies").mapInArrow(deal, "table int, cell bigint, rep bigint, copies bigint, data binary"))
+    held = dealt.groupBy("table", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    placed = dealt.join(held, ["table", "cell"]).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    blocks = cut(placed.groupBy("table", "cell", "blocks", "i").agg(F.collect_list(F.struct("rep", "copies", "data")).alias("rows")))  # about ``block`` of them
+    one = blocks.select("table", "cell", "i", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"), F.col("rows").alias("x"))
+    met = one.join(blocks.select("table", "cell", F.col("i").alias("j"), F.col("rows").alias("y")), ["table", "cell", "j"])
+
+    def load(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = column[row].values
+        return np.frombuffer(b"".join(own.field(2).to_pylist()), np.float64).reshape(-1, dim), own.field(0).to_numpy(), own.field(1).to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                i, j, ii, ic, xd, ji, jc, yd = (batch.column(k)[at] for k in range(8))
-                i, j = i.as_py(), j.as_py()
-                load = lambda raw, kind: np.frombuffer(raw.as_buffer(), kind)
-                x, x_ids, x_copies = load(xd, np.float64).reshape(-1, dim), load(ii, np.int64), load(ic, np.int64)
-                y, y_ids, y_copies = load(yd, np.float64).reshape(-1, dim), load(ji, np.int64), load(jc, np.int64)
-                same = i == j
-                links, (a, b) = tile(x, None if same else y, threshold, half, least, turn, x_copies, x_copies if same else y_copies)
+            for row in range(batch.num_rows):
+                t, same = batch.column(0)[row].as_py(), batch.column(1)[row].as_py() == batch.column(2)[row].as_py()
+                earlier = kept.value[1][:, : t * bits]
+                x, x_ids, x_copies = load(batch.column(3), row)
+                x_met = cells(x, earlier, bits) if t else None
+                y, y_ids, y_copies, y_met = (None, x_ids, x_copies, x_met) if same else (*load(batch.column(4), row), None)
+                if not same and t:
+                    y_met = cells(y, earlier, bits)
+                links, (a, b) = tile(x, y, threshold, half, least, kept.value[0], x_copies, y_copies, x_met, y_met)
                 ids = x_ids if same else np.concatenate([x_ids, y_ids])
                 some = np.flatnonzero(links)
                 other = np.full(len(ids), -1, np.int64)
@@ -197,4 +210,4 @@ def _links(classes: DataFrame, dim: int, threshold: float, block: int) -> DataFr
                 joined = other[some]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[np.maximum(joined, 0)], mask=joined < 0)], names=["rep", "links", "other"])
 
-    return met.select("i", "j", "i_ids", "i_copies", "i_data", "j_ids", "j_copies", "j_data").mapInArrow(run, "rep bigint, links bigint, other bigint")
+    return met.select("table", "i", "j", "x", "y").mapInArrow(run, "rep bigint, links bigint, other bigint")

@@ -136,6 +136,26 @@ def test_embeddings_of_many_dimensions_equal_brute_force(spark, dim):
     assert near.any() and got == {i: (int(near[i].sum()), int(want[i])) for i in range(240)}
 
 
+def test_embedding_cells_lose_no_link(spark):
+    """Many small cells against brute force: counts and components are those of all pairs, each pair counted once."""
+    rng = np.random.default_rng(11)
+    centre = rng.standard_normal((150, 48))
+    v = np.concatenate([centre[rng.integers(0, 150, 700)] + rng.choice([0.01, 0.2, 0.3, 0.33], 700)[:, None] * rng.standard_normal((700, 48)), rng.standard_normal((500, 48))])
+    v[5] = v[6] = v[7]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = np.arange(len(v))
+    for _ in range(60):
+        want = np.minimum(want, np.where(near, want, len(v)).min(1))
+    bits, tables = embeddings.plan(len(v), 0.9, 100, 1e-6)
+    assert bits == 4 and tables > 10 and embeddings.plan(50_000, 0.9, 1 << 16, 1e-6) == (0, 1)
+    assert embeddings.plan(10**9, 0.9, 1 << 16, 1e-6)[1] * (1 << 16) * 100 < 10**9  # far from all pairs
+    made = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(made, cell_rows=100, block=40).collect()}
+    assert near.sum() > 1000 and got == {i: (int(near[i].sum()), int(want[i])) for i in range(len(v))}
+
+
 def test_decontamination_edges_and_longest_match(spark):
     bench = spark.createDataFrame([(1, "brown fox jumps over the lazy dog and then it runs"), (2, "Größe K"), (3, None), (None, "")], "item_id bigint, text string")
     docs = frame(spark)
