@@ -204,3 +204,11 @@ def test_event_time_windows(spark, tmp_path):
     stream = recordings.rows_stream(spark, folder, "session_id bigint, ts timestamp, v double")
     got = {r.start.second: (r.n, r["mean"]) for r in recordings.run_available(recordings.windowed_means(stream, "v"), str(tmp_path / "out"), str(tmp_path / "c")).filter("n = 10").collect()}
     assert got and all(v == (10, s + 4.5) for s, v in got.items())
+
+
+def test_snapshots_and_feature_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{i % 2}", f"f{i % 3}", float(i)) for i in range(12)], "session_id string, file string, v double")
+    assert segments.snapshot(rows, str(tmp_path), "_cleaned").agg(F.sum("v")).first()[0] == 66.0
+    segments.write_features(rows, str(tmp_path / "features"))
+    back = spark.read.parquet(str(tmp_path / "features")).filter("session_id = 's1' and file = 'f2'")
+    assert sorted(r.v for r in back.collect()) == [5.0, 11.0]
