@@ -17,6 +17,7 @@ _INV = pow(_MULT, -1, 1 << 64)
 _RNG = np.random.default_rng(20240229)
 _TABLE = _RNG.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: dict[str, np.ndarray] = {}
+KEPT = 1 << 22
 
 #: Bytes of words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` once A-Z are lower-cased.
 ALNUM = np.array([0x30 <= b <= 0x39 or 0x61 <= (b | 0x20) <= 0x7A and b < 0x80 or b >= 0x80 for b in range(256)])
@@ -43,7 +44,9 @@ def _power(kind: str, n: int) -> np.ndarray:
         size = max(1 << 20, 1 << (n - 1).bit_length())
         steps = np.full(size, _MULT if kind == "up" else _INV, dtype=np.uint64)
         steps[0] = 1
-        held = _POWERS[kind] = np.multiply.accumulate(steps)
+        held = np.multiply.accumulate(steps)
+        if size <= KEPT:  # tables of very long texts are not held on to
+            _POWERS[kind] = held
     return held[:n]
 
 

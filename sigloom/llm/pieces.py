@@ -36,7 +36,7 @@ LEARN = 8_192  # stretches whose lattices are made together
 class Sampler:
     """The pieces of a model and the lattices seen so far."""
 
-    def __init__(self, path: str, sharpness: float = 1.0, seed: int = 0, most: int = 200_000):
+    def __init__(self, path: str, sharpness: float = 1.0, seed: int = 0, most: int = 200_000, most_edges: int = 6_000_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -72,7 +72,7 @@ class Sampler:
         self.length = np.array([len(x) for x in self.bytes])
         self.first_byte = np.cumsum(self.length) - self.length
         self.all_bytes = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.seed, self.most = np.uint64(seed), most
+        self.seed, self.most, self.most_edges = np.uint64(seed), most, most_edges  # an edge takes 16 bytes
         self._clear()
 
     def _clear(self) -> None:
@@ -183,7 +183,7 @@ class Sampler:
         with np.errstate(over="ignore"):
             h, one, inverse = np.unique(hashes(buf, s, e, _SAME), return_index=True, return_inverse=True)
             names = h.tolist()
-            if len(self.index) > self.most:
+            if len(self.index) > self.most or self.edges > self.most_edges:
                 self._clear()
             new = [i for i, k in enumerate(names) if k not in self.index]
             for i in range(0, len(new), LEARN):
