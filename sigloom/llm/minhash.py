@@ -8,7 +8,7 @@ A document's set is its distinct word shingles, each a 64-bit hash; its sketch i
    ``posted - least + 1`` values that are rarest in the corpus: a class posts only those.  Rarity is the exact
    count of classes that retain a value, so common phrases post nothing and every list stays short, save
    those of groups of near copies.
-3. A list is a group; long ones with the same least member are one.  Every member meets its list's least member, the hub.  The sizes and the
+3. A list is a group; long ones with the same least member are one.  Every member meets its list's least member, the hub.  Sizes, 256-bit maps of the posted values and the
    estimate from the sketch of its union filter a pair, and the exact Jaccard of the full sets confirms it.  Members that
    the hub does not link meet a star of their own, ``stars`` times at most.  Links join components.
 4. What is left are groups that hold several components.  In small ones (at most ``short`` members) each pair of different
@@ -64,16 +64,24 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
 
-def _sketches(width: int, k: int):
-    """Size, fingerprint (null for an empty set) and sketch of each text's set."""
+def bit_map(s: np.ndarray, size: int = 256) -> np.ndarray:
+    """The lowest bits of the elements of a set, marked in a map of ``size`` bits, as 64-bit words."""
+    bits = np.zeros(size, np.uint8)
+    bits[s & (size - 1)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def _sketches(width: int, k: int, posted: int):
+    """Size, fingerprint (null for an empty set), sketch and a map of the values to be posted of each text's set."""
 
     def run(texts: pa.Array) -> pa.Array:
-        n, mark, low = [], [], []
+        n, mark, low, maps = [], [], [], []
         for s in shingle_sets(texts, width):
             n.append(len(s))
             mark.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
             low.append(s[:k].copy())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(mark, pa.int64()), _lists(low)], names=["n", "node", "low"])
+            maps.append(bit_map(s[:posted]))
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(mark, pa.int64()), _lists(low), _lists(maps)], names=["n", "node", "low", "map"])
 
     return lambda: run
 
@@ -98,6 +106,14 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def _room(n: Column, m: Column, x: Column, y: Column, posted: int, least: int, percent: int) -> Column:
+    """Whether sizes and maps leave room for as many common posted values as a link has: a bit of one map alone is a value of that set alone."""
+    alone = lambda a, b: sum((F.bit_count(a[i].bitwiseAND(F.bitwise_not(b[i]))) for i in range(1, 4)), F.bit_count(a[0].bitwiseAND(F.bitwise_not(b[0]))))
+    most = F.least(F.least(n, F.lit(posted)) - alone(x, y), F.least(m, F.lit(posted)) - alone(y, x))
+    need = F.when((n <= posted) & (m <= posted), F.ceil((n + m) * percent / (100 + percent))).otherwise(least)
+    return _alike(n, m, percent) & (most >= need)
+
+
 def _estimate(x: Column, y: Column, n: Column, m: Column, k: int, least: int, percent: int) -> Column:
     """Whether the sketch of the union, made from two sketches, allows a link; exact where both sketches are whole sets."""
     common = F.array_intersect(x, y)
@@ -188,10 +204,10 @@ class _Sets:
 def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: int, posted: int, stars: int, short: int, block: int, broadcast_rows: int, loss: float) -> tuple[DataFrame, DataFrame]:
     """Rows (id, h, n, node) of all documents, h a hash of the text, and for each node its component: node, of, id and h of the component's least row."""
     base = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
-    made = append(base, ["t"], "s", "struct<n: bigint, node: bigint, low: array<bigint>>", _sketches(words, k))
-    rows = cut(made.select("id", "h", "s.n", F.when(F.col("id").isNotNull(), F.col("s.node")).alias("node"), F.col("s.low").alias("low")))
-    classes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("id", "h")).alias("lead"), F.first(F.struct("n", "low")).alias("s"))
-    classes = cut(classes.select("node", "lead.id", "lead.h", "s.n", "s.low"))
+    made = append(base, ["t"], "s", "struct<n: bigint, node: bigint, low: array<bigint>, map: array<bigint>>", _sketches(words, k, posted))
+    rows = cut(made.select("id", "h", "s.n", F.when(F.col("id").isNotNull(), F.col("s.node")).alias("node"), F.col("s.low").alias("low"), F.col("s.map").alias("map")))
+    classes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("id", "h")).alias("lead"), F.first(F.struct("n", "low", "map")).alias("s"))
+    classes = cut(classes.select("node", "lead.id", "lead.h", "s.n", "s.low", "s.map"))
     least = least_shared(k, percent, loss)
     full = _Sets(base, classes.select("node", "id", "h"), words, broadcast_rows)
 
@@ -199,10 +215,12 @@ def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: in
     post = classes.filter("n > 1").select("node", F.explode(F.slice("low", 1, posted)).alias("v"))
     often = cut(post.groupBy("v").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
     shared = post.join(often, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "v"))).alias("w"))  # at most ``posted`` values
-    need = F.when(F.col("n") <= posted, F.ceil(F.col("n") * percent / 100)).otherwise(least_shared(posted, percent, loss))
+    fewest = least_shared(posted, percent, loss)
+    need = F.when(F.col("n") * 100 <= posted * percent, F.ceil(F.col("n") * percent / 100)).otherwise(fewest)  # no partner of such a small set is cut off
     unique = F.least("n", F.lit(posted)) - F.size("w")
-    sized = shared.join(classes.select("node", "n"), "node").select("node", "n", F.slice("w", F.lit(1), F.greatest(F.lit(0), F.least("n", F.lit(posted)) - need + 1 - unique).cast("int")).alias("w"))
-    lists = cut(sized.select(F.explode("w.v").alias("v"), "node", "n"))
+    sized = shared.join(classes.select("node", "n", "map"), "node").select("node", "n", "map", F.slice("w", F.lit(1), F.greatest(F.lit(0), F.least("n", F.lit(posted)) - need + 1 - unique).cast("int")).alias("w"))
+    lists = cut(sized.select(F.explode("w.v").alias("v"), "node", "n", "map"))
+    room = lambda n, m, x, y: _room(F.col(n), F.col(m), F.col(x), F.col(y), posted, fewest, percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The links among distinct pairs (a, b) of classes."""
@@ -220,30 +238,30 @@ def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: in
         return cut(both.filter(same * 100 >= (F.size("x") + F.size("y") - same) * percent).select("a", "b"))
 
     # a long list goes by its hub, its least member: groups of copies share many lists, but meet once
-    hubs = lists.groupBy("v").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1")
-    hubs = cut(hubs.select("v", F.when(F.col("held") > short, F.col("hub.node")).otherwise(F.col("v")).alias("g"), F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
-    groups = cut(lists.join(hubs, "v").select("g", "hub", "hub_n", "node", "n").distinct())
+    hubs = lists.groupBy("v").agg(F.min(F.struct("node", "n", "map")).alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    hubs = cut(hubs.select("v", F.when(F.col("held") > short, F.col("hub.node")).otherwise(F.col("v")).alias("g"), F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.map").alias("hub_map")))
+    groups = cut(lists.join(hubs, "v").select("g", "hub", "hub_n", "hub_map", "node", "n", "map").distinct())
     links, now = None, groups.withColumn("star", F.col("hub"))
     for turn in range(stars):
-        met = now.filter("node <> star").filter(_alike(F.col("n"), F.col("hub_n"), percent)).select(F.col("star").alias("a"), F.col("node").alias("b"))
+        met = now.filter("node <> star").filter(room("n", "hub_n", "map", "hub_map")).select(F.col("star").alias("a"), F.col("node").alias("b"))
         more = confirmed(met.distinct())
         links = more if links is None else links.unionByName(more)
         if turn + 1 < stars:  # members that their star did not link meet one of their own
-            apart = cut(now.filter("node <> star").join(more.select(F.col("a").alias("star"), F.col("b").alias("node")), ["star", "node"], "left_anti").select("g", "node", "n"))
-            star = apart.groupBy("g").agg(F.min(F.struct("node", "n")).alias("s")).select("g", F.col("s.node").alias("star"), F.col("s.n").alias("hub_n"))
+            apart = cut(now.filter("node <> star").join(more.select(F.col("a").alias("star"), F.col("b").alias("node")), ["star", "node"], "left_anti").select("g", "node", "n", "map"))
+            star = apart.groupBy("g").agg(F.min(F.struct("node", "n", "map")).alias("s")).select("g", F.col("s.node").alias("star"), F.col("s.n").alias("hub_n"), F.col("s.map").alias("hub_map"))
             now = apart.join(cut(star), "g")
     labels = components(links)
 
     # groups that still hold several components
-    parted = groups.join(labels, "node", "left").select("g", "hub", "node", "n", F.coalesce("component", "node").alias("comp"))
+    parted = groups.join(labels, "node", "left").select("g", "hub", "node", "n", "map", F.coalesce("component", "node").alias("comp"))
     parts = parted.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("p"), F.sum("n").alias("sum"))
     whole = parts.groupBy("g").agg(F.max_by("comp", F.struct("p", "comp")).alias("main"), F.max_by("sum", F.struct("p", "comp")).alias("main_sum"), F.sum("p").alias("held"), F.sum("sum").alias("sum"), F.count(F.lit(1)).alias("comps")).filter("comps > 1 and held > 2")  # a hub and one member have met
     whole = cut(whole.select("g", "main", "held", F.ceil(F.col("sum") / block).cast("int").alias("js"), F.ceil((F.col("sum") - F.col("main_sum")) / block).cast("int").alias("is")))
-    left = cut(parted.join(whole, "g").select("g", "hub", "node", "n", "comp", (F.col("comp") != F.col("main")).alias("minor"), "held", "is", "js"))
+    left = cut(parted.join(whole, "g").select("g", "hub", "node", "n", "map", "comp", (F.col("comp") != F.col("main")).alias("minor"), "held", "is", "js"))
 
     few = left.filter(F.col("held") <= short)
-    one, two = few.filter("minor").select("g", "hub", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc")), few.select("g", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
-    met = one.join(two, "g").filter("xc <> yc and x <> hub and y <> hub").filter(_alike(F.col("xn"), F.col("yn"), percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    one, two = few.filter("minor").select("g", "hub", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("map").alias("xm"), F.col("comp").alias("xc")), few.select("g", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("map").alias("ym"), F.col("comp").alias("yc"))
+    met = one.join(two, "g").filter("xc <> yc and x <> hub and y <> hub").filter(room("xn", "yn", "xm", "ym")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = confirmed(met)
 
     many = left.filter(F.col("held") > short)
