@@ -8,9 +8,10 @@ A document's set is its distinct word shingles, each a 64-bit hash; its sketch i
    ``posted - least + 1`` values that are rarest in the corpus: a class posts only those.  Rarity is the exact
    count of classes that retain a value, so common phrases post nothing and every list stays short, save
    those of groups of near copies.
-3. A list is a group; long ones with the same least member are one.  Every member meets its list's least member, the hub.  Sizes, 256-bit maps of the posted values and the
-   estimate from the sketch of its union filter a pair, and the exact Jaccard of the full sets confirms it.  Members that
-   the hub does not link meet a star of their own, ``stars`` times at most.  Links join components.
+3. A list is a group; long ones with the same least member are one.  Every member meets its list's least member, the hub.
+   Sizes, 256-bit maps of the posted values and the estimate from the sketch of its union filter a pair, and the exact Jaccard
+   of the full sets confirms it.  Members that the hub does not link meet a star of their own, ``stars`` times at most.
+   Links join components.
 4. What is left are groups that hold several components.  In small ones (at most ``short`` members) each pair of different
    components goes the way of step 3.  In large ones the members outside the largest component meet all
    others in tiles of bounded size, dealt over all tasks: a tile counts overlaps of sketches, confirms on the full
@@ -285,7 +286,7 @@ def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: in
         labels = cut(labels)
 
     of = classes.join(labels, "node", "left").select("node", F.struct("id", "h").alias("lead"), F.coalesce("component", "node").alias("of"))
-    first = of.groupBy("of").agg(F.min("lead").alias("lead"))
+    first = cut(of.groupBy("of").agg(F.min("lead").alias("lead")))  # so the join back can be split where one component is large
     return rows.select("id", "h", "n", "node"), cut(of.select("node", "of").join(first, "of").select("node", "of", F.col("lead.id").alias("first_id"), F.col("lead.h").alias("first_h")))
 
 
