@@ -68,8 +68,8 @@ def smooth(rows: DataFrame, columns: list[str], score: str, *, width: int = 5, o
         before = pd.DataFrame(dict(zip([order, *columns], state))) if state else own[[order, *columns]].iloc[:0]
         every = pd.concat([before, own[[order, *columns]]], ignore_index=True)
         means = every[columns].rolling(width, min_periods=width).mean()
-        made = pd.concat([every[[order]], means], axis=1).iloc[len(before) :]
-        made = made[range(len(before) + 1, len(every) + 1) >= width * pd.Series(1, index=made.index)] if len(made) else made
+        full = max(len(before), width - 1)  # rows before this one have no full window, or were returned already
+        made = pd.concat([every[[order]], means], axis=1).iloc[full:]
         made.insert(0, "session_id", session)
         left = every.iloc[-(width - 1) :] if width > 1 else every.iloc[:0]
         return tuple(left[c].tolist() for c in [order, *columns]), made
