@@ -81,9 +81,10 @@ def words_of(text: Column) -> Column:
 
 
 def template_table(spark: SparkSession, given: list[Template]) -> DataFrame:
-    """The templates as rows: label, words, tokens, need, size, phrase."""
-    rows = [(k, t.label, list(t.words), t.tokens, t.need, t.size, t.phrase) for k, t in enumerate(given)]
-    return spark.createDataFrame(rows, "t int, label string, words array<string>, tokens array<string>, need int, size int, phrase boolean")
+    """The templates as rows: t, label, words, tokens, need, size, phrase."""
+    texts = lambda values: F.array(*(F.lit(v) for v in values)).cast("array<string>")
+    rows = [F.struct(F.lit(k).alias("t"), F.lit(t.label).alias("label"), texts(t.words).alias("words"), texts(t.tokens).alias("tokens"), F.lit(t.need).alias("need"), F.lit(t.size).alias("size"), F.lit(t.phrase).alias("phrase")) for k, t in enumerate(given)]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def posted(table: DataFrame, docs: DataFrame, text: str) -> DataFrame:
