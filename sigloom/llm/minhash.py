@@ -230,11 +230,12 @@ def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: in
         small = ends.count() <= broadcast_rows
         held = classes.select("node", "n", "low").join(F.broadcast(ends) if small else ends, "node", "left_semi")
         sketch = lambda x: held.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("low").alias(f"{x}l"))
-        near = cut(pairs.join(sketch("b"), "b").join(sketch("a"), "a").filter(_estimate(F.col("al"), F.col("bl"), F.col("an"), F.col("bn"), k, least, percent)).select("a", "b"))
+        near = cut(sketch("b").join(F.broadcast(pairs) if pairs.count() <= broadcast_rows else pairs, "b").join(sketch("a"), "a").filter(_estimate(F.col("al"), F.col("bl"), F.col("an"), F.col("bn"), k, least, percent)).select("a", "b"))
         sets = full.of(near.select(F.explode(F.array("a", "b")).alias("node")))
         if sets is None:
             return near
-        both = near.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
+        few = near.count() <= broadcast_rows  # then no set moves for the first side
+        both = sets.select(F.col("node").alias("b"), F.col("s").alias("y")).join(F.broadcast(near) if few else near, "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
         same = F.size(F.array_intersect("x", "y"))
         return cut(both.filter(same * 100 >= (F.size("x") + F.size("y") - same) * percent).select("a", "b"))
 
@@ -269,13 +270,13 @@ def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: in
     if not many.isEmpty():
         sets = full.of(many.select("node"))
 
-        def packed(some: DataFrame, own: str, every: str, name: str) -> DataFrame:
-            """Members with their sets in blocks by a hash of the node, each block once for every block that it meets."""
-            of = F.pmod(F.xxhash64("node", F.lit(own)), F.col(f"{own}s")).cast("int")
-            blocks = some.withColumn(own, of).join(sets, "node").groupBy("g", own, f"{every}s").agg(F.collect_list(F.struct("node", "comp", "s")).alias(name))
-            return blocks.select("g", own, F.explode(F.sequence(F.lit(0), F.col(f"{every}s") - 1)).alias(every), name)
-
-        tiles = packed(many.filter("minor"), "i", "j", "x").join(packed(many, "j", "i", "y"), ["g", "i", "j"]).select("x", "y")
+        # a member goes with its set to every tile that it meets, in one shuffle; tiles are told by a hash of the node
+        spread = lambda side, every: F.explode(F.transform(F.sequence(F.lit(0), F.col(every) - 1), lambda j: F.struct(F.pmod(F.xxhash64("node", F.lit(side)), F.col(f"{side}s")).cast("int").alias("own"), j.alias("other"))))
+        few_rows = many.count() <= broadcast_rows
+        held = sets.join(F.broadcast(many) if few_rows else many, "node").select("g", "node", "comp", "s", "minor", "is", "js")
+        x = held.filter("minor").withColumn("k", spread("i", "js")).select("g", F.col("k.own").alias("i"), F.col("k.other").alias("j"), F.struct("node", "comp", "s").alias("x"), F.lit(None).alias("y"))
+        y = held.withColumn("k", spread("j", "is")).select("g", F.col("k.other").alias("i"), F.col("k.own").alias("j"), F.lit(None).alias("x"), F.struct("node", "comp", "s").alias("y"))
+        tiles = x.unionByName(y).groupBy("g", "i", "j").agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y")).filter("size(x) > 0 and size(y) > 0").select("x", "y")
         more = cut(more.unionByName(tiles.mapInArrow(_tiles(k, least, percent), "a bigint, b bigint")))
     if not more.isEmpty():  # the components are the nodes of what is left to join
         of_a, of_b = (labels.select(F.col("node").alias(x), F.col("component").alias(f"{x}c")) for x in "ab")
