@@ -55,7 +55,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     labels = cut(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")))
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
-        step = labels.join(near, "node").select("node", F.least("component", "c").alias("component"), F.col("component").alias("was"))
+        # in files, so that both sides of the jump are plain exchanges and a component of many nodes can be split
+        step = cut(labels.join(near, "node").select("node", F.least("component", "c").alias("component"), F.col("component").alias("was")))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
         after = cut(step.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "was"))
         labels = after.select("node", "component")
