@@ -13,6 +13,7 @@ from . import decontaminate as _decontaminate
 from . import embeddings as _embeddings
 from . import language as _language
 from . import licenses as _licenses
+from . import merkle as _merkle
 from . import minhash as _minhash
 from . import pieces as _pieces
 from . import tokenbin as _tokenbin
@@ -182,9 +183,47 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id"""
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(F.coalesce(held_out_of(7, 0), F.lit(False)), F.try_add(F.col("n_chars"), F.lit(1))).otherwise(F.col("n_chars"))
+    made = _merkle.manifest(docs, columns=["doc_id", "source", "lang", "n_chars", "text"], id="doc_id", group="lang", found={"n_chars": tampered})
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2(F.concat_ws("", "proof"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _field(x: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || CAST({x} AS VARCHAR), '-')"
+
+
+#: crc32 of an id as text: bits by the reversed polynomial, byte by byte.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, list_reduce([xor(c & 255, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))), 4294967295)"
+
+OP12_SQL = f"""
+WITH RECURSIVE f AS (SELECT row_number() OVER () AS r, doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+                            {_field("doc_id")} || {_field("source")} || {_field("lang")} AS head, {_field("text")} AS tail, n_chars, coalesce({_CRC} % 7 = 0, false) AS hit FROM documents),
+l AS (SELECT r, doc_id, g, sha256(head || {_field("n_chars")} || tail) AS leaf, sha256(head || {_field("(n_chars + CASE WHEN hit THEN 1 ELSE 0 END)")} || tail) AS seen FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+t(g, lvl, i, h) AS (SELECT g, 0, i, leaf FROM o
+                    UNION ALL SELECT g, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM t) WHERE n > 1 GROUP BY g, lvl, i // 2),
+m AS (SELECT g, max(lvl) AS lvl FROM t GROUP BY g),
+s AS (SELECT g, h FROM t JOIN m USING (g, lvl)),
+u(lvl, i, h) AS (SELECT 0, g, h FROM s
+                 UNION ALL SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM u) WHERE n > 1 GROUP BY lvl, i // 2),
+n AS (SELECT g, lvl, i, h, false AS top FROM t UNION ALL SELECT 0, lvl, i, h, true FROM u),
+e AS (SELECT max(lvl) AS lvl, max_by(h, lvl) AS root FROM u),
+p(r, g, lvl, i, top, proof, h) AS (
+    SELECT r, g, 0, i, false, '', seen FROM o
+    UNION ALL
+    SELECT p.r, p.g, CASE WHEN up THEN 0 ELSE p.lvl + 1 END, CASE WHEN up THEN p.g ELSE p.i // 2 END, p.top OR up, CASE WHEN up THEN p.proof ELSE p.proof || coalesce(n.h, '') END,
+           CASE WHEN up THEN p.h WHEN n.h IS NULL THEN sha256(p.h) WHEN p.i % 2 = 0 THEN sha256(p.h || n.h) ELSE sha256(n.h || p.h) END
+    FROM (SELECT p.*, NOT p.top AND p.lvl = m.lvl AS up FROM p JOIN m USING (g), e WHERE NOT (p.top AND p.lvl = e.lvl)) p
+    LEFT JOIN n ON n.top = p.top AND n.lvl = p.lvl AND n.i = xor(p.i, 1) AND (p.top OR n.g = p.g) AND NOT up)
+SELECT doc_id, leaf, s.h AS subroot, root, sha256(proof) AS proof_sha256, p.h AS folded_root, p.h = root AS verified
+FROM o JOIN s USING (g) JOIN p USING (r), e WHERE p.top AND p.lvl = e.lvl"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_embeddings": op1_embeddings, "op2_language": op2_language, "op4_decontaminate": op4_decontaminate, "op3_licenses": op3_licenses, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op8_pieces": op8_pieces, "op9_token_ids": op9_token_ids, "op10_chat": op10_chat}
+    return {"op1_embeddings": op1_embeddings, "op2_language": op2_language, "op4_decontaminate": op4_decontaminate, "op3_licenses": op3_licenses, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op8_pieces": op8_pieces, "op9_token_ids": op9_token_ids, "op10_chat": op10_chat, "op12_merkle": op12_merkle}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embeddings": OP1_SQL, "op3_licenses": _op3_sql(), "op4_decontaminate": OP4_SQL, "op5_warc": OP5_SQL, "op10_chat": OP10_SQL}
+    return {"op1_embeddings": OP1_SQL, "op3_licenses": _op3_sql(), "op4_decontaminate": OP4_SQL, "op5_warc": OP5_SQL, "op10_chat": OP10_SQL, "op12_merkle": OP12_SQL}
