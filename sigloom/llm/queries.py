@@ -15,6 +15,7 @@ from . import language as _language
 from . import licenses as _licenses
 from . import merkle as _merkle
 from . import minhash as _minhash
+from . import packing as _packing
 from . import pieces as _pieces
 from . import tokenbin as _tokenbin
 from . import toxicity as _toxicity
@@ -221,8 +222,16 @@ SELECT doc_id, leaf, s.h AS subroot, root, sha256(proof) AS proof_sha256, p.h AS
 FROM o JOIN s USING (g) JOIN p USING (r), e WHERE p.top AND p.lvl = e.lvl"""
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = _packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_embeddings": op1_embeddings, "op2_language": op2_language, "op4_decontaminate": op4_decontaminate, "op3_licenses": op3_licenses, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op8_pieces": op8_pieces, "op9_token_ids": op9_token_ids, "op10_chat": op10_chat, "op12_merkle": op12_merkle}
+    return {"op1_embeddings": op1_embeddings, "op2_language": op2_language, "op4_decontaminate": op4_decontaminate, "op3_licenses": op3_licenses, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op7_toxicity": op7_toxicity, "op8_pieces": op8_pieces, "op9_token_ids": op9_token_ids, "op10_chat": op10_chat, "op12_merkle": op12_merkle, "op13_packing": op13_packing}
 
 
 def oracle_sql() -> dict[str, str]:
