@@ -8,7 +8,7 @@ Within a block:
    partial partitions of the largest imbalance (largest minus smallest window) become one, the largest window of one joined with the smallest of the
    other, and so on, until one partition is left.  Its windows are near equal.
 2. The number of windows is the least that the block's ids need; while the largest window exceeds the capacity it rises
-   by one, and the tails are differenced again.
+   in that proportion, by one at least, and the tails are differenced again.
 3. Levelling.  Near-equal windows each miss a little of the capacity.  As documents may be cut, the smallest windows are given up and their
    pieces, cut where needed, fill the others; the remainder becomes sequences whose lengths are powers of two.  So no
    sequence needs padding.
@@ -75,13 +75,14 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
 
 
 def near_equal(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows of at most ``capacity``, as few as differencing allows."""
+    """Windows of at most ``capacity``; their number rises with what the largest exceeds it by, by one at least."""
     windows = max(1, -(-sum(sizes) // capacity))
     while True:
         out = difference(sizes, windows)
-        if not out or sum(sizes[i] for i in out[0]) <= capacity:
+        most = sum(sizes[i] for i in out[0]) if out else 0
+        if most <= capacity:
             return out
-        windows += 1
+        windows = max(windows + 1, -(-windows * most // capacity))
 
 
 def level(windows: list[list[Piece]], capacity: int) -> list[list[Piece]]:
@@ -114,7 +115,7 @@ def level(windows: list[list[Piece]], capacity: int) -> list[list[Piece]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "text", end_id: int = 1, capacity: int = 2048, block: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "text", end_id: int = 1, capacity: int = 2048, block: int = 512) -> DataFrame:
     """One row per piece: ``id``, ``start`` (ids of its document before it), ``length``, ``ids`` (unsigned 32-bit little-endian), ``doc_tokens``, ``sequence_id``, ``offset`` (its place there).
 
     A document's ids are those of its whole text, then ``end_id``; a null or empty text has that alone.  Each id lies in exactly
