@@ -21,6 +21,7 @@ import math
 import os
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,24 +47,21 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
-def overlaps(a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Token ends of two sides over the same bytes: places (i, j) of overlapping tokens, and after how many tokens of each both end."""
-    links, groups = [], []
-    i = j = 0
-    while i < len(a) and j < len(b):
-        links.append((i, j))
-        x, y = a[i], b[j]
-        i += x <= y
-        j += y <= x
-        if x == y:
-            groups.append((i, j))
-    return links, groups
+def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token ends of two sides over the same bytes, ascending: places (i, j) of overlapping tokens, and the last tokens (i, j) of each group, after which both end."""
+    begin = np.concatenate([[0], a[:-1]])
+    low, high = np.searchsorted(b, begin, "right"), np.searchsorted(b, a, "left")
+    count = high - low + 1
+    i = np.repeat(np.arange(len(a)), count)
+    j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - low, count)
+    both = np.flatnonzero(b[high] == a) if len(a) else np.zeros(0, np.int64)
+    return i, j, both, high[both]
 
 
 class Aligner:
     """Both tokenizers and the stretches seen so far."""
 
-    def __init__(self, a_path: str, b_path: str, most: int = 400_000):
+    def __init__(self, a_path: str, b_path: str, most: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         import sentencepiece
         from tokenizers import Tokenizer
@@ -76,6 +74,9 @@ class Aligner:
             self.a_bytes[i] = piece.encode() if piece in special else bytes(alphabet[c] for c in piece)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes))
+        # ids as they stand in a group: followed by a comma, or by what ends their side of it
+        self.texts = [b"%d%s" % (i, end) for n, ends in ((len(self.a_bytes), (b",", b"|")), (len(self.b_bytes), (b",", b";"))) for i in range(n) for end in ends]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
         self.space = self.b.encode("a ")[len(self.b.encode("a")) :]  # the library gives nothing for an empty text, the space that it adds included
         self._clear()
@@ -83,31 +84,57 @@ class Aligner:
     def _clear(self) -> None:
         self.index: dict[int, int] = {}
         self.shown: list[bytes] = []
-        self.sizes: list[tuple[int, int, int, int]] = []  # tokens of A and B, groups, links; -1 where bytes differ
-        self.pairs: list[int] = []
+        self.sizes = np.zeros((1 << 14, 4), np.int64)  # tokens of A and B, groups, links; -1 where bytes differ
+        self.start = np.zeros(1 << 14, np.int64)  # of a stretch's links
+        self.pairs, self.used = np.zeros(1 << 16, np.int64), 0
+
+    def _room(self, stretches: int, links: int) -> None:
+        while len(self.sizes) < stretches:
+            self.sizes, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.start))
+        while len(self.pairs) < links:
+            self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
 
     def _keep(self, hs: list[int], raw: list[bytes]) -> None:
+        """Encode and align new stretches, all at once; those whose bytes differ are marked."""
         texts = [x.decode() for x in raw]
-        ours = self.a.encode_batch_fast(texts, add_special_tokens=False)
-        theirs = self.b.encode([t[1:] for t in texts])
-        for h, whole, x, b in zip(hs, raw, ours, theirs):
-            a = x.ids
-            b = b if len(whole) > 1 else self.space
-            self.index[h] = len(self.sizes)
-            own, other = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(own) != whole or b"".join(other) != whole:
-                self.sizes.append((-1, 0, 0, 0))
-                self.shown.append(b"")
-                continue
-            ends = [np.cumsum([len(t) for t in side]).tolist() for side in (own, other)]
-            links, groups = overlaps(*ends)
-            shown, i, j = [], 0, 0
-            for m, n in groups:
-                shown.append(",".join(map(str, a[i:m])) + "|" + ",".join(map(str, b[j:n])))
-                i, j = m, n
-            self.sizes.append((len(a), len(b), len(groups), len(links)))
-            self.shown.append(";".join(shown).encode())
-            self.pairs.extend(a[i] << 32 | b[j] for i, j in links)
+        ours = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        theirs = [b if len(x) > 1 else self.space for b, x in zip(self.b.encode([t[1:] for t in texts]), raw)]
+        if any(b"".join([names[i] for ids in side for i in ids]) != b"".join(raw) for side, names in ((ours, self.a_bytes), (theirs, self.b_bytes))):
+            good = [b"".join([self.a_bytes[i] for i in x]) == w == b"".join([self.b_bytes[i] for i in y]) for x, y, w in zip(ours, theirs, raw)]
+        else:  # then each stretch's sizes must agree too
+            sizes = [np.add.reduceat(lengths[np.fromiter(chain.from_iterable(side), np.int64)], np.cumsum([0, *map(len, side)])[:-1]) for side, lengths in ((ours, self.a_size), (theirs, self.b_size))] if all(map(len, ours)) and all(map(len, theirs)) else None
+            wanted = np.array([len(w) for w in raw])
+            good = (sizes[0] == wanted) & (sizes[1] == wanted) if sizes else [b"".join([self.a_bytes[i] for i in x]) == w == b"".join([self.b_bytes[i] for i in y]) for x, y, w in zip(ours, theirs, raw)]
+        first, n = len(self.index), len(raw)
+        self._room(first + n, 0)
+        self.index.update(zip(hs, range(first, first + n)))
+        self.sizes[first : first + n] = -1, 0, 0, 0
+        self.start[first : first + n] = self.used
+        shown = [b""] * n
+        if own := np.flatnonzero(good).tolist():
+            counts = [np.array([len(side[k]) for k in own]) for side in (ours, theirs)]
+            a, b = (np.fromiter(chain.from_iterable(side[k] for k in own), np.int64) for side in (ours, theirs))
+            i, j, ends_a, ends_b = overlaps(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
+            lasts = np.cumsum(counts[0]) - 1
+            last_link, last_group = np.searchsorted(i, lasts, "right"), np.searchsorted(ends_a, lasts, "right")
+            links, groups = np.diff(last_link, prepend=0), np.diff(last_group, prepend=0)
+            at = first + np.array(own)
+            self.sizes[at] = np.stack([*counts, groups, links], axis=1)
+            self._room(0, self.used + len(i))
+            self.pairs[self.used : self.used + len(i)] = a[i] << 32 | b[j]
+            self.start[at] = self.used + last_link - links
+            self.used += len(i)
+            # the ids in their order in groups: those of side A, then those of side B
+            group = [np.searchsorted(e, np.arange(len(x))) for e, x in ((ends_a, a), (ends_b, b))]
+            closes = [np.zeros(len(x), np.int64) for x in (a, b)]
+            closes[0][ends_a] = closes[1][ends_b] = 1
+            code = np.concatenate([a * 2 + closes[0], (len(self.a_bytes) + b) * 2 + closes[1]])
+            order = np.argsort(np.concatenate([group[0] * 2, group[1] * 2 + 1]), kind="stable")
+            parts = [self.texts[c] for c in code[order].tolist()]
+            stops = np.cumsum(counts[0] + counts[1]).tolist()
+            for k, x, y in zip(own, [0, *stops], stops):
+                shown[k] = b"".join(parts[x:y])
+        self.shown.extend(shown)
 
     def align(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """For a run of texts: sizes of each (tokens of A and B, groups, links), digests, and all links as (pair, text)."""
@@ -133,21 +160,19 @@ class Aligner:
         index = self.index
         known = np.fromiter((index[k] for k in keys), np.int64, len(keys))[inverse] if len(keys) else np.zeros(0, np.int64)
         at = np.searchsorted(s, offsets)
-        sizes = np.array(self.sizes, np.int64).reshape(-1, 4)
-        own = sizes[known]
+        own = self.sizes[known]
         running = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(own, axis=0)])
         total = running[at[1:]] - running[at[:-1]]
         bad = np.concatenate([[0], np.cumsum(own[:, 0] < 0)])
         lost = (bad[at[1:]] > bad[at[:-1]]) | ~full
         total[lost] = 0
         cuts, each, shown = at.tolist(), known.tolist(), self.shown
-        digests = ["" if gone else hashlib.sha256(b";".join([shown[k] for k in each[i:j]])).hexdigest() for i, j, gone in zip(cuts, cuts[1:], lost.tolist())]
+        digests = ["" if gone else hashlib.sha256(b"".join([shown[k] for k in each[i:j]])[:-1]).hexdigest() for i, j, gone in zip(cuts, cuts[1:], lost.tolist())]
         text = np.repeat(np.arange(n), np.diff(at))
         keep = ~lost[text]
         known, text, count = known[keep], text[keep], own[keep, 3]
-        start = np.cumsum(sizes[:, 3]) - sizes[:, 3]
-        where = np.repeat(start[known] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return total, digests, np.array(self.pairs, np.int64)[where], np.repeat(text, count)
+        where = np.repeat(self.start[known] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return total, digests, self.pairs[where], np.repeat(text, count)
 
 
 _ROWS = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("doc", pa.int64()), ("n", pa.list_(pa.int64())), ("digest", pa.string()), ("a", pa.int32()), ("b", pa.list_(pa.int32())), ("held", pa.list_(pa.int32())), ("data", pa.binary())])
