@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clean import _field
+from .clean import _field, process
 
 STATE = "channels array<string>, cutoff double, seconds double, cov array<array<double>>, mixing array<array<double>>, threshold array<array<double>>"
 
@@ -114,3 +114,9 @@ def recorded(rows: DataFrame, start: Column, stop: Column, size: int) -> DataFra
     numbered = inside.withColumn("_k", F.row_number().over(Window.partitionBy("session_id").orderBy("seq")) - 1).withColumn("win", F.floor(F.col("_k") / size).cast("bigint"))
     full = F.count(F.lit(1)).over(Window.partitionBy("session_id", "win"))
     return numbered.withColumn("_n", full).filter(F.col("_n") == size).drop("_k", "_n")
+
+
+def calibrate_recording(windows: DataFrame, channels: list[str], fs: float, *, cutoff: float = 15.0, **cleaning) -> DataFrame:
+    """Calibration on recorded windows (session_id, recording, win, seq, time, channels), each cleaned as a whole first."""
+    keys = ("session_id", "recording", "win")
+    return calibrate(process(windows.select(*keys, "seq", "time", *channels), fs, channels, keys, **cleaning), channels, fs, cutoff=cutoff, keys=keys)
