@@ -31,7 +31,7 @@ class Ordered(StatefulProcessor):
         self.held = handle.getValueState("held", self.kind)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        own = pd.concat(list(rows)).sort_values(self.order, kind="stable", ignore_index=True)
         now, out = self.step(key[0], self.held.get() if self.held.exists() else None, own)
         self.held.update(now)
         yield out
@@ -391,8 +391,8 @@ def baseline_recordings(samples: DataFrame, control: DataFrame, channels: list[s
 class _Numbered(Ordered):
     kind = "n bigint"
 
-    def __init__(self, size: int, columns: list[str]):
-        self.size, self.columns, self.order = size, columns, "time"
+    def __init__(self, size: int, columns: list[str], order: list[str]):
+        self.size, self.columns, self.order = size, columns, order
 
     def step(self, session, held, own):
         n = held[0] if held else 0
@@ -404,9 +404,9 @@ class _Numbered(Ordered):
         return (n + len(own),), made
 
 
-def segmented(rows: DataFrame, size: int, columns: list[str]) -> DataFrame:
-    """Rows numbered in order of time (``seq`` from 0) and cut into ``segment``s of ``size`` rows (from 1); the state is one counter."""
-    return keyed(rows.select("session_id", "time", *columns), _Numbered(size, columns), "session_id bigint, segment bigint, seq bigint, time double, " + ", ".join(f"`{c}` double" for c in columns))
+def segmented(rows: DataFrame, size: int, columns: list[str], *, order: tuple[str, ...] = ("time",)) -> DataFrame:
+    """Rows numbered in order of time, or of all columns of ``order`` (``seq`` from 0), and cut into ``segment``s of ``size`` rows (from 1); the state is one counter."""
+    return keyed(rows.select("session_id", *dict.fromkeys(("time", *order, *columns))), _Numbered(size, columns, list(order)), "session_id bigint, segment bigint, seq bigint, time double, " + ", ".join(f"`{c}` double" for c in columns))
 
 
 def segment_sink(stream: DataFrame, folder: str, kind: str, columns: list[str], checkpoint: str):
