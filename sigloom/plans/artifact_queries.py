@@ -180,7 +180,16 @@ def joint_reports(spark, d):
     """Both summaries, efficiency, grade and all rules with their levels."""
     out = report.joint_report(*_scores(spark, d))
     rules = F.array_join(F.transform("recommendations", lambda r: F.concat(r["type"], F.lit(":"), r["level"])), ",")
-    return out.select("session_id", F.round("attention.focus", 6).alias("focus"), F.round("load.optimal", 6).alias("optimal"), "fatigue", F.round("efficiency", 6).alias("efficiency"), "grade", rules.alias("rules"))
+    messages = F.array_join(F.transform("recommendations", lambda r: r["message"]), " ")
+    return out.select("session_id", F.round("attention.focus", 6).alias("focus"), F.round("load.optimal", 6).alias("optimal"), "fatigue", F.round("efficiency", 6).alias("efficiency"), "grade", rules.alias("rules"), messages.alias("messages"))
+
+
+def attention_summaries(spark, d):
+    """Scores of all levels with engagement and ratio; in every seventh session these are missing."""
+    attention, u = _scores(spark, d)[0], V.sig_user(spark, d).withColumn("k", V.k_of())
+    other = u.select("session_id", F.col("seq").alias("epoch"), F.when(F.col("session_id") % 7 > 0, F.col("k") / 40).alias("engagement_index"), F.when(F.col("session_id") % 7 > 0, F.col("value") / 30).alias("theta_alpha_ratio"))
+    out = report.attention_summary(attention.join(other, ["session_id", "epoch"]))
+    return rounded(out.select("session_id", "n", "max_score", "high_share", "low_share", "trend", "focus", F.col("mean_ei").alias("ei"), F.col("mean_tar").alias("tar")), 4)
 
 
 def session_reports(spark, d):
@@ -263,7 +272,7 @@ def streamed_downsample(spark, d):
     return rounded(out.select("session_id", "seq", "CH1"))
 
 
-QUERIES = {f.__name__: f for f in (window_peaks, adaptive_thresholds, blinks_repaired, blink_gate_mixed, imu_of_windows, motion_gated, ordered_imu, resampled_linear, resampled_spline, motion_filtered, baseline_state, subspace_cleaned, baseline_quality, optical_vitals, optical_windows, saturation_smoothed, canonical_sessions, canonical_catalogue, history_load, ring_snapshot, latest_values, band_series, load_summaries, joint_reports, session_reports, parsed_markers, marker_sessions, markers_appended, session_times_patched, recordings_matched, streamed_epochs, streamed_attention, streamed_downsample)}
+QUERIES = {f.__name__: f for f in (window_peaks, adaptive_thresholds, blinks_repaired, blink_gate_mixed, imu_of_windows, motion_gated, ordered_imu, resampled_linear, resampled_spline, motion_filtered, baseline_state, subspace_cleaned, baseline_quality, optical_vitals, optical_windows, saturation_smoothed, canonical_sessions, canonical_catalogue, history_load, ring_snapshot, latest_values, band_series, load_summaries, attention_summaries, joint_reports, session_reports, parsed_markers, marker_sessions, markers_appended, session_times_patched, recordings_matched, streamed_epochs, streamed_attention, streamed_downsample)}
 
 _LV = """n AS (SELECT session_id, seq // 52 AS win, sqrt(AccX * AccX + AccY * AccY + AccZ * AccZ) AS a, sqrt(GyrX * GyrX + GyrY * GyrY + GyrZ * GyrZ) AS g FROM imu),
 mo AS (SELECT session_id, win, quantile_cont(abs(a - 1), 0.95) AS acc95, quantile_cont(g, 0.95) AS gyr95, stddev_pop(a) AS acc_std FROM n GROUP BY ALL),
@@ -331,9 +340,20 @@ SELECT vec_id, errors = '' AS ok, errors, warns FROM g""",
     "band_series": V.sql("bands", "SELECT session_id, epoch, round(max(delta) FILTER (ch = 'CH1'), 6) AS delta1, round(max(theta) FILTER (ch = 'CH2'), 6) AS theta2, round(max(gamma) FILTER (ch = 'CH4'), 6) AS gamma4 FROM bp GROUP BY ALL"),
     "load_summaries": _with("ku", _SC, "SELECT session_id, round(round_even(m, 3), 5) AS mean_score, optimal, overload, underload, CASE WHEN n >= 4 AND m >= 1e-6 AND sl * n / m > 0.1 THEN 'improving' WHEN n >= 4 AND m >= 1e-6 AND sl * n / m < -0.1 THEN 'declining' ELSE 'stable' END AS trend, round_even(CASE WHEN n >= 4 THEN sl ELSE 0 END, 5) AS slope, round_even(ci, 3) AS mean_ci, n FROM l"),
     "joint_reports": _with(
-        "ku", _SC + """, j AS (SELECT ar.session_id, focus, trend, fatigue, optimal, overload, underload, round_even(CASE WHEN optimal IS NULL THEN focus ELSE greatest(0, least(1, focus * (0.5 + optimal) - overload * 0.5)) END, 3) AS e FROM ar LEFT JOIN l USING (session_id))""",
+        "ku", _SC + """, j AS (SELECT ar.session_id, ar.n, focus, trend, fatigue, optimal, overload, underload, round_even(CASE WHEN optimal IS NULL THEN focus ELSE greatest(0, least(1, focus * (0.5 + optimal) - overload * 0.5)) END, 3) AS e FROM ar LEFT JOIN l USING (session_id)),
+w AS (SELECT x.session_id, x.epoch FROM a1 x JOIN a1 y ON x.session_id = y.session_id AND x.epoch >= greatest(3, x.n // 10) AND y.epoch < x.epoch AND y.epoch >= x.epoch - greatest(3, x.n // 10) GROUP BY x.session_id, x.epoch, x.f HAVING avg(y.s) < 0.85 * x.f),
+u AS (SELECT session_id, min(epoch) AS first FROM w GROUP BY 1), k AS (SELECT j.*, round_even(first / n, 2) AS onset FROM j LEFT JOIN u USING (session_id))""",
         """SELECT session_id, round(focus, 6) AS focus, round(optimal, 6) AS optimal, fatigue, round(e, 6) AS efficiency, CASE WHEN e >= 0.7 THEN 'excellent' WHEN e >= 0.5 THEN 'good' WHEN e >= 0.3 THEN 'fair' ELSE 'poor' END AS grade,
-coalesce(nullif(concat_ws(',', CASE WHEN focus >= 0.8 THEN 'attention:good' END, CASE WHEN focus < 0.5 THEN 'attention:warning' END, CASE WHEN trend = 'declining' THEN 'attention:warning' END, CASE WHEN trend = 'improving' THEN 'attention:good' END, CASE WHEN overload > 0.4 THEN 'cognitive_load:warning' WHEN underload > 0.4 THEN 'cognitive_load:info' END, CASE WHEN optimal >= 0.5 THEN 'cognitive_load:good' END, CASE WHEN fatigue THEN 'fatigue:warning' END), ''), 'general:info') AS rules FROM j""",
+coalesce(nullif(concat_ws(',', CASE WHEN focus >= 0.8 THEN 'attention:good' END, CASE WHEN focus < 0.5 THEN 'attention:warning' END, CASE WHEN trend = 'declining' THEN 'attention:warning' END, CASE WHEN trend = 'improving' THEN 'attention:good' END, CASE WHEN overload > 0.4 THEN 'cognitive_load:warning' WHEN underload > 0.4 THEN 'cognitive_load:info' END, CASE WHEN optimal >= 0.5 THEN 'cognitive_load:good' END, CASE WHEN fatigue THEN 'fatigue:warning' END), ''), 'general:info') AS rules,
+coalesce(nullif(concat_ws(' ', CASE WHEN focus >= 0.8 THEN 'Focused in ' || round_even(focus * 100, 0)::INT || '% of the epochs.' END, CASE WHEN focus < 0.5 THEN 'Focused in only ' || round_even(focus * 100, 0)::INT || '% of the epochs: shorter blocks with pauses may help.' END,
+ CASE WHEN trend = 'declining' THEN 'Attention falls over the recording: put the hardest part first.' END, CASE WHEN trend = 'improving' THEN 'Attention rises over the recording.' END,
+ CASE WHEN overload > 0.4 THEN 'Load is high in ' || round_even(overload * 100, 0)::INT || '% of the epochs: split the task or lower its difficulty.' WHEN underload > 0.4 THEN 'Load is low in ' || round_even(underload * 100, 0)::INT || '% of the epochs: the task can be harder.' END,
+ CASE WHEN optimal >= 0.5 THEN 'Load is in the middle range in ' || round_even(optimal * 100, 0)::INT || '% of the epochs.' END,
+ CASE WHEN fatigue THEN 'Signs of fatigue ' || coalesce('from minute ' || printf('%.1f', round_even(onset * n / 60, 1)) || ' on (' || round_even(onset * 100, 0)::INT || '% of the recording)', 'in the second half') || ': plan a pause before it.' END), ''), 'Too few epochs for advice.') AS messages FROM k""",
+    ),
+    "attention_summaries": _with(
+        "ku", _SC + ", g AS (SELECT session_id, max(s) AS m, round_even(avg(CAST(level = 'high' AS INT)), 3) AS high_share, round_even(avg(CAST(level = 'low' AS INT)), 3) AS low_share FROM a1 GROUP BY 1), e AS (SELECT session_id, round_even(avg(k / 40.0::DOUBLE), 3) AS ei, round_even(avg(value / 30.0::DOUBLE), 3) AS tar FROM ku WHERE session_id % 7 > 0 GROUP BY 1)",
+        "SELECT session_id, n, round(g.m, 4) AS max_score, round(high_share, 4) AS high_share, round(low_share, 4) AS low_share, trend, round(focus, 4) AS focus, round(ei, 4) AS ei, round(tar, 4) AS tar FROM ar JOIN g USING (session_id) LEFT JOIN e USING (session_id)",
     ),
     "session_reports": V.sql("ku", "SELECT session_id, least(count(*), 50) AS n_attention, CASE WHEN session_id % 5 > 0 THEN least(count(*), 50) ELSE 0 END AS n_load, count(*) AS n_markers FROM ku GROUP BY 1"),
     "parsed_markers": _with("ku", _REQ, f"SELECT session_id, id, content, round(start_ts, 3) AS start_ts, round(end_ts, 3) AS end_ts, {_TEXT('start_ts')} AS start_str, round(round_even(end_ts - start_ts, 3), 3) AS duration_s, note FROM mk"),
