@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +81,27 @@ def time_range(rows: DataFrame, keys: tuple[str, ...] = ("session_id",), time: s
     return rows.groupBy(*keys).agg(F.min(time).alias("start_ts"), F.max(time).alias("end_ts"))
 
 
+def probed_range(spark: SparkSession, root: str, kind: str, *, anchor: bool = False) -> DataFrame:
+    """``time_range`` of every recording of a data type from its first and last segment alone: session_id, segments, start_ts, end_ts.
+
+    The listing tells which they are (the column ``path`` of a binary scan reads no content); only those files are scanned, so the work follows
+    the number of recordings and not their length.  The driver holds two paths a recording, as it does for any scan.  With ``anchor`` times are
+    shifted so that the first is the time that the session's name gives.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{PREFIXES[kind]}_seg*.csv").load(f"{root.rstrip('/')}/*").select("path")
+    path = F.col("path")
+    outer = files.groupBy(session_of(path).alias("session_id")).agg(F.count(F.lit(1)).alias("segments"), F.min_by(path, segment_of(path)).alias("first"), F.max_by(path, segment_of(path)).alias("last")).collect()
+    if not outer:
+        return spark.createDataFrame([], "session_id string, segments bigint, start_ts double, end_ts double")
+    held = spark.createDataFrame([(r.session_id, r.segments) for r in outer], "session_id string, segments bigint")
+    rows = scan(spark, sorted({p for r in outer for p in (r.first, r.last)}), SEGMENTS[kind])
+    made = held.join(time_range(rows), "session_id")
+    if not anchor:
+        return made
+    shift = F.coalesce(session_seconds(F.col("session_id")) - F.col("start_ts"), F.lit(0.0))
+    return made.withColumns({"start_ts": F.col("start_ts") + shift, "end_ts": F.col("end_ts") + shift})
+
+
 def pending(files: DataFrame, done: DataFrame) -> DataFrame:
     """Files (path, size, was: the size at the last look) that are complete and not among ``done``.
 
@@ -111,6 +135,43 @@ def write_segments(rows: DataFrame, folder: str, kind: str, columns: list[str],
     return folder
 
 
+def write_recordings(rows: DataFrame, root: str, kind: str, columns: list[str], size: int, *, time: str = "time", seq: str = "seq") -> str:
+    """Write recordings in the layout that the scans read, ``root/<session>/<prefix>_segNNNN.csv``, ``size`` rows a file with six decimals; returns the root.
+
+    A task writes the segments that it holds one after the other, each under a name of its own until it is whole; a task that runs again puts the same rows there.
+    """
+    text = lambda c, name: F.coalesce(F.format_string("%.6f", F.col(c)), F.lit("")).alias(name)
+    made = with_segment(rows, size, seq).select(F.col("session_id").cast("string").alias("session_id"), "segment", F.col(seq).alias("_seq"), text(time, "timestamp"), *(text(c, c) for c in columns))
+    dealt = made.repartition("session_id", "segment").sortWithinPartitions("session_id", "segment", "_seq").drop("_seq")
+    names, prefix = ["timestamp", *columns], PREFIXES[kind]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        now = out = held = None
+
+        def whole() -> pd.DataFrame:
+            out.close()
+            target = f"{base}/{now[0]}/{prefix}_seg{now[1]:04d}.csv"
+            fs.move(held, target)
+            return pd.DataFrame({"path": [target]})
+
+        for frame in frames:
+            for key, part in frame.groupby(["session_id", "segment"], sort=False):
+                if key != now:
+                    if out is not None:
+                        yield whole()
+                    now, held = key, f"{base}/{key[0]}/.{uuid.uuid4().hex}"
+                    fs.create_dir(f"{base}/{key[0]}", recursive=True)
+                    out = fs.open_output_stream(held, compression=None)
+                    out.write((",".join(names) + "\n").encode())
+                out.write(part[names].to_csv(index=False, header=False).encode())
+        if out is not None:
+            yield whole()
+
+    dealt.mapInPandas(run, "path string").count()
+    return root
+
+
 def read_segments(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
     """What ``write_segments`` wrote: session_id, data_type, segment, timestamp and the columns."""
     schema = T.StructType([T.StructField("timestamp", T.DoubleType()), *(T.StructField(c, T.DoubleType()) for c in columns)])
