@@ -44,12 +44,14 @@ class EliasFano:
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
-        v = np.asarray(values, dtype=np.int64)
+        v = np.asarray(values).astype(np.uint64)  # up to 2**64 - 1
         n = len(v)
         top = int(v[-1]) + 1 if n else 1
         bits = max(0, (top // max(n, 1)).bit_length() - 1)
-        low = np.packbits(((v[:, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel(), bitorder="little") if bits and n else np.zeros(0, np.uint8)
-        ones = (v >> bits) + np.arange(n)
+        steps = np.arange(bits, dtype=np.uint64)
+        low = [np.packbits(((v[i : i + 8192, None] >> steps) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for i in range(0, n, 8192)] if bits else []  # runs end at whole bytes
+        low = np.concatenate(low) if low else np.zeros(0, np.uint8)
+        ones = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         high[ones] = 1
         return cls(n, bits, low, np.packbits(high, bitorder="little"), ones[:: cls.SAMPLE].astype(np.uint32))
@@ -65,10 +67,10 @@ class EliasFano:
 
     def _low(self, first: int, last: int) -> np.ndarray:
         if not self.bits:
-            return np.zeros(last - first, np.int64)
+            return np.zeros(last - first, np.uint64)
         begin, end = first * self.bits, last * self.bits
         bits = np.unpackbits(self.low[begin // 8 : (end + 7) // 8], bitorder="little")[begin % 8 : begin % 8 + end - begin]
-        return bits.reshape(-1, self.bits).astype(np.int64) @ (1 << np.arange(self.bits, dtype=np.int64))
+        return bits.reshape(-1, self.bits).astype(np.uint64) @ (np.uint64(1) << np.arange(self.bits, dtype=np.uint64))
 
     def select(self, i: int) -> int:
         """The i-th value, from the nearest sample before it."""
@@ -88,16 +90,16 @@ class EliasFano:
             bits = np.unpackbits(self.high[byte : byte + 64], bitorder="little")
 
     def between(self, first: int, last: int) -> np.ndarray:
-        """The values from ``first`` to ``last`` (excluded): two samples bound the bits that are read."""
+        """The values from ``first`` to ``last`` (excluded), unsigned: two samples bound the bits that are read."""
         if first >= last:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64)
         begin = int(self.samples[first // self.SAMPLE]) // 8
         after = -(-last // self.SAMPLE)
         stop = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
         ones = np.flatnonzero(np.unpackbits(self.high[begin:stop], bitorder="little")) + begin * 8
         skip = int(np.searchsorted(ones, self.samples[first // self.SAMPLE])) + first % self.SAMPLE
         own = ones[skip : skip + last - first]
-        return ((own - np.arange(first, last)) << self.bits) + self._low(first, last)
+        return ((own - np.arange(first, last)).astype(np.uint64) << np.uint64(self.bits)) + self._low(first, last)
 
 
 class ChunkEncoder:
@@ -232,7 +234,7 @@ def write_shards(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: s
         per_doc, doc_ids = np.concatenate(counts), np.concatenate(ids)
         least = int(doc_ids[0]) if len(doc_ids) else 0
         starts, starts_head = EliasFano.encode(np.cumsum(per_doc) - per_doc).to_bytes()
-        names, names_head = EliasFano.encode(doc_ids - least).to_bytes()
+        names, names_head = EliasFano.encode(doc_ids.astype(np.uint64) - np.uint64(least % (1 << 64))).to_bytes()
         footer = json.dumps({"width": width, "n_ids": written, "n_docs": len(per_doc), "nulls": none, "least": least, "starts": starts_head, "ids": names_head}).encode()
         out.write(starts + names + footer + len(footer).to_bytes(4, "little"))
         out.close()
@@ -263,8 +265,13 @@ class Shard:
         """Ids of the i-th document by two selects."""
         return self.ids(self.starts.select(i), self.starts.select(i + 1) if i + 1 < self.starts.n else self.head["n_ids"])
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.head["nulls"] + (self.names.between(0, self.names.n) + self.head["least"]).tolist()
+    def _named(self, first: int, last: int) -> list[int]:
+        return (self.names.between(first, last) + np.uint64(self.head["least"] % (1 << 64))).view(np.int64).tolist()  # distances may span all 64 bits
+
+    def doc_ids(self, first: int = 0, last: int | None = None) -> list[int | None]:
+        """Ids of documents by their place in the shard; null ids stand first."""
+        nulls, last = self.head["nulls"], self.starts.n if last is None else last
+        return [None] * max(0, min(nulls, last) - first) + self._named(max(first - nulls, 0), max(last - nulls, 0))
 
 
 def read_shards(index: DataFrame, at_once: int = 4 << 20, docs_at_once: int = 8192) -> DataFrame:
@@ -275,11 +282,11 @@ def read_shards(index: DataFrame, at_once: int = 4 << 20, docs_at_once: int = 81
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row["path"])
-                n, nulls = shard.starts.n, shard.head["nulls"]
+                n = shard.starts.n
                 for first in range(0, n, docs_at_once):  # offsets of a run of documents, then their ids in reads of bounded size
                     last = min(first + docs_at_once, n)
-                    starts = np.append(shard.starts.between(first, last), shard.starts.select(last) if last < n else row["n_ids"])
-                    names = [None] * max(0, min(nulls, last) - first) + (shard.names.between(max(first - nulls, 0), max(last - nulls, 0)) + shard.head["least"]).tolist()
+                    starts = np.append(shard.starts.between(first, last).view(np.int64), shard.starts.select(last) if last < n else row["n_ids"])
+                    names = shard.doc_ids(first, last)
                     i = 0
                     while i < last - first:
                         j = max(i + 1, int(np.searchsorted(starts, starts[i] + at_once, "right")) - 1)
