@@ -21,11 +21,16 @@ from pyspark.sql import functions as F
 from .appending import append, free_name, give_back
 from .bytewords import slices
 
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
 WINDOW = 512
 WIDTHS, FILTERS, DIM = (2, 3, 4), 12, 8
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text holds a letter of any script (Unicode category L); number signs such as ``²`` or ``Ⅷ`` are none."""
+    return bool(_ASCII_LETTER.search(text)) or not text.isascii() and any(map(str.isalpha, text))
+
+
 @dataclass
 class LanguageModel:
     """Weights: byte embedding (row 256 pads), all filters in one matrix (narrow ones end in zero rows), output layer."""
@@ -146,7 +151,7 @@ def sample(docs: DataFrame, *, id: str = "doc_id", text: str = "text", label: st
     """
     size = F.greatest(F.length(text), F.lit(1))
     cut = [F.substr(F.col(text), (F.lit(1) + F.pmod(F.xxhash64(F.col(id), F.lit(i)), size)).cast("int"), F.lit(WINDOW)).alias(f"c{i}") for i in range(1, cuts)]
-    lettered = docs.filter(F.col(label).isNotNull() & F.col(text).rlike(r"[\p{L}\p{Nl}\p{No}]")).withColumn("h", F.xxhash64(F.col(id), F.col(text))).withColumn("y", F.col(label).cast("string"))
+    lettered = docs.filter(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).withColumn("h", F.xxhash64(F.col(id), F.col(text))).withColumn("y", F.col(label).cast("string"))
     counts = lettered.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()  # one row per label
     if not counts:
         return []
@@ -157,7 +162,7 @@ def sample(docs: DataFrame, *, id: str = "doc_id", text: str = "text", label: st
     chosen = near.select("h", "y", F.substr(F.col(text), F.lit(1), F.lit(WINDOW)).alias("c0"), *cut)
     ranked = chosen.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy("h", "c0")))
     got = sorted(ranked.filter(F.col("place") <= share).drop("place").collect(), key=lambda r: (r.h, r.y, r.c0))
-    return [(t, r.y) for r in got for t in r[2:] if t and _LETTER.search(t)]
+    return [(t, r.y) for r in got for t in r[2:] if t and has_letter(t)]
 
 
 def _predict(kept):
@@ -169,7 +174,7 @@ def _predict(kept):
             plain = texts.fill_null("") if texts.null_count else texts
             for first, last, data, offsets in slices(plain, 256 << 10):
                 n = last - first
-                lettered = np.array([bool(_LETTER.search(t)) for t in plain.slice(first, n).to_pylist()])
+                lettered = np.array([has_letter(t) for t in plain.slice(first, n).to_pylist()])
                 total = np.zeros((n, len(model.languages) if model else 1))
                 if model:
                     windows, row = windows_of(data, offsets)
