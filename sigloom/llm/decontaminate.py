@@ -6,7 +6,7 @@ Every suffix of every benchmark item that begins a window is binary-searched in
 of several items are searched once; so a place of a document meets one window of each length, however many items share it.
 From each place that no match before it reaches the match is extended to its longest.  Nothing is sampled or capped, and no row is shuffled.
 
-The benchmark is the query set.  It reaches the tasks in blocks of at most ``block_bytes`` of text:
+The benchmark is the query set.  Its windows are sorted once and reach the tasks in blocks of at most ``block_bytes`` of text:
 one block where it fits, otherwise the documents pass through one kernel per block within one scan.
 """
 
@@ -50,12 +50,20 @@ class Items:
         pick = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
         start, need, owner = pick(start), pick(need), pick(owner)
         self.words = np.concatenate([*parts, np.zeros(window, np.uint64)])
-        grid = np.where(np.arange(window) < need[:, None], self.words[start[:, None] + np.arange(window)], np.uint64(0))
-        _, one, group = np.unique(grid, axis=0, return_index=True, return_inverse=True) if len(start) else (None, start, start)
-        self.start, self.need = start[one], need[one]
-        order = np.lexsort((owner, group))
-        self.holders, self.held_at = owner[order], np.searchsorted(group[order], np.arange(len(one) + 1))
-        self.owner = owner[one]
+        # equal windows stand next to one another in the order of the items' suffixes
+        window_at = np.full(len(self.words), -1, np.int64)
+        window_at[start] = np.arange(len(start))
+        turn = window_at[suffix_array(self.words, window + 1)]
+        turn = turn[turn >= 0]
+        same = need[turn[1:]] == need[turn[:-1]]
+        for d in range(window):
+            same &= (need[turn[1:]] <= d) | (self.words[start[turn[1:]] + d] == self.words[start[turn[:-1]] + d])
+        fresh = np.flatnonzero(np.append(True, ~same)) if len(turn) else turn
+        one = np.minimum.reduceat(turn, fresh) if len(turn) else turn  # the first that holds it
+        self.start, self.need, self.owner = start[one], need[one].astype(np.int32), owner[one].astype(np.int32)
+        group = np.repeat(np.arange(len(one)), np.diff(np.append(fresh, len(turn))))
+        order = np.lexsort((owner[turn], group))
+        self.holders, self.held_at = owner[turn][order].astype(np.int32), np.append(fresh, len(turn))
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -216,8 +224,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
     for b in range(blocks):
         part = held if blocks == 1 else held.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
         rows = part.collect()  # at most about block_bytes by the sum above
-        kept = docs.sparkSession.sparkContext.broadcast((([r.i for r in rows]), [r.t for r in rows]))
-        made = _maker(kept, window)
+        kept = docs.sparkSession.sparkContext.broadcast(Items([r.i for r in rows], [r.t for r in rows], window))  # sorted once, for all tasks
+        made = _maker(kept)
         step = free_name(docs, f"{name}_{b}") if b < blocks - 1 else name
         docs = append(docs, [text] if previous is None else [text, previous], step, FOUND, made)
         if previous is not None:
@@ -226,8 +234,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
     return docs
 
 
-def _maker(kept, window: int):
-    return lambda: _kernel(Items(*kept.value, window))
+def _maker(kept):
+    return lambda: _kernel(kept.value)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

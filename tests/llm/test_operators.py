@@ -483,3 +483,33 @@ def test_pipeline_stages_take_odd_tables(spark, sf, tmp_path):
         rows[name] = made.count()
         assert (name == "pieces" or made.columns == odd.columns) and stage(spark, odd.limit(0), sf).count() == 0, name
     assert rows["near_duplicates"] == len(EDGE) + 1 - 2 and rows["pieces"] == len(EDGE) + 1  # three equal rows of id 1 become one
+
+
+def test_number_signs_are_no_letters():
+    assert not any(language.has_letter(t) for t in ("", "½ ² Ⅷ ①", "12,5 __ !", "\U0001f600")) and all(language.has_letter(t) for t in ("a", "12 é", "Ж", "中", "ª"))
+
+
+def test_number_signs_alone_are_und(spark):
+    docs = spark.createDataFrame([(i, f"the cat and dog number {i}" if i % 2 else f"der hund und katze {i}", "en" if i % 2 else "de") for i in range(40)] + [(100, "½ ² Ⅷ ①", "en")], "doc_id bigint, text string, lang string")
+    model = language.fit(language.sample(docs))
+    got = {r.doc_id: (r.language.lang, r.language.score) for r in language.predict(docs.select("doc_id", "text"), model, name="language").collect()}
+    assert got[100] == ("und", 0.0) and got[1][0] == "en"
+
+
+def test_ids_that_span_all_integers(spark, sf):
+    rows = [(-(2**63), "a b"), (-5, "c"), (0, ""), (7, "d e f"), (2**63 - 1, "g"), (None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = tokenbin.read_shards(tokenbin.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"))).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, -(2**63), -5, 0, 7, 2**63 - 1]
+    values = np.array([0, 3, 2**40, 2**63 + 11, 2**64 - 1], np.uint64)
+    raw, head = tokenbin.EliasFano.encode(values).to_bytes()
+    back = tokenbin.EliasFano.from_bytes(raw, head)
+    assert back.between(0, 5).tolist() == values.tolist() == [back.select(i) for i in range(5)]
+
+
+def test_query_set_of_windows():
+    items = decontaminate.Items([5, 6, 7, 8, None], ["a b c d", "b c d e", "b c", "b c", ""], 3)
+    words = {int(w): t for t, w in zip("abcde", items.words[[1, 2, 3, 4, 9]])}
+    shown = {" ".join(words[int(x)] for x in items.words[s : s + n]): sorted(items.ids[h] for h in items.holders[items.held_at[k] : items.held_at[k + 1]]) for k, (s, n) in enumerate(zip(items.start, items.need))}
+    assert shown == {"a b c": [5], "b c d": [5, 6], "c d e": [6], "b c": [7, 8]}
+    assert decontaminate.Items([], [], 3).start.tolist() == []
