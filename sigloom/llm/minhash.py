@@ -292,7 +292,7 @@ def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: in
 
 
 def _options(options: dict) -> dict:
-    return {"percent": 80, "words": 2, "k": 64, "posted": 32, "stars": 2, "short": 12, "block": 1 << 17, "broadcast_rows": 200_000, "loss": 1e-6} | options
+    return {"percent": 80, "words": 2, "k": 64, "posted": 32, "stars": 2, "short": 12, "block": 1 << 17, "broadcast_rows": 20_000, "loss": 1e-6} | options
 
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     with a null component.  An empty table gives no rows; other columns are ignored.
 
     Options: ``percent`` 80, ``words`` 2, ``k`` 64 values retained, the ``posted`` 32 least of them inverted, ``loss`` 1e-6 (the probability that a pair at the
-    threshold is not met), ``stars`` 2, ``short`` 12 members, ``block`` 131,072 shingles, ``broadcast_rows`` 200,000.
+    threshold is not met), ``stars`` 2, ``short`` 12 members, ``block`` 131,072 shingles, ``broadcast_rows`` 20,000 (a side of more rows is shuffled, so that a table of any size but a small one is planned alike).
     """
     rows, groups = _groups(docs, id, text, **_options(options))
     out = rows.join(groups.select("node", "first_id"), "node", "left")
