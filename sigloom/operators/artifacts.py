@@ -123,16 +123,22 @@ def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     if n < 4:
         return np.stack([np.polyval(np.polyfit(x - x[0], c, n - 1), at - x[0]) for c in y.T], axis=1)
     h, d = np.diff(x), np.diff(y, axis=0) / np.diff(x)[:, None]
-    m = np.zeros((n, n))  # of a window's points only
+    below, middle, above = np.zeros(n), np.empty(n), np.zeros(n)
     r = np.zeros((n, y.shape[1]))
-    for i in range(1, n - 1):
-        m[i, i - 1 : i + 2] = h[i], 2 * (h[i - 1] + h[i]), h[i - 1]
-        r[i] = 3 * (h[i] * d[i - 1] + h[i - 1] * d[i])
-    m[0, :2] = h[1], h[0] + h[1]
+    below[1:-1], middle[1:-1], above[1:-1] = h[1:], 2 * (h[:-1] + h[1:]), h[:-1]
+    r[1:-1] = 3 * (h[1:, None] * d[:-1] + h[:-1, None] * d[1:])
+    middle[0], above[0] = h[1], h[0] + h[1]
     r[0] = ((h[0] + 2 * (h[0] + h[1])) * h[1] * d[0] + h[0] ** 2 * d[1]) / (h[0] + h[1])
-    m[-1, -2:] = h[-1] + h[-2], h[-2]
+    below[-1], middle[-1] = h[-1] + h[-2], h[-2]
     r[-1] = (h[-1] ** 2 * d[-2] + (2 * (h[-1] + h[-2]) + h[-1]) * h[-2] * d[-1]) / (h[-1] + h[-2])
-    slope = np.linalg.solve(m, r)
+    for k in range(1, n):  # down the three diagonals, then up
+        w = below[k] / middle[k - 1]
+        middle[k] -= w * above[k - 1]
+        r[k] -= w * r[k - 1]
+    slope = r
+    slope[-1] /= middle[-1]
+    for k in range(n - 2, -1, -1):
+        slope[k] = (slope[k] - above[k] * slope[k + 1]) / middle[k]
     i = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
     t, s = (at - x[i])[:, None], h[i][:, None]
     c = (3 * d[i] - 2 * slope[i] - slope[i + 1]) / s
@@ -143,20 +149,28 @@ def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
 def resample_spline(windows: DataFrame, imu: DataFrame, axes: list[str] = IMU_AXES) -> DataFrame:
     """IMU axes at the samples of each window (session_id, win, seq, time), by ``spline`` over the window's own IMU rows.
 
-    ``imu`` holds the rows of ``imu_of_windows``.  Windows without IMU rows get NULL.  One group is one window.
+    ``imu`` holds the rows of ``imu_of_windows``; of rows at one time the first by ``seq`` counts.  Windows without IMU rows get NULL.  A window's samples
+    and points meet as arrays, and all windows of a batch pass one Arrow kernel.
     """
-    schema = "session_id bigint, win bigint, seq bigint, time double, " + ", ".join(f"{a} double" for a in axes)
-
-    def run(own: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        out = own[["session_id", "win", "seq", "time"]].copy()
-        if not len(out):
-            return out.assign(**{a: [] for a in axes})
-        points = points.dropna(subset=["time", *axes]).sort_values("time", kind="stable").drop_duplicates("time")
-        values = spline(points["time"].to_numpy(), points[axes].to_numpy(), own["time"].to_numpy()) if len(points) else np.full((len(own), len(axes)), np.nan)
-        return out.assign(**{a: values[:, k] for k, a in enumerate(axes)})
-
-    made = windows.select("session_id", "win", "seq", "time").groupBy("session_id", "win").cogroup(imu.select(*(F.col(c).alias(c) for c in ("session_id", "win", "time", *axes))).groupBy(F.col("session_id"), F.col("win"))).applyInPandas(run, schema)
-    return made.withColumns({a: F.when(~F.isnan(a), F.col(a)) for a in axes})
+
+    @F.pandas_udf("array<array<double>>")
+    def kernel(at: pd.Series, times: pd.Series, points: pd.Series) -> pd.Series:
+        out = []
+        for t, x, y in zip(at, times, points):
+            if x is None or not len(x):
+                out.append(None)
+                continue
+            x, first = np.unique(np.asarray(x, float), return_index=True)
+            out.append(spline(x, np.stack([np.asarray(row, float) for row in y])[first], np.asarray(t, float)).tolist())
+        return pd.Series(out)
+
+    keys = ["session_id", "win"]
+    samples = windows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "time"))).alias("_s"))
+    known = imu.dropna(subset=["time", *axes]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("time", "seq", *axes))).alias("_p"))
+    made = samples.join(known, keys, "left").withColumn("_y", kernel(F.transform("_s", lambda v: v["time"]), F.transform("_p", lambda v: v["time"]), F.transform("_p", lambda v: F.array(*(v[a] for a in axes)))))
+    rows = made.select(*keys, F.posexplode("_s").alias("_i", "_r"), "_y")
+    value = lambda k: F.get(F.get("_y", F.col("_i")), F.lit(k))
+    return rows.select(*keys, "_r.seq", "_r.time", *(F.when(~F.isnan(value(k)), value(k)).alias(a) for k, a in enumerate(axes)))
 
 
 def nlms(signal: np.ndarray, reference: np.ndarray, weights: np.ndarray, line: np.ndarray, rate: float, eps: float = 1e-6) -> np.ndarray:

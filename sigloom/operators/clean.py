@@ -99,14 +99,17 @@ def butterworth(order: int, edges: list[float], fs: float, kind: str) -> list[tu
 
 
 def _one_way(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """One section over the rows of ``x`` (time along axis 0), from its steady state at the first row."""
-    n = len(b) - 1
-    level = b.sum() / a.sum()
-    state = np.array([(b[k + 1 :] - a[k + 1 :] * level).sum() for k in range(n)])[:, None] * x[0]
+    """One second-order section over the rows of ``x`` (time along axis 0), from its steady state at the first row.  A section's coefficients are alike for all columns or given per column."""
+    b, a = (np.reshape(c, (len(c), -1)) for c in (b, a))
+    if len(b) < 3:
+        b, a = (np.concatenate([c, np.zeros((3 - len(c), c.shape[1]))]) for c in (b, a))
+    level = b.sum(0) / a.sum(0)
+    one, two = ((b[k:] - a[k:] * level).sum(0) * x[0] for k in (1, 2))
     out = np.empty_like(x)
     for t, v in enumerate(x):
-        y = b[0] * v + state[0]
-        state = np.concatenate([state[1:], np.zeros_like(state[:1])]) + b[1:, None] * v - a[1:, None] * y
+        y = b[0] * v + one
+        one = two + b[1] * v - a[1] * y
+        two = b[2] * v - a[2] * y
         out[t] = y
     return out
 

@@ -17,10 +17,23 @@ def less_ambient(rows: DataFrame) -> DataFrame:
 
 def band_pass(x: np.ndarray, fs: float, low: float = 0.5, high: float = 4.0, order: int = 3) -> np.ndarray | None:
     """Zero-phase Butterworth band-pass; a band that the rate cannot carry and at most nine rows pass unfiltered, windows shorter than the padding give None."""
-    if not 0 < low < high < fs / 2 or len(x) <= 9:
+    out = band_pass_many(x[:, None], np.array([fs]), low, high, order)
+    return None if out is None else out[:, 0]
+
+
+def band_pass_many(x: np.ndarray, fs: np.ndarray, low: float = 0.5, high: float = 4.0, order: int = 3) -> np.ndarray | None:
+    """``band_pass`` of windows of one length, a column each with its own rate: one step of the recurrence for all of them."""
+    carried = (0 < low < high) & (high < fs / 2)
+    if len(x) <= 9 or not carried.any():
         return x
-    sections = butterworth(order, [low, high], fs, "band")
-    return filtfilt(x[:, None], sections)[:, 0] if len(x) > padding(sections) else None
+    made = {f: butterworth(order, [low, high], f, "band") for f in np.unique(fs[carried]).tolist()}
+    own = [made[f] for f in fs[carried].tolist()]
+    sections = [tuple(np.stack([s[k][side] for s in own], axis=1) for side in (0, 1)) for k in range(len(own[0]))]
+    if len(x) <= padding(sections):
+        return None if carried.all() else np.where(carried, np.nan, x)
+    out = x.copy()
+    out[:, carried] = filtfilt(x[:, carried], sections)
+    return out
 
 
 def peaks(x: np.ndarray, distance: int, prominence: float) -> np.ndarray:
@@ -83,10 +96,17 @@ def vitals(rows: DataFrame, fs: float, **window) -> DataFrame:
 
     @F.pandas_udf("red_ac double, ir_ac double, heart_rate double")
     def kernel(ir: pd.Series, red: pd.Series, rate: pd.Series) -> pd.DataFrame:
-        out = []
-        for i, r, f in zip(ir, red, rate):
-            a, b = (band_pass(np.asarray(v, dtype=float), f or 0.0) for v in (i, r))
-            out.append((None, None, None) if a is None or b is None else (b.std(), a.std(), heart_rate(a, f) if f else None))
+        rates, sizes = rate.fillna(0.0).to_numpy(float), ir.map(len).to_numpy()
+        out = np.full((len(ir), 3), np.nan)
+        for n in np.unique(sizes):
+            every = np.flatnonzero(sizes == n)
+            for own in np.array_split(every, -(-len(every) // 256)):
+                made = band_pass_many(np.stack([np.asarray(v[i], float) for v in (ir, red) for i in own], axis=1), np.tile(rates[own], 2))
+                if made is None:
+                    continue
+                a, b = made[:, : len(own)], made[:, len(own) :]
+                out[own, 0], out[own, 1] = b.std(axis=0), a.std(axis=0)
+                out[own, 2] = [np.nan if not f or np.isnan(x[0]) or (h := heart_rate(x, f)) is None else h for x, f in zip(np.ascontiguousarray(a.T), rates[own])]
         return pd.DataFrame(out, columns=["red_ac", "ir_ac", "heart_rate"])
 
     numbered = less_ambient(rows).withColumn("seq", (F.row_number().over(Window.partitionBy("session_id").orderBy("seq")) - 1).cast("bigint"))
