@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import artifact_queries, feature_queries, recording_queries, scan_queries, signal_queries, stream_queries
+from . import artifact_queries, feature_queries, recording_queries, scan_queries, signal_queries, sql_queries, stream_queries
 
-MODULES = [feature_queries, signal_queries, recording_queries, artifact_queries, stream_queries, scan_queries]
+MODULES = [feature_queries, signal_queries, recording_queries, artifact_queries, stream_queries, scan_queries, sql_queries]
 
 
 def queries() -> dict:
