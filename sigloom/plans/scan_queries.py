@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import segments
+from ..operators import markers
+from ..sources import marker_files, segments
 from ..streaming import recordings, watcher
 from . import views as V
+from .artifact_queries import SQL as _ARTIFACT
 from .signal_queries import _with
 
 _CH = ["ch_1", "ch_2", "ch_3", "ch_4"]
@@ -50,7 +52,17 @@ def recordings_watched(spark, d):
     return _shown(recordings.run_available(stream, segments.scratch(spark, "watched"), segments.scratch(spark, "checkpoint")))
 
 
-QUERIES = {f.__name__: f for f in (recordings_scanned, recordings_near, recordings_probed, recordings_watched)}
+def marker_tables(spark, d):
+    """Markers written as CSV with a byte-order mark, the odd ones appended to the even ones, and read back with their extra columns."""
+    made = markers.parse_markers(V.requests(spark, d)).withColumn("session_id", F.format_string("u%05d", "session_id"))
+    root = segments.scratch(spark, "markers")
+    marker_files.write_marker_tables(made.filter("id % 2 = 0"), root)
+    marker_files.write_marker_tables(made.filter("id % 2 = 1"), root, append=True)
+    back = marker_files.scan_marker_tables(spark, root)
+    return back.select("session_id", "id", "content", F.round("start_ts", 3).alias("start_ts"), F.round("end_ts", 3).alias("end_ts"), "start_str", F.round("duration_s", 3).alias("duration_s"), F.col("extras")["note"].alias("note"))
+
+
+QUERIES = {f.__name__: f for f in (recordings_scanned, recordings_near, recordings_probed, recordings_watched, marker_tables)}
 
 _N = "p AS (SELECT *, session_id * 4 + seq // 256 AS part, seq % 256 AS i FROM sig), n AS (SELECT *, CASE WHEN part % 5 > 0 THEN strftime(make_timestamp((1709287200 + part * 50) * 1000000), '%Y%m%d_%H%M%S') ELSE printf('x%05d', part) END AS name, 1709287200 + part * 50 AS began, i // 100 + 1 AS segment FROM p)"
 _S = "SELECT name AS session_id, segment, round(time, 5) AS timestamp, round(CH1, 5) AS ch_1, round(CH2, 5) AS ch_2, round(CH3, 5) AS ch_3, round(CH4, 5) AS ch_4 FROM n"
@@ -59,4 +71,5 @@ SQL = {
     "recordings_near": _with("sig", _N, _S + " WHERE part % 5 > 0 AND abs(began - 1709287400) < 120"),
     "recordings_probed": _with("sig", _N, "SELECT name AS session_id, max(segment) AS segments, round(CASE WHEN any_value(part) % 5 > 0 THEN any_value(began) ELSE min(time) END, 3) AS start_ts, round(CASE WHEN any_value(part) % 5 > 0 THEN any_value(began) + max(time) - min(time) ELSE max(time) END, 3) AS end_ts FROM n GROUP BY name"),
     "recordings_watched": _with("sig", _N + ", m AS (SELECT name, max(segment) AS last FROM n GROUP BY name)", _S.replace("FROM n", "FROM n JOIN m USING (name)") + " WHERE segment < last"),
+    "marker_tables": f"SELECT printf('u%05d', session_id) AS session_id, * EXCLUDE (session_id) FROM ({_ARTIFACT['parsed_markers']})",
 }

@@ -59,3 +59,22 @@ def test_recordings_layout_and_probed_ranges(spark, tmp_path):
     assert segments.probed_range(spark, root, "imu").count() == 0
     stream = recordings.segment_stream(spark, root, "raw")
     assert recordings.run_available(stream, str(tmp_path / "out"), str(tmp_path / "c")).agg(F.count("timestamp")).first()[0] == 50
+
+
+def test_marker_tables_append_and_keep_extras(spark, tmp_path):
+    from sigloom.sources import marker_files
+
+    schema = "session_id string, id bigint, content string, start_str string, end_str string, duration_s double, start_ts double, end_ts double, extras map<string,string>"
+    row = lambda i, text, **extras: ("s", i, text, None, None, 1.5, 10.0, None, extras)
+    root, path = f"file://{tmp_path}", tmp_path / "s" / "markers.csv"
+    marker_files.write_marker_tables(spark.createDataFrame([row(0, 'a, "b"\nc', note="n"), row(1, "é")], schema), root)
+    assert path.read_bytes().startswith(b"\xef\xbb\xbfid,content") and path.read_text("utf-8-sig").splitlines()[0].endswith("end_ts,note")
+    more = spark.createDataFrame([row(1, "again"), row(2, "new", colour="red", note="m")], schema)
+    for _ in range(2):  # a second run changes nothing
+        marker_files.write_marker_tables(more, root, append=True)
+    assert path.read_text("utf-8-sig").splitlines()[0].endswith("end_ts,note,colour") and path.read_bytes().count(b"\xef\xbb\xbf") == 1
+    got = {r.id: (r.content, r.duration_s, r.end_ts, r.extras) for r in marker_files.scan_marker_tables(spark, root).collect()}
+    assert got == {0: ('a, "b"\nc', 1.5, None, {"note": "n"}), 1: ("again", 1.5, None, {}), 2: ("new", 1.5, None, {"note": "m", "colour": "red"})}
+    assert marker_files.scan_marker_table(spark, root).count() >= 3
+    marker_files.write_marker_tables(spark.createDataFrame([row(7, "alone")], schema), root)
+    assert [r.id for r in marker_files.scan_marker_tables(spark, root).collect()] == [7]
