@@ -513,3 +513,16 @@ def test_query_set_of_windows():
     shown = {" ".join(words[int(x)] for x in items.words[s : s + n]): sorted(items.ids[h] for h in items.holders[items.held_at[k] : items.held_at[k + 1]]) for k, (s, n) in enumerate(zip(items.start, items.need))}
     assert shown == {"a b c": [5], "b c d": [5, 6], "c d e": [6], "b c": [7, 8]}
     assert decontaminate.Items([], [], 3).start.tolist() == []
+
+
+def test_filtering_stages_keep_what_their_queries_say(spark, sf):
+    """The stages fit on the rows that the contract queries fit on, so their decisions must be those of op2, op7 and op4, row by row."""
+    import corpus_pipeline as p
+
+    docs, stages = table(spark, sf, "documents"), dict(p.STAGES)
+    kept = {name: sorted(r.doc_id for r in stages[name](spark, docs, sf).select("doc_id").collect()) for name in ("language", "toxicity", "decontamination")}
+    told = queries.op2_language(spark, sf).collect()
+    languages = len({r.lang for r in docs.select("lang").distinct().collect() if r.lang is not None})
+    assert kept["language"] == sorted(r.doc_id for r in told if r.lang_pred != "und" and r.score >= 1.04 / languages)
+    assert kept["toxicity"] == sorted(r.doc_id for r in queries.op7_toxicity(spark, sf).collect() if not r.predicted)
+    assert kept["decontamination"] == sorted(r.doc_id for r in queries.op4_decontaminate(spark, sf).collect() if not r.contaminated)
