@@ -10,7 +10,7 @@ in double precision; no other pair is linked.
 Pairs are brought together by cells.  A table cuts ``bits`` sorted projections of its own at zero; the sides on which a vector
 falls name its cell.  ``bits`` grows with the logarithm of the number of vectors, so that cells keep about ``cell_rows`` of
 them, and as many tables are made as leave a pair at the threshold apart in all of them with a probability of ``loss`` at most
-(``plan``); up to ``cell_rows`` vectors are one cell of one table.  So the work grows as n log n tables times a cell, not as the square of n.
+(``plan``); up to ``cell_rows`` vectors, one block, are one cell of one table.  So the work grows as n log n tables times a cell, not as the square of n.
 A pair that shares several cells counts in the first of them.
 
 Within a cell work is dealt in tiles of two blocks.  Projections stand in signed
@@ -136,7 +136,7 @@ def tile(x: np.ndarray, y: np.ndarray | None, threshold: float, half: int, least
     return links, np.zeros((2, 0), np.int64)
 
 
-def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, block: int = 4096, cell_rows: int = 1 << 16, loss: float = 1e-6) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, block: int = 4096, cell_rows: int = 1 << 12, loss: float = 1e-6) -> DataFrame:
     """One row per input row: ``id``, ``n_links`` (other vectors linked directly), ``component_id`` (least id reachable, itself included).
 
     All rows are compared, whatever their labels, with vectors of the same dimension.  Vectors that are
@@ -185,8 +185,9 @@ def _links(classes: DataFrame, dim: int, threshold: float, block: int, cell_rows
     held = dealt.groupBy("table", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     placed = dealt.join(held, ["table", "cell"]).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     blocks = cut(placed.groupBy("table", "cell", "blocks", "i").agg(F.collect_list(F.struct("rep", "copies", "data")).alias("rows")))  # about ``block`` of them
-    one = blocks.select("table", "cell", "i", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"), F.col("rows").alias("x"))
-    met = one.join(blocks.select("table", "cell", F.col("i").alias("j"), F.col("rows").alias("y")), ["table", "cell", "j"])
+    alone = blocks.select("table", "i", F.col("i").alias("j"), F.col("rows").alias("x"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("y"))  # a block by itself is not shipped again
+    one = blocks.filter("i + 1 < blocks").select("table", "cell", "i", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1)).alias("j"), F.col("rows").alias("x"))
+    met = one.join(blocks.filter("i > 0").select("table", "cell", F.col("i").alias("j"), F.col("rows").alias("y")), ["table", "cell", "j"])
 
     def load(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = column[row].values
@@ -210,4 +211,4 @@ def _links(classes: DataFrame, dim: int, threshold: float, block: int, cell_rows
                 joined = other[some]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[np.maximum(joined, 0)], mask=joined < 0)], names=["rep", "links", "other"])
 
-    return met.select("table", "i", "j", "x", "y").mapInArrow(run, "rep bigint, links bigint, other bigint")
+    return alone.unionByName(met.select("table", "i", "j", "x", "y")).mapInArrow(run, "rep bigint, links bigint, other bigint")

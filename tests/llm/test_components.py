@@ -75,3 +75,22 @@ def test_vectors_that_drift_are_one_component(spark):
     rows = [(int(i), [float(np.cos(k * turn)), float(np.sin(k * turn)), 10.0 * 0]) for k, i in enumerate(np.random.default_rng(1).permutation(15))]
     got = {r.vec_id: r.component_id for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
     assert set(got.values()) == {0}
+
+
+@pytest.mark.parametrize("dim", [64, 384, 768])
+def test_pairs_at_the_threshold_meet_and_are_counted(dim):
+    """Recall of cells and counts for pairs of exactly the least cosine, planned for tables of more than 65,536 rows."""
+    rng = np.random.default_rng(dim)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((4_000, dim)))
+    z = rng.standard_normal(x.shape)
+    z = unit(z - (z * x).sum(1, keepdims=True) * x)
+    y = 0.9 * x + np.sqrt(1 - 0.81) * z
+    turn, (half, least) = embeddings.directions(dim), embeddings.calibrate(dim, 0.9)
+    small = lambda v: np.clip(np.round(v @ turn / embeddings.STEP), -63, 63)
+    counted = (np.abs(small(x) - small(y)) <= half).sum(1) >= least
+    for n in (70_000, 10_000_000):
+        bits, tables = embeddings.plan(n, 0.9, 1 << 12, 1e-6)
+        cuts = np.random.default_rng(9).standard_normal((dim, bits * tables))
+        met = (embeddings.cells(x, cuts, bits) == embeddings.cells(y, cuts, bits)).any(1)
+        assert (met & counted).mean() >= 0.999
