@@ -33,7 +33,7 @@ def time_ranges(spark, d):
 
 def pending_segments(spark, d):
     """Files as a watcher sees them: sizes and the sizes of the look before; every fifth is done."""
-    u = V.sig_user(spark, d).withColumn("k", V.k_of()).filter("seq < 12")
+    u = V.sig_user(spark, d).withColumn("k", V.k_of())
     path = F.format_string("/data/%d/EEG_seg%04d.csv", "session_id", F.col("seq") + 1)
     files = u.filter("k % 4 > 0").select(path.alias("path"), (F.col("k") % 3).alias("size"), (F.col("k") % 2).alias("was"))
     done = u.filter("k % 5 = 0").select(path.alias("path"))
@@ -178,7 +178,7 @@ _W16 = "session_id || '-' || ch || '-' || (seq // 16)"
 SQL = {
     "segmented_sink": V.sql("usr", "SELECT session_id, 'raw' AS data_type, seq // 60 + 1 AS segment, round(time, 3) AS timestamp, round(value, 6) AS value FROM usr"),
     "time_ranges": V.sql("usr", "SELECT session_id, round(min(time), 3) AS start_ts, round(max(time), 3) AS end_ts FROM usr GROUP BY 1"),
-    "pending_segments": V.sql("ku", "SELECT printf('/data/%d/EEG_seg%04d.csv', a.session_id, a.seq + 1) AS path, a.seq + 1 AS segment, printf('/data/%d/EEG_seg%04d.csv', a.session_id, a.seq + 2) AS following FROM ku a LEFT JOIN ku b ON a.session_id = b.session_id AND b.seq = a.seq + 1 AND b.seq < 12 AND b.k % 4 > 0 WHERE a.seq < 12 AND a.k % 4 > 0 AND a.k % 5 <> 0 AND (b.seq IS NOT NULL OR (a.k % 3 > 0 AND a.k % 3 = a.k % 2))"),
+    "pending_segments": V.sql("ku", "SELECT printf('/data/%d/EEG_seg%04d.csv', a.session_id, a.seq + 1) AS path, a.seq + 1 AS segment, printf('/data/%d/EEG_seg%04d.csv', a.session_id, a.seq + 2) AS following FROM ku a LEFT JOIN ku b ON a.session_id = b.session_id AND b.seq = a.seq + 1 AND b.k % 4 > 0 WHERE a.k % 4 > 0 AND a.k % 5 <> 0 AND (b.seq IS NOT NULL OR (a.k % 3 > 0 AND a.k % 3 = a.k % 2))"),
     "json_responses": V.sql("ku", """SELECT event_id, '{"event_type":"' || event_type || '","score":' || CASE WHEN k % 10 < 2 THEN 'null' ELSE k || '.0' END || '}' AS json FROM ku"""),
     "control_messages": _with("ku", _MSG, "SELECT session_id, seq AS msg, ps, '0' AS rc, 2 + CAST(k % 5 = 0 AS BIGINT) + CAST(k % 10 = 0 AS BIGINT) + CAST(k % 7 = 0 AS BIGINT) AS n_keys FROM m"),
     "battery_readings": _with("ku", _MSG, "SELECT session_id, seq AS msg, k + 0.5::DOUBLE AS percent, 0.0::DOUBLE AS voltage, CASE WHEN k % 10 = 0 THEN k ELSE 0 END::DOUBLE AS temperature FROM m WHERE k % 5 = 0"),
