@@ -235,7 +235,9 @@ def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: in
         if sets is None:
             return near
         few = near.count() <= broadcast_rows  # then no set moves for the first side
-        both = sets.select(F.col("node").alias("b"), F.col("s").alias("y")).join(F.broadcast(near) if few else near, "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
+        first = near.select(F.col("a").alias("node")).distinct()  # of all sets made so far only those of pairs move
+        asked = sets.join(F.broadcast(first) if few else first, "node", "left_semi").select(F.col("node").alias("a"), F.col("s").alias("x"))
+        both = sets.select(F.col("node").alias("b"), F.col("s").alias("y")).join(F.broadcast(near) if few else near, "b").join(asked, "a")
         same = F.size(F.array_intersect("x", "y"))
         return cut(both.filter(same * 100 >= (F.size("x") + F.size("y") - same) * percent).select("a", "b"))
 
