@@ -30,13 +30,13 @@ from .bytewords import hashes, mix, slices
 
 _SAME = np.arange(256, dtype=np.uint8)
 _SPACE = 0x20
-LEARN = 8_192  # stretches whose lattices are made together
+LEARN = 4_096  # stretches whose lattices are made together
 
 
 class Sampler:
     """The pieces of a model and the lattices seen so far."""
 
-    def __init__(self, path: str, sharpness: float = 1.0, seed: int = 0, most: int = 200_000, most_edges: int = 6_000_000):
+    def __init__(self, path: str, sharpness: float = 1.0, seed: int = 0, most: int = 60_000, most_edges: int = 2_000_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
