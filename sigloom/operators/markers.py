@@ -14,6 +14,11 @@ RANGE, CONTENT = ["time_range", "timeRange", "range"], ["content", "label", "tex
 STARTS, ENDS = ["start", "from", "begin"], ["end", "to", "stop"]
 
 
+def _keys(rows: DataFrame) -> list[str]:
+    """What tells sessions apart: the name and, where it is held, the ``origin`` of those that had to be named here."""
+    return [c for c in ("session_id", "origin") if c in rows.columns]
+
+
 def _first(json: Column, names: list[str]) -> Column:
     return F.coalesce(*(F.nullif(F.get_json_object(json, f"$.{n}"), F.lit("")) for n in names))
 
@@ -38,52 +43,62 @@ def parse_markers(requests: DataFrame) -> DataFrame:
     A range that does not parse leaves the times NULL; other entries are kept in ``extras``.
     """
     j = F.col("marker")
-    rows = requests.select("session_id", F.col("start_ts").alias("_start"), "pos", "marker").filter(F.trim("marker").startswith("{"))
+    keys = _keys(requests)
+    rows = requests.select(*keys, F.col("start_ts").alias("_start"), "pos", "marker").filter(F.trim("marker").startswith("{"))
     read = rows.withColumns({"_range": _first(j, RANGE), "content": F.coalesce(_first(j, CONTENT), F.lit("")), "_body": F.from_json("marker", "map<string,string>")}).filter("_body is not null")
     made = parse_range(read, "_range", "_start").withColumn("extras", F.map_filter("_body", lambda k, v: ~k.isin([*RANGE, *CONTENT, "session_id"])))
-    number = F.row_number().over(Window.partitionBy("session_id").orderBy("pos")) - 1
-    return made.select("session_id", number.cast("bigint").alias("id"), "content", "start_ts", "end_ts", X.date_text(F.col("start_ts")).alias("start_str"), X.date_text(F.col("end_ts")).alias("end_str"), "duration_s", "extras")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1
+    return made.select(*keys, number.cast("bigint").alias("id"), "content", "start_ts", "end_ts", X.date_text(F.col("start_ts")).alias("start_str"), X.date_text(F.col("end_ts")).alias("end_str"), "duration_s", "extras")
 
 
-def save_sessions(requests: DataFrame) -> DataFrame:
+def save_sessions(requests: DataFrame, origin: str | None = None) -> DataFrame:
     """Rows ``session_id (may be NULL), start_time, end_time (texts), markers (array of JSON texts)`` to session records.
 
     A request without a start time is dropped; a session without an id is named after its start.  Of several requests of
-    one session the last by ``received`` stays.
+    one session the last by ``received`` stays.  With ``origin``, a column that says whom a request is from, sessions without an id that begin in
+    the same second are one only if they are from the same; records then hold it ('' where a request had an id) beside the name that they share.
     """
     start, end = X.parse_time(F.col("start_time")), X.parse_time(F.col("end_time"))
     name = F.date_format(F.timestamp_micros((start * 1_000_000).cast("bigint")), "yyyyMMdd_HHmmss")
-    head = requests.withColumn("start_ts", start).withColumn("end_ts", end).filter("start_ts is not null").withColumn("session_id", F.coalesce("session_id", name))
-    last = head.groupBy("session_id").agg(F.max_by(F.struct("start_ts", "end_ts", "markers", "received"), "received").alias("r")).select("session_id", "r.*")
-    marks = parse_markers(last.select("session_id", "start_ts", F.posexplode("markers").alias("pos", "marker")))
-    return records(last.select("session_id", "start_ts", "end_ts", "received"), marks)
+    head = requests.withColumn("start_ts", start).withColumn("end_ts", end).filter("start_ts is not null")
+    if origin:
+        head = head.withColumn("origin", F.when(F.col("session_id").isNull(), F.coalesce(F.col(origin).cast("string"), F.lit(""))).otherwise(""))
+    elif "origin" in head.columns:
+        head = head.drop("origin")
+    head = head.withColumn("session_id", F.coalesce("session_id", name))
+    keys = _keys(head)
+    last = head.groupBy(*keys).agg(F.max_by(F.struct("start_ts", "end_ts", "markers", "received"), "received").alias("r")).select(*keys, "r.*")
+    marks = parse_markers(last.select(*keys, "start_ts", F.posexplode("markers").alias("pos", "marker")))
+    return records(last.select(*keys, "start_ts", "end_ts", "received"), marks)
 
 
 def records(heads: DataFrame, marks: DataFrame) -> DataFrame:
     """Session rows and marker rows to one record per session; a session's markers are numbered anew in order of id."""
-    fields = ["content", "start_ts", "end_ts", "start_str", "end_str", "duration_s", "extras"]
-    held = marks.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("id", *(f for f in fields if f != "extras"), F.to_json("extras").alias("extras")))).alias("m"))
+    keys, fields = _keys(heads), ["content", "start_ts", "end_ts", "start_str", "end_str", "duration_s", "extras"]
+    held = marks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", *(f for f in fields if f != "extras"), F.to_json("extras").alias("extras")))).alias("m"))
     numbered = F.transform("m", lambda v, i: F.struct(i.cast("bigint").alias("id"), *(v[f].alias(f) for f in fields[:-1]), F.from_json(v["extras"], "map<string,string>").alias("extras")))
-    out = heads.join(held, "session_id", "left")
+    out = heads.join(held, keys, "left")
     markers = F.coalesce(numbered, F.array().cast(MARKER))
     return out.select(
-        "session_id", "received", X.date_text(F.col("start_ts")).alias("start_time"), "start_ts", X.date_text(F.col("end_ts")).alias("end_time"), "end_ts",
+        *keys, "received", X.date_text(F.col("start_ts")).alias("start_time"), "start_ts", X.date_text(F.col("end_ts")).alias("end_time"), "end_ts",
         F.bround(F.col("end_ts") - F.col("start_ts"), 3).alias("duration_seconds"), F.size(markers).cast("bigint").alias("marker_count"), markers.alias("markers"),
     )
 
 
 def marker_rows(sessions: DataFrame) -> DataFrame:
-    return sessions.select("session_id", F.inline("markers"))
+    return sessions.select(*_keys(sessions), F.inline("markers"))
 
 
 def append_markers(sessions: DataFrame, requests: DataFrame) -> DataFrame:
-    """Markers (session_id, pos, marker) added behind those of their session; a session that is not there begins empty."""
-    named = requests.join(sessions.select("session_id", "start_ts"), "session_id", "left")
-    added = parse_markers(named)
-    most = sessions.select("session_id", F.col("marker_count").alias("_n"))
-    later = added.join(most, "session_id", "left").withColumn("id", F.col("id") + F.coalesce("_n", F.lit(0))).drop("_n")
-    heads = sessions.select("session_id", "start_ts", "end_ts", "received")
-    fresh = requests.select("session_id").distinct().join(heads, "session_id", "left_anti").select("session_id", *(F.lit(None).cast("double").alias(c) for c in ("start_ts", "end_ts")), F.lit(None).cast(heads.schema["received"].dataType).alias("received"))
+    """Markers (session_id, pos, marker) added behind those of their session, of every one where several bear its name; a session that is not there begins empty."""
+    keys = _keys(sessions)
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    named = requests.select("session_id", "pos", "marker").join(sessions.select(*keys, "start_ts"), "session_id", "left")
+    added = parse_markers(named.select("session_id", *map(empty, keys[1:]), "start_ts", "pos", "marker"))
+    most = sessions.select(*keys, F.col("marker_count").alias("_n"))
+    later = added.join(most, keys, "left").withColumn("id", F.col("id") + F.coalesce("_n", F.lit(0))).drop("_n")
+    heads = sessions.select(*keys, "start_ts", "end_ts", "received")
+    fresh = requests.select("session_id").distinct().join(heads, "session_id", "left_anti").select("session_id", *(F.lit("").alias(c) for c in keys[1:]), *(F.lit(None).cast("double").alias(c) for c in ("start_ts", "end_ts")), F.lit(None).cast(heads.schema["received"].dataType).alias("received"))
     return records(heads.unionByName(fresh), marker_rows(sessions).select(*added.columns).unionByName(later))
 
 

@@ -206,12 +206,12 @@ def parsed_markers(spark, d):
 
 
 def _sessions(spark, d):
-    """Two requests per session, the later one counts; a third have no name of their own."""
+    """Two requests per session, the later one counts; a third have no name of their own and stay apart by user where they begin in the same second."""
     r = V.requests(spark, d)
     head = r.groupBy("session_id", "start_ts").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "marker"))), lambda s: s["marker"]).alias("markers"))
     name = F.when(F.col("session_id") % 3 > 0, F.format_string("u%05d", "session_id"))
-    first = lambda k: head.select(name.alias("session_id"), X.date_text(F.col("start_ts")).alias("start_time"), F.when(F.col("session_id") % 2 == 0, X.date_text(F.col("start_ts") + 100 * k)).alias("end_time"), F.when(F.lit(k) > 1, F.col("markers")).otherwise(F.slice("markers", 1, 1)).alias("markers"), F.lit(k).cast("bigint").alias("received"))
-    return markers.save_sessions(first(1).unionByName(first(2)).unionByName(first(1).withColumn("start_time", F.lit(None).cast("string"))))
+    first = lambda k: head.select(name.alias("session_id"), F.col("session_id").alias("user"), X.date_text(F.col("start_ts")).alias("start_time"), F.when(F.col("session_id") % 2 == 0, X.date_text(F.col("start_ts") + 100 * k)).alias("end_time"), F.when(F.lit(k) > 1, F.col("markers")).otherwise(F.slice("markers", 1, 1)).alias("markers"), F.lit(k).cast("bigint").alias("received"))
+    return markers.save_sessions(first(1).unionByName(first(2)).unionByName(first(1).withColumn("start_time", F.lit(None).cast("string"))), "user")
 
 
 def marker_sessions(spark, d):
