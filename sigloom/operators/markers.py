@@ -117,11 +117,19 @@ def listed(sessions: DataFrame) -> DataFrame:
 def match_recordings(recordings: DataFrame, sessions: DataFrame, seconds: float = 300.0) -> DataFrame:
     """The marker session of each recording: of the same name, else the highest name that begins less than ``seconds`` away.
 
-    Columns session_id and start of both; an equi-join on names and one on stretches of time.
+    Columns session_id and start of both.  No pair is made.  Time is cut into stretches of half of ``seconds``: the sessions of a recording's own stretch are
+    near, of the three after it those before start + seconds, of the three before it those after start - seconds.  So a recording is posted at its bound, and
+    the highest name so far, running along a stretch forwards or backwards, answers it.
     """
-    bucket = lambda c: F.floor(F.col(c) / seconds).cast("bigint")
-    a = recordings.select("session_id", "start").withColumn("_b", F.explode(F.array(bucket("start") - 1, bucket("start"), bucket("start") + 1)))
-    b = sessions.select(F.col("session_id").alias("other"), F.col("start_ts").alias("other_start")).withColumn("_b", bucket("other_start"))
-    near = a.join(b, "_b").filter(F.abs(F.col("start") - F.col("other_start")) < seconds).groupBy("session_id").agg(F.max("other").alias("near"))
-    same = sessions.select("session_id", F.col("session_id").alias("same"))
+    bucket = lambda c: F.floor(F.col(c) / (seconds / 2)).cast("bigint")
+    post = lambda b, way, at, kind: F.struct(b.alias("b"), F.lit(way).alias("way"), at.alias("at"), F.lit(kind).alias("kind"))
+    bounds = [post(bucket("start") + way * k, way, F.col("start") * way + seconds, 0) for way in (1, -1) for k in (1, 2, 3)]
+    asked = recordings.filter("start is not null and not isnan(start)").select("session_id", F.explode(F.array(post(bucket("start"), 0, F.lit(1.0), 0), *bounds)).alias("p"), F.lit(None).cast("string").alias("other"))
+    heads = sessions.filter("start_ts is not null and not isnan(start_ts)").groupBy("start_ts").agg(F.max("session_id").alias("other"))
+    given = heads.select(F.lit(None).cast("string").alias("session_id"), F.explode(F.array(*(post(bucket("start_ts"), way, F.col("start_ts") * way, 1) for way in (0, 1, -1)))).alias("p"), "other")
+    # at its bound a recording comes before the sessions, which are no longer near
+    running = Window.partitionBy("p.b", "p.way").orderBy("p.at", "p.kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.unionByName(given).withColumn("near", F.max("other").over(running)).filter("p.kind = 0")
+    near = found.groupBy("session_id").agg(F.max("near").alias("near"))
+    same = sessions.select("session_id", F.col("session_id").alias("same")).distinct()
     return recordings.join(same, "session_id", "left").join(near, "session_id", "left").select("session_id", "start", F.coalesce("same", "near").alias("marker_session"))

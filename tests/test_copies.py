@@ -5,6 +5,9 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from sigloom.operators import markers, timebase
 from sigloom.plans import registry
 from sigloom.sources import segments
 
@@ -34,3 +37,38 @@ def test_segments_share_files(spark, tmp_path):
     assert 0 < len(files) <= 4
     got = sorted((r.session_id, r.segment, r.timestamp, r.value) for r in segments.read_segments(spark, folder, ["value"]).collect())
     assert got == sorted((f"a {i // 50} ", i % 50 // 20 + 1, float(i), round(i / 7, 6)) for i in range(2000))
+
+
+def made_by_joins(df):
+    """Run a query; the most rows that a join of its plan put out."""
+    df.collect()
+    found, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            p = p.executedPlan()
+        if p.getClass().getSimpleName().endswith("QueryStageExec"):
+            p = p.plan()
+        if "Join" in p.nodeName():
+            found.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(k) for k in range(p.children().size())]
+    return max(found)
+
+
+def test_matching_makes_no_pairs_and_keeps_its_bounds(spark, copies):
+    compare(spark, copies, registry.queries()["recordings_matched"], registry.oracle_sql()["recordings_matched"])
+    n = 400
+    recordings = spark.range(n).selectExpr("format_string('n%05d', id) as session_id", "1.7e9 + id % 7 * 150 as start")
+    sessions = spark.range(n).selectExpr("format_string('m%05d', id) as session_id", "1.7e9 + id % 9 * 149.5 as start_ts")
+    got = markers.match_recordings(recordings, sessions)
+    assert made_by_joins(got) <= n
+    want = {i: max((j for j in range(n) if abs(i % 7 * 150 - j % 9 * 149.5) < 300), default=None) for i in range(n)}
+    assert {int(r.session_id[1:]): r.marker_session and int(r.marker_session[1:]) for r in got.collect()} == want
+
+
+def test_neighbours_are_dealt_out(spark, copies):
+    compare(spark, copies, registry.queries()["neighbouring_sessions"], registry.oracle_sql()["neighbouring_sessions"])
+    starts = spark.range(2000).selectExpr("id as session", "id * 1.7 as start")
+    pairs = timebase.near_sessions(starts, starts, 3600.0)
+    tasks = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) >= 3 and max(tasks) < 0.6 * sum(tasks) and sum(tasks) == sum(abs(i - j) * 1.7 < 3600 for i in range(2000) for j in range(2000))
