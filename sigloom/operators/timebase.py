@@ -69,11 +69,16 @@ def anchored(rows: DataFrame, session: str = "session_id", keys: tuple[str, ...]
 
 
 def near_sessions(left: DataFrame, right: DataFrame, seconds: float = 120.0) -> DataFrame:
-    """Pairs (session, other) whose starts are less than ``seconds`` apart: an equi-join on buckets, then the exact test."""
-    bucket = lambda c: F.floor(F.col(c) / seconds)
-    a = left.select("session", "start").withColumn("_b", F.explode(F.array(bucket("start") - 1, bucket("start"), bucket("start") + 1)))
+    """Pairs (session, other) whose starts are less than ``seconds`` apart: an equi-join on buckets, then the exact test.
+
+    Buckets are a sixteenth of ``seconds`` wide, so that few pairs fail the test and a busy hour is dealt over many tasks; the number of tasks is fixed, as the
+    rows are few beside the pairs that they make.
+    """
+    bucket = lambda c: F.floor(F.col(c) / (seconds / 16)).cast("bigint")
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = left.select("session", "start").withColumn("_b", F.explode(F.sequence(bucket("start") - 17, bucket("start") + 17)))
     b = right.select(F.col("session").alias("other"), F.col("start").alias("other_start")).withColumn("_b", bucket("other_start"))
-    return a.join(b, "_b").filter(F.abs(F.col("start") - F.col("other_start")) < seconds).select("session", "other", (F.col("other_start") - F.col("start")).alias("delta"))
+    return a.repartition(tasks, "_b").join(b.repartition(tasks, "_b"), "_b").filter(F.abs(F.col("start") - F.col("other_start")) < seconds).select("session", "other", (F.col("other_start") - F.col("start")).alias("delta"))
 
 
 def in_intervals(samples: DataFrame, intervals: DataFrame, width: float) -> DataFrame:
