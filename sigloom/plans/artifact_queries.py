@@ -241,18 +241,17 @@ def recordings_matched(spark, d):
     return rounded(markers.match_recordings(rec, own.unionByName(near)), 3)
 
 
-def _replayed(rows, spark, name, order):
-    """Rows written as three files, each a stretch of every session, in order of age."""
-    folder = scratch(spark, name)
-    for part in range(3):
-        rows.filter(F.floor(F.col(order) / 300 if order == "seq" else F.col(order) / 9).cast("int") == part if part < 2 else F.floor(F.col(order) / 300 if order == "seq" else F.col(order) / 9) >= 2).coalesce(1).write.mode("append").parquet(folder)
-    return recordings.rows_stream(spark, folder, rows.schema.simpleString()[7:-1].replace(":", " "))
+def _replayed(rows, spark, name, order, step):
+    """Rows that come in three parts, each a stretch of every session, taken through ``step``."""
+    at = F.floor(F.col(order) / (300 if order == "seq" else 9))
+    folder, out, checkpoint = scratch(spark, "replay"), scratch(spark, name), scratch(spark, "checkpoint")
+    parts = [rows.filter(at == 0), rows.filter(at == 1), rows.filter(at >= 2)]
+    return recordings.replayed(parts, folder, lambda stream: recordings.run_available(step(stream), out, checkpoint))
 
 
 def streamed_epochs(spark, d):
     """Epochs of a stream in three micro-batches: the whole ones of the batch form."""
-    stream = _replayed(V.sig_wide(spark, d, FS), spark, "replay", "seq")
-    out = recordings.run_available(recordings.epochs(stream, SIZE, CH), scratch(spark, "epochs"), scratch(spark, "checkpoint"))
+    out = _replayed(V.sig_wide(spark, d, FS), spark, "epochs", "seq", lambda stream: recordings.epochs(stream, SIZE, CH))
     return rounded(out.select("session_id", "epoch", "ch", "timestamp", "n", F.get("x", F.lit(0)).alias("first"), F.element_at("x", -1).alias("last")))
 
 
@@ -261,14 +260,12 @@ def streamed_attention(spark, d):
     from ..operators import indices
 
     raw = indices.attention(feat.epoch_features(feat.to_long(V.sig_wide(spark, d, FS)), FS, SIZE, time=False)).select("session_id", "epoch", "attention_score", "engagement_index")
-    stream = _replayed(raw, spark, "replay", "epoch")
-    out = recordings.run_available(recordings.smooth(stream, ["attention_score", "engagement_index"], "attention_score"), scratch(spark, "smooth"), scratch(spark, "checkpoint"))
+    out = _replayed(raw, spark, "smooth", "epoch", lambda stream: recordings.smooth(stream, ["attention_score", "engagement_index"], "attention_score"))
     return rounded(out)
 
 
 def streamed_downsample(spark, d):
-    stream = _replayed(V.sig_wide(spark, d, FS), spark, "replay", "seq")
-    out = recordings.run_available(recordings.every_nth(stream, 16), scratch(spark, "nth"), scratch(spark, "checkpoint"))
+    out = _replayed(V.sig_wide(spark, d, FS), spark, "nth", "seq", lambda stream: recordings.every_nth(stream, 16))
     return rounded(out.select("session_id", "seq", "CH1"))
 
 

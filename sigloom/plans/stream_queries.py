@@ -16,25 +16,22 @@ from .signal_queries import CH, _with
 from .signal_queries import SQL as _SIGNAL
 
 
-def _replay(spark, rows: DataFrame, order: str, cuts: list) -> DataFrame:
-    """A view as a stream of Parquet files, one micro-batch up to each cut of ``order``."""
-    folder, low = scratch(spark, "replay"), None
-    for high in [*cuts, None]:
-        part = rows if low is None else rows.filter(F.col(order) >= low)
-        part = part if high is None else part.filter(F.col(order) < high)
-        part.coalesce(1).write.mode("append").parquet(folder)
-        low = high
-    return recordings.rows_stream(spark, folder, rows.schema)
+def _replay(spark, rows: DataFrame, order: str, cuts: list, run) -> DataFrame | None:
+    """A view as a stream, one micro-batch up to each cut of ``order``."""
+    at = F.col(order)
+    parts = [rows.filter((F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high)) for low, high in zip([None, *cuts], [*cuts, None])]
+    return recordings.replayed(parts, scratch(spark, "replay"), run)
 
 
-def _done(spark, stream: DataFrame) -> DataFrame:
-    return recordings.run_available(stream, scratch(spark, "live"), scratch(spark, "checkpoint"))
+def _done(spark, rows: DataFrame, order: str, cuts: list, step) -> DataFrame:
+    out, checkpoint = scratch(spark, "live"), scratch(spark, "checkpoint")
+    return _replay(spark, rows, order, cuts, lambda stream: recordings.run_available(step(stream), out, checkpoint))
 
 
 def live_thresholds(spark, d):
     """Peaks of windows as they fill up, then the threshold from the clean ones before: two states in one stream."""
-    stream = _replay(spark, V.blinks(spark, d).select("session_id", "seq", *CH), "seq", [131, 517])
-    out = _done(spark, states.adaptive_thresholds(states.window_peaks(stream, 16, CH)))
+    rows = V.blinks(spark, d).select("session_id", "seq", *CH)
+    out = _done(spark, rows, "seq", [131, 517], lambda stream: states.adaptive_thresholds(states.window_peaks(stream, 16, CH)))
     return rounded(out.select("session_id", "win", "threshold", "warmed_up", "clean"))
 
 
@@ -46,32 +43,31 @@ def live_motion_filter(spark, d):
     level = F.element_at(F.array(*(F.lit(v) for v in _LEVELS)), (F.col("win") % 6 + 1).cast("int"))
     rows = V.sig_wide(spark, d).select("session_id", "seq", "CH1", "CH2").join(V.imu(spark, d).select("session_id", "seq", "AccX", "GyrX"), ["session_id", "seq"])
     rows = rows.withColumn("win", F.floor(F.col("seq") / 32).cast("bigint")).withColumn("level", level)
-    stream = _replay(spark, rows, "seq", [75, 410])
-    return rounded(_done(spark, states.adaptive_filter(stream, ["CH1", "CH2"], ["AccX", "GyrX"], taps=2)), 5)
+    return rounded(_done(spark, rows, "seq", [75, 410], lambda stream: states.adaptive_filter(stream, ["CH1", "CH2"], ["AccX", "GyrX"], taps=2)), 5)
 
 
 def live_gated_runs(spark, d):
     levels = quality.motion(V.imu(spark, d).withColumn("win", F.floor(F.col("seq") / 13).cast("bigint")), ["session_id", "win"])
-    return _done(spark, states.gated_runs(_replay(spark, levels.select("session_id", "win", "level"), "win", [5, 38])))
+    return _done(spark, levels.select("session_id", "win", "level"), "win", [5, 38], states.gated_runs)
 
 
 def live_smoothing(spark, d):
     """Trailing means of three; every ninth kind of row is a reset."""
     reset = V.k_of() % 9 == 0
     rows = V.sig_user(spark, d).select("session_id", F.col("seq").alias("epoch"), reset.alias("reset"), F.when(~reset, F.col("value")).alias("score"))
-    return rounded(_done(spark, states.smooth(_replay(spark, rows, "epoch", [7, 31]), ["score"], width=3)))
+    return rounded(_done(spark, rows, "epoch", [7, 31], lambda stream: states.smooth(stream, ["score"], width=3)))
 
 
 def live_dejittered(spark, d):
     """Chunks of seven rows, lines over the last twenty; the chunk that a session ends with is still open."""
     rows = V.sig_user(spark, d).select("session_id", "seq", F.floor(F.col("seq") / 7).alias("chunk"), "time")
-    return _done(spark, states.dejitter_sliding(_replay(spark, rows, "seq", [10, 33]), 20)).select("session_id", "seq", F.round("time", 2).alias("time"))
+    return _done(spark, rows, "seq", [10, 33], lambda stream: states.dejitter_sliding(stream, 20)).select("session_id", "seq", F.round("time", 2).alias("time"))
 
 
 def live_rings(spark, d):
     """Rings as the last micro-batch leaves them: at most 40 rows of the last half second."""
     rows = V.imu(spark, d).select("session_id", "seq", "time", "AccX")
-    out = _done(spark, states.recent(_replay(spark, rows, "seq", [75, 410]), ["AccX"], count=40, horizon=0.5))
+    out = _done(spark, rows, "seq", [75, 410], lambda stream: states.recent(stream, ["AccX"], count=40, horizon=0.5))
     last = out.groupBy("session_id").agg(F.max_by(F.struct("upto", "seq", "AccX"), "upto").alias("r"))
     return rounded(last.select("session_id", "r.upto", F.size("r.seq").cast("bigint").alias("n"), F.array_min("r.seq").alias("first"), F.aggregate("r.AccX", F.lit(0.0), lambda t, v: t + v).alias("total")))
 
@@ -83,16 +79,15 @@ def live_baselines(spark, d):
     first = wide.select("session_id").distinct().withColumn("s", 100 + 50 * (F.col("session_id") % 3))
     control = first.select("session_id", at(F.col("s")), F.lit("start").alias("kind")).unionByName(first.filter("session_id % 2 = 0").select("session_id", at(F.col("s") + 200), F.lit("stop").alias("kind")))
     rows = wide.withColumn("kind", F.lit("sample")).unionByName(control, allowMissingColumns=True)
-    stream = _replay(spark, rows, "time", [5.1, 9.9])
-    out = states.baseline_recordings(stream.filter("kind = 'sample'"), stream.filter("kind <> 'sample'"), CH, size=64, limit=10.0)
-    return rounded(_done(spark, out).select("session_id", "recording", "event", "win", "seq", "time", "CH1"))
+    out = _done(spark, rows, "time", [5.1, 9.9], lambda stream: states.baseline_recordings(stream.filter("kind = 'sample'"), stream.filter("kind <> 'sample'"), CH, size=64, limit=10.0))
+    return rounded(out.select("session_id", "recording", "event", "win", "seq", "time", "CH1"))
 
 
 def live_segments(spark, d):
     """Rows as CSV segments of 60, written by micro-batch and read back."""
-    folder = scratch(spark, "segments")
-    stream = _replay(spark, V.sig_user(spark, d).select("session_id", "seq", "time", "value"), "seq", [25, 61])
-    states.segment_sink(states.segmented(stream, 60, ["value"], order=("seq",)), folder, "raw", ["value"], scratch(spark, "checkpoint")).awaitTermination()
+    folder, checkpoint = scratch(spark, "segments"), scratch(spark, "checkpoint")
+    rows = V.sig_user(spark, d).select("session_id", "seq", "time", "value")
+    _replay(spark, rows, "seq", [25, 61], lambda stream: states.segment_sink(states.segmented(stream, 60, ["value"], order=("seq",)), folder, "raw", ["value"], checkpoint).awaitTermination())
     back = states.read_segment_sink(spark, folder, ["value"])
     return back.select("session_id", "data_type", "segment", F.round("timestamp", 3).alias("timestamp"), F.round("value", 6).alias("value"))
 
@@ -101,8 +96,7 @@ def live_activity(spark, d):
     """Runs of a user's events less than six hours apart, once the watermark has passed them."""
     e = V.table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
     low, high = e.agg(F.min("ts"), F.max("ts")).first()
-    stream = _replay(spark, e, "ts", [low + (high - low) * 0.3, low + (high - low) * 0.8])
-    out = _done(spark, states.active_sessions(stream, "value", gap="6 hours", late="1 day"))
+    out = _done(spark, e, "ts", [low + (high - low) * 0.3, low + (high - low) * 0.8], lambda stream: states.active_sessions(stream, "value", gap="6 hours", late="1 day"))
     return rounded(out.select("session_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n", "mean"))
 
 

@@ -7,7 +7,7 @@ A restart goes on from the checkpoint, and file sinks commit each micro-batch on
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +26,20 @@ def segment_stream(spark: SparkSession, root: str, kind: str, *, files_a_batch:
     return rows.select(*SEGMENTS[kind].names, session_of(path).alias("session_id"), segment_of(path).alias("segment"), path.alias("path"))
 
 
-def rows_stream(spark: SparkSession, folder: str, schema: str, *, files_a_batch: int = 1) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
+def rows_stream(spark: SparkSession, folder: str, schema: str, *, files_a_batch: int | None = 1) -> DataFrame:
+    """Parquet files of a folder as a stream; with None for ``files_a_batch`` all that are new make one micro-batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(folder)
+
+
+def replayed(parts: Iterable[DataFrame], folder: str, run: Callable[[DataFrame], object]):
+    """Rows that come in parts: each is written by as many tasks as hold it and makes one micro-batch of the stream that ``run`` takes up again from its
+    checkpoint.  Returns what the last run did."""
+    out = None
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        out = run(rows_stream(part.sparkSession, folder, part.schema, files_a_batch=None))
+    return out
 
 
 def _stateful(rows: DataFrame, out: str, state: str, step: Callable, order: str, flush: bool = False) -> DataFrame:

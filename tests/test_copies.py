@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sigloom.operators import markers, timebase
 from sigloom.plans import registry
 from sigloom.sources import segments
+from sigloom.streaming import recordings
 
 from test_queries import TABLES, compare
 
@@ -72,3 +73,11 @@ def test_neighbours_are_dealt_out(spark, copies):
     pairs = timebase.near_sessions(starts, starts, 3600.0)
     tasks = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
     assert len(tasks) >= 3 and max(tasks) < 0.6 * sum(tasks) and sum(tasks) == sum(abs(i - j) * 1.7 < 3600 for i in range(2000) for j in range(2000))
+
+
+def test_replays_are_dealt_and_make_a_micro_batch_to_a_part(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("id % 8 as session_id", "id as seq").repartition(4, "session_id")
+    seen, folder, checkpoint = [], str(tmp_path / "in"), str(tmp_path / "checkpoint")
+    run = lambda stream: stream.writeStream.foreachBatch(lambda df, n: seen.append((n, df.count()))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    recordings.replayed([rows.filter("seq < 1000"), rows.filter("seq >= 1000")], folder, run)
+    assert seen == [(0, 1000), (1, 2000)] and len(list((tmp_path / "in").glob("*.parquet"))) > 2
