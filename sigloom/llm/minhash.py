@@ -14,7 +14,8 @@ A document's set is its distinct word shingles, each a 64-bit hash; its sketch i
    Links join components.
 4. What is left are groups that hold several components.  In small ones (at most ``short`` members) each pair of different
    components goes the way of step 3.  In large ones the members outside the largest component meet all
-   others in tiles of bounded size, dealt over all tasks: a tile counts overlaps of sketches, confirms on the full
+   others in tiles of bounded size, dealt over all tasks, twice: first with their sketches alone, which tells the members that have a
+   partner, then those with their full sets: a tile counts overlaps of sketches, confirms on the full
    sets in place and returns a forest, at most one row per member.  No group is capped and no pair of different components is left out.
 """
 
@@ -129,6 +130,33 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return same * 100 >= (len(x) + len(y) - same) * percent
 
 
+def partners(x: tuple[list, list, list, list[np.ndarray]], y: tuple[list, list, list, list[np.ndarray]], k: int, least: int, percent: int) -> set[int]:
+    """Nodes of two blocks (nodes, components, sizes, sketches) with a partner of another component that their sketches allow."""
+    xn, xc, xm, xs = x
+    yn, yc, ym, ys = y
+    names, comps, sizes = np.array(yn), np.array(yc), np.array(ym)
+    owner, values = np.repeat(np.arange(len(ys)), [len(s) for s in ys]), np.concatenate(ys)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    found: set[int] = set()
+    for node, comp, n, s in zip(xn, xc, xm, xs):
+        low, high = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+        count = high - low
+        where = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        shared = np.bincount(owner[where], minlength=len(ys))
+        near = _allowed(shared, sizes, n, k, least, percent) & (comps != comp)
+        if near.any():
+            found.add(node)
+            found.update(names[near].tolist())
+    return found
+
+
+def _allowed(shared: np.ndarray, sizes: np.ndarray, n: int, k: int, least: int, percent: int) -> np.ndarray:
+    """Whether so many values shared by sketches allow a link of a set of size ``n`` to sets of these sizes."""
+    most, fewest = np.maximum(sizes, n), np.minimum(sizes, n)
+    return np.where(most <= k, shared * 100 >= (sizes + n - shared) * percent, shared >= least) & (fewest * 100 >= most * percent)
+
+
 def tile(x: tuple[list, list, list[np.ndarray]], y: tuple[list, list, list[np.ndarray]], k: int, least: int, percent: int) -> list[tuple[int, int]]:
     """Links between two blocks (nodes, components, full sets) that join different components: a forest over the components."""
     root: dict[int, int] = {}
@@ -152,10 +180,7 @@ def tile(x: tuple[list, list, list[np.ndarray]], y: tuple[list, list, list[np.nd
         count = high - low
         where = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
         shared = np.bincount(owner[where], minlength=len(ys))
-        most, fewest = np.maximum(sizes, len(s)), np.minimum(sizes, len(s))
-        small = most <= k
-        wanted = np.where(small, shared * 100 >= (sizes + len(s) - shared) * percent, shared >= least)
-        near = np.flatnonzero(wanted & (fewest * 100 >= most * percent))
+        near = np.flatnonzero(_allowed(shared, sizes, len(s), k, least, percent))
         for j in near[np.argsort(-shared[near], kind="stable")].tolist():
             a, b = find(comp), find(yc[j])
             if a != b and linked(s, ys[j], percent):
@@ -164,17 +189,19 @@ def tile(x: tuple[list, list, list[np.ndarray]], y: tuple[list, list, list[np.nd
     return edges
 
 
-def _tiles(k: int, least: int, percent: int):
-    def block(column: pa.ListArray, row: int) -> tuple[list, list, list[np.ndarray]]:
-        own = column[row].values
-        sets = own.field(2)
-        flat, at = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy()
-        return own.field(0).to_pylist(), own.field(1).to_pylist(), [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+def _block(column: pa.Array, row: int) -> list:
+    """Columns of a block: lists, the last one of arrays."""
+    own = column[row].values
+    *plain, sets = own.flatten()
+    flat, at = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy()
+    return [c.to_pylist() for c in plain] + [[flat[a:b] for a, b in zip(at[:-1], at[1:])]]
+
 
+def _tiles(k: int, least: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                made = tile(block(batch.column(0), row), block(batch.column(1), row), k, least, percent)
+                made = tile(_block(batch.column("x"), row), _block(batch.column("y"), row), k, least, percent)
                 if made:
                     a, b = zip(*made)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -182,8 +209,29 @@ def _tiles(k: int, least: int, percent: int):
     return run
 
 
+def _partners(k: int, least: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                found = sorted(partners(_block(batch.column("x"), row), _block(batch.column("y"), row), k, least, percent))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("g")[row].as_py()] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["g", "node"])
+
+    return run
+
+
+def _in_tiles(held: DataFrame, members: list[str]) -> DataFrame:
+    """Rows ``g, x, y``: the blocks of each group's tiles.  ``held``: g, node, minor, is, js and what ``members`` names; a member of
+    the largest component is in the second blocks alone, and goes to every tile that it meets, in one shuffle; tiles are told by a hash of the node."""
+    spread = lambda side, every: F.explode(F.transform(F.sequence(F.lit(0), F.col(every) - 1), lambda j: F.struct(F.pmod(F.xxhash64("node", F.lit(side)), F.col(f"{side}s")).cast("int").alias("own"), j.alias("other"))))
+    x = held.filter("minor").withColumn("k", spread("i", "js")).select("g", F.col("k.own").alias("i"), F.col("k.other").alias("j"), F.struct(*members).alias("x"), F.lit(None).alias("y"))
+    y = held.withColumn("k", spread("j", "is")).select("g", F.col("k.other").alias("i"), F.col("k.own").alias("j"), F.lit(None).alias("x"), F.struct(*members).alias("y"))
+    return x.unionByName(y).groupBy("g", "i", "j").agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y")).filter("size(x) > 0 and size(y) > 0").select("g", "x", "y")
+
+
 class _Sets:
-    """Full sets of the classes that are asked for, each made once from the text of its least row."""
+    """Full sets of the classes that are asked for, each made once from the text of its least row (``lead``: node, id, h and
+    whether several rows bear this id and text; only such texts are moved, to leave one)."""
 
     def __init__(self, base: DataFrame, lead: DataFrame, words: int, broadcast_rows: int):
         self.base, self.lead, self.words, self.broadcast_rows, self.held = base, lead, words, broadcast_rows, None
@@ -196,7 +244,9 @@ class _Sets:
         wanted = cut(wanted.join(self.lead, "node"))
         n = wanted.count()
         if n:
-            pick = self.base.join(F.broadcast(wanted) if n <= self.broadcast_rows else wanted, ["id", "h"]).dropDuplicates(["node"])
+            pick = self.base.join(F.broadcast(wanted) if n <= self.broadcast_rows else wanted, ["id", "h"])
+            if not wanted.filter("twice").isEmpty():
+                pick = pick.filter("not twice").unionByName(pick.filter("twice").dropDuplicates(["node"]))
             made = cut(append(pick, ["t"], "s", "array<bigint>", _full(self.words)).select("node", "s"))
             self.held = made if self.held is None else self.held.unionByName(made)
         return self.held
@@ -210,7 +260,9 @@ def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: in
     classes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("id", "h")).alias("lead"), F.first(F.struct("n", "low", "map")).alias("s"))
     classes = cut(classes.select("node", "lead.id", "lead.h", "s.n", "s.low", "s.map"))
     least = least_shared(k, percent, loss)
-    full = _Sets(base, classes.select("node", "id", "h"), words, broadcast_rows)
+    twice = cut(rows.filter("node is not null").groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "h", F.lit(True).alias("twice")))
+    lead = classes.select("node", "id", "h").join(F.broadcast(twice) if twice.count() <= broadcast_rows else twice, ["id", "h"], "left")
+    full = _Sets(base, lead.withColumn("twice", F.coalesce("twice", F.lit(False))), words, broadcast_rows)
 
     # inverted lists of the rarest retained values; a value that one class alone retains comes first and needs no list
     post = classes.filter("n > 1").select("node", F.explode(F.slice("low", 1, posted)).alias("v"))
@@ -219,13 +271,16 @@ def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: in
     fewest = least_shared(posted, percent, loss)
     need = F.when(F.col("n") * 100 <= posted * percent, F.ceil(F.col("n") * percent / 100)).otherwise(fewest)  # no partner of such a small set is cut off
     unique = F.least("n", F.lit(posted)) - F.size("w")
-    sized = shared.join(classes.select("node", "n", "map"), "node").select("node", "n", "map", F.slice("w", F.lit(1), F.greatest(F.lit(0), F.least("n", F.lit(posted)) - need + 1 - unique).cast("int")).alias("w"))
-    lists = cut(sized.select(F.explode("w.v").alias("v"), "node", "n", "map"))
-    room = lambda n, m, x, y: _room(F.col(n), F.col(m), F.col(x), F.col(y), posted, fewest, percent)
+    sized = shared.join(classes.select("node", "n"), "node").select("node", "n", F.slice("w", F.lit(1), F.greatest(F.lit(0), F.least("n", F.lit(posted)) - need + 1 - unique).cast("int")).alias("w"))
+    lists = cut(sized.select(F.explode("w.v").alias("v"), "node", "n"))
+    alike = lambda n, m: _alike(F.col(n), F.col(m), percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The links among distinct pairs (a, b) of classes."""
+        """The links among distinct pairs (a, b) of classes whose sizes are alike; only for these the maps move."""
         pairs = cut(pairs)
+        of = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("map").alias(f"{x}m"))
+        mapped = of("b").join(F.broadcast(pairs) if pairs.count() <= broadcast_rows else pairs, "b").join(of("a"), "a")
+        pairs = cut(mapped.filter(_room(F.col("an"), F.col("bn"), F.col("am"), F.col("bm"), posted, fewest, percent)).select("a", "b"))
         ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())  # only their sketches move
         small = ends.count() <= broadcast_rows
         held = classes.select("node", "n", "low").join(F.broadcast(ends) if small else ends, "node", "left_semi")
@@ -242,44 +297,46 @@ def _groups(docs: DataFrame, id: str, text: str, percent: int, words: int, k: in
         return cut(both.filter(same * 100 >= (F.size("x") + F.size("y") - same) * percent).select("a", "b"))
 
     # a long list goes by its hub, its least member: groups of copies share many lists, but meet once
-    hubs = lists.groupBy("v").agg(F.min(F.struct("node", "n", "map")).alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1")
-    hubs = cut(hubs.select("v", F.when(F.col("held") > short, F.col("hub.node")).otherwise(F.col("v")).alias("g"), F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.map").alias("hub_map")))
-    groups = cut(lists.join(hubs, "v").select("g", "hub", "hub_n", "hub_map", "node", "n", "map").distinct())
+    hubs = lists.groupBy("v").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    hubs = cut(hubs.select("v", F.when(F.col("held") > short, F.col("hub.node")).otherwise(F.col("v")).alias("g"), F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
+    groups = cut(lists.join(hubs, "v").select("g", "hub", "hub_n", "node", "n").distinct())
     links, now = None, groups.withColumn("star", F.col("hub"))
     for turn in range(stars):
-        met = now.filter("node <> star").filter(room("n", "hub_n", "map", "hub_map")).select(F.col("star").alias("a"), F.col("node").alias("b"))
+        met = now.filter("node <> star").filter(alike("n", "hub_n")).select(F.col("star").alias("a"), F.col("node").alias("b"))
         more = confirmed(met.distinct())
         links = more if links is None else links.unionByName(more)
         if turn + 1 < stars:  # members that their star did not link meet one of their own
-            apart = cut(now.filter("node <> star").join(more.select(F.col("a").alias("star"), F.col("b").alias("node")), ["star", "node"], "left_anti").select("g", "node", "n", "map"))
-            star = apart.groupBy("g").agg(F.min(F.struct("node", "n", "map")).alias("s")).select("g", F.col("s.node").alias("star"), F.col("s.n").alias("hub_n"), F.col("s.map").alias("hub_map"))
+            apart = cut(now.filter("node <> star").join(more.select(F.col("a").alias("star"), F.col("b").alias("node")), ["star", "node"], "left_anti").select("g", "node", "n"))
+            star = apart.groupBy("g").agg(F.min(F.struct("node", "n")).alias("s")).select("g", F.col("s.node").alias("star"), F.col("s.n").alias("hub_n"))
             now = apart.join(cut(star), "g")
     labels = components(links)
 
     # groups that still hold several components
-    parted = groups.join(labels, "node", "left").select("g", "hub", "node", "n", "map", F.coalesce("component", "node").alias("comp"))
-    parts = parted.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("p"), F.sum("n").alias("sum"))
-    whole = parts.groupBy("g").agg(F.max_by("comp", F.struct("p", "comp")).alias("main"), F.max_by("sum", F.struct("p", "comp")).alias("main_sum"), F.sum("p").alias("held"), F.sum("sum").alias("sum"), F.count(F.lit(1)).alias("comps")).filter("comps > 1 and held > 2")  # a hub and one member have met
-    whole = cut(whole.select("g", "main", "held", F.ceil(F.col("sum") / block).cast("int").alias("js"), F.ceil((F.col("sum") - F.col("main_sum")) / block).cast("int").alias("is")))
-    left = cut(parted.join(whole, "g").select("g", "hub", "node", "n", "map", "comp", (F.col("comp") != F.col("main")).alias("minor"), "held", "is", "js"))
+    parted = groups.join(labels, "node", "left").select("g", "hub", "node", "n", F.coalesce("component", "node").alias("comp"))
+    parts = parted.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("p"))
+    whole = parts.groupBy("g").agg(F.max_by("comp", F.struct("p", "comp")).alias("main"), F.max("p").alias("main_held"), F.sum("p").alias("held"), F.count(F.lit(1)).alias("comps")).filter("comps > 1 and held > 2")  # a hub and one member have met
+    left = cut(parted.join(cut(whole.select("g", "main", "held", "main_held")), "g").select("g", "hub", "node", "n", "comp", (F.col("comp") != F.col("main")).alias("minor"), "held", "main_held"))
 
     few = left.filter(F.col("held") <= short)
-    one, two = few.filter("minor").select("g", "hub", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("map").alias("xm"), F.col("comp").alias("xc")), few.select("g", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("map").alias("ym"), F.col("comp").alias("yc"))
-    met = one.join(two, "g").filter("xc <> yc and x <> hub and y <> hub").filter(room("xn", "yn", "xm", "ym")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    one, two = few.filter("minor").select("g", "hub", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc")), few.select("g", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
+    met = one.join(two, "g").filter("xc <> yc and x <> hub and y <> hub").filter(alike("xn", "yn")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = confirmed(met)
 
     many = left.filter(F.col("held") > short)
     if not many.isEmpty():
+        # sketches first: most members of the list of a common value have no partner, and their sets stay where they are
+        each = F.lit(max(1, block // (4 * k)))  # sketches to a block
+        blocked = many.withColumns({"js": F.ceil(F.col("held") / each).cast("int"), "is": F.ceil((F.col("held") - F.col("main_held")) / each).cast("int")})
+        low = classes.select("node", "low").join(F.broadcast(blocked) if many.count() <= broadcast_rows else blocked, "node")
+        near = cut(_in_tiles(low, ["node", "comp", "n", "low"]).mapInArrow(_partners(k, least, percent), "g bigint, node bigint").distinct())
+        many = cut(many.drop("held", "main_held").join(F.broadcast(near) if near.count() <= broadcast_rows else near, ["g", "node"], "left_semi"))
         sets = full.of(many.select("node"))
-
-        # a member goes with its set to every tile that it meets, in one shuffle; tiles are told by a hash of the node
-        spread = lambda side, every: F.explode(F.transform(F.sequence(F.lit(0), F.col(every) - 1), lambda j: F.struct(F.pmod(F.xxhash64("node", F.lit(side)), F.col(f"{side}s")).cast("int").alias("own"), j.alias("other"))))
-        few_rows = many.count() <= broadcast_rows
-        held = sets.join(F.broadcast(many) if few_rows else many, "node").select("g", "node", "comp", "s", "minor", "is", "js")
-        x = held.filter("minor").withColumn("k", spread("i", "js")).select("g", F.col("k.own").alias("i"), F.col("k.other").alias("j"), F.struct("node", "comp", "s").alias("x"), F.lit(None).alias("y"))
-        y = held.withColumn("k", spread("j", "is")).select("g", F.col("k.other").alias("i"), F.col("k.own").alias("j"), F.lit(None).alias("x"), F.struct("node", "comp", "s").alias("y"))
-        tiles = x.unionByName(y).groupBy("g", "i", "j").agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y")).filter("size(x) > 0 and size(y) > 0").select("x", "y")
-        more = cut(more.unionByName(tiles.mapInArrow(_tiles(k, least, percent), "a bigint, b bigint")))
+        if sets is not None:
+            sums = many.groupBy("g").agg(F.ceil(F.sum("n") / block).cast("int").alias("js"), F.ceil(F.sum(F.when(F.col("minor"), F.col("n"))) / block).cast("int").alias("is"))
+            blocked = cut(many.join(sums, "g"))
+            held = sets.join(F.broadcast(blocked) if blocked.count() <= broadcast_rows else blocked, "node")
+            tiles = _in_tiles(held, ["node", "comp", "s"])
+            more = cut(more.unionByName(tiles.mapInArrow(_tiles(k, least, percent), "a bigint, b bigint")))
     if not more.isEmpty():  # the components are the nodes of what is left to join
         of_a, of_b = (labels.select(F.col("node").alias(x), F.col("component").alias(f"{x}c")) for x in "ab")
         rest = more.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))

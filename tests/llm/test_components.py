@@ -103,3 +103,17 @@ def test_pairs_at_the_threshold_meet_and_are_counted(dim):
         cuts = np.random.default_rng(9).standard_normal((dim, bits * tables))
         met = (embeddings.cells(x, cuts, bits) == embeddings.cells(y, cuts, bits)).any(1)
         assert (met & counted).mean() >= 0.999
+
+
+def test_only_members_with_a_partner_bring_their_sets(spark, monkeypatch):
+    """Long lists of common values whose members are unlike: their full sets are never made; a repeated row brings one."""
+    rng, asked, of = np.random.default_rng(11), [], minhash._Sets.of
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(12)], 30)) for _ in range(200)]
+    rows = [*enumerate(texts), (300, texts[7] + " end"), (300, texts[7] + " end"), (301, texts[9] + " w1 end"), (302, texts[9])]
+    monkeypatch.setattr(minhash._Sets, "of", lambda self, wanted: (asked.extend(r.node for r in wanted.distinct().collect()), of(self, wanted))[1])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for options in ({}, {"broadcast_rows": 0}):
+        asked.clear()
+        got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, **options).collect())
+        assert got == sorted((i, {300: 7, 301: 9, 302: 9}.get(i, i)) for i, _ in rows)
+        assert 4 <= len(set(asked)) < 20
