@@ -107,9 +107,20 @@ class ChunkEncoder:
 
     The tokenizer's own rules never join text across white space, so the ids of a text are those of its
     stretches in order.  A comma or full stop that ends a stretch after an ASCII letter or digit is a
-    stretch of its own, as the rules part them there too.  Stretches are told by 64-bit hashes.
+    stretch of its own, as the rules part them there too.  Stretches are told by 64-bit hashes, which stand
+    in an open table of arrays.
     """
 
+    _held: dict[tuple, ChunkEncoder] = {}
+
+    @classmethod
+    def of(cls, path: str, job: str) -> ChunkEncoder:
+        """The encoder of this process for one job: what a task has learned serves the next ones of its worker, but no other job."""
+        if (path, job) not in cls._held:
+            cls._held.clear()  # one at a time
+            cls._held[path, job] = cls(path)
+        return cls._held[path, job]
+
     def __init__(self, path: str, most: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
@@ -134,7 +145,7 @@ class ChunkEncoder:
             self.words = None
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.keys, self.place, self.known = np.zeros(1 << 18, np.uint64), np.zeros(1 << 18, np.int32), 0  # 0 is never a hash
         self.ids, self.used = np.zeros(1 << 20, np.uint16 if self.small else np.uint32), 0
         self.start, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
 
@@ -142,29 +153,59 @@ class ChunkEncoder:
     def small(self) -> bool:
         return self.tokenizer.get_vocab_size() <= 1 << 16
 
-    def _learn(self, hs: list[int], texts: list[str]) -> None:
+    def _find(self, hs: np.ndarray) -> np.ndarray:
+        """The number of each stretch, -1 if it is not known."""
+        found, todo, mask = np.full(len(hs), -1, np.int32), np.arange(len(hs)), np.uint64(len(self.keys) - 1)
+        at = (hs & mask).astype(np.int64)
+        while len(todo):
+            own = self.keys[at]
+            hit = own == hs[todo]
+            found[todo[hit]] = self.place[at[hit]]
+            on = ~hit & (own != 0)
+            todo, at = todo[on], (at[on] + 1) & int(mask)
+        return found
+
+    def _put(self, hs: np.ndarray, places: np.ndarray) -> None:
+        """Distinct new hashes go to the first free places from their own on; the table is at most half full."""
+        if 2 * (self.known + len(hs)) > len(self.keys):
+            used = np.flatnonzero(self.keys)
+            hs, places = np.concatenate([self.keys[used], hs]), np.concatenate([self.place[used], places.astype(np.int32)])
+            size = 1 << (4 * len(hs) - 1).bit_length()
+            self.keys, self.place, self.known = np.zeros(size, np.uint64), np.zeros(size, np.int32), 0
+        self.known += len(hs)
+        at = (hs & np.uint64(len(self.keys) - 1)).astype(np.int64)
+        while len(hs):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hs[free]
+            mine = self.keys[at] == hs
+            self.place[at[mine]] = places[mine]
+            hs, places, at = hs[~mine], places[~mine], (at[~mine] + 1) & (len(self.keys) - 1)
+
+    def _learn(self, hs: np.ndarray, texts: list[str]) -> None:
+        left = np.ones(len(texts), bool)
         plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t)] if self.words else []
         for at in range(0, len(plain), 256):
-            own = plain[at : at + 256]
+            own = np.array(plain[at : at + 256])
             got = np.array(self.words.encode_batch_fast([" ".join(texts[i].lower() for i in own)], add_special_tokens=False)[0].ids)
             ends = np.flatnonzero(self.word_end[got]) + 1
             if len(ends) == len(own) and ends[-1] == len(got):
-                self._keep([hs[i] for i in own], got, np.diff(ends, prepend=0))
-        rest = [i for i in range(len(texts)) if hs[i] not in self.index]
+                self._keep(hs[own], got, np.diff(ends, prepend=0))
+                left[own] = False
+        rest = np.flatnonzero(left)
         for at in range(0, len(rest), 4096):
             own = rest[at : at + 4096]
             lists = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in own], add_special_tokens=False)]
-            self._keep([hs[i] for i in own], np.array([x for ids in lists for x in ids], dtype=np.int64), np.array([len(ids) for ids in lists]))
+            self._keep(hs[own], np.array([x for ids in lists for x in ids], dtype=np.int64), np.array([len(ids) for ids in lists]))
 
-    def _keep(self, hs: list[int], flat: np.ndarray, counts: np.ndarray) -> None:
-        k, n = len(self.index), len(hs)
+    def _keep(self, hs: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
+        k, n = self.known, len(hs)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while k + n > len(self.start):
             self.start, self.count = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.count, np.zeros_like(self.count)])
         self.ids[self.used : self.used + len(flat)] = flat
         self.start[k : k + n], self.count[k : k + n] = self.used + np.cumsum(counts) - counts, counts
-        self.index.update(zip(hs, range(k, k + n)))
+        self._put(hs, np.arange(k, k + n))
         self.used += len(flat)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,18 +219,17 @@ class ChunkEncoder:
             bodies[part] -= 1
             s, e = np.concatenate([s, e[part] - 1])[order], np.concatenate([bodies, e[part]])[order]
             at = np.searchsorted(s, offsets)
-        h, first, inverse = np.unique(hashes(data, s, e, _SAME), return_index=True, return_inverse=True)
-        if len(self.index) > self.most:
+        h = hashes(data, s, e, _SAME)
+        if self.known > self.most:
             self._clear()
-        keys = h.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.index]
-        if new:
+        known = self._find(h)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            distinct, first = np.unique(h[new], return_index=True)
             raw = data.tobytes()
-            self._learn([keys[i] for i in new], [raw[s[j] : e[j]].decode() for j in first[new]])
-        index = self.index
-        known = np.fromiter((index[k] for k in keys), np.int64, len(keys))
-        count = self.count[known][inverse].astype(np.int64)
-        begin = self.start[known][inverse]
+            self._learn(distinct, [raw[s[j] : e[j]].decode() for j in new[first].tolist()])
+            known[new] = self._find(h[new])
+        count, begin = self.count[known].astype(np.int64), self.start[known]
         running = np.concatenate([[0], np.cumsum(count)])
         per_doc = running[at[1:]] - running[at[:-1]] + 1
         total = int(running[-1])
@@ -216,7 +256,7 @@ def write_shards(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: s
             if not batch.num_rows:
                 continue
             if out is None:
-                encoder = ChunkEncoder(tokenizer)
+                encoder = ChunkEncoder.of(tokenizer, folder)
                 fs, root = pafs.FileSystem.from_uri(folder)
                 fs.create_dir(root, recursive=True)
                 path = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex}.ids"
