@@ -85,15 +85,26 @@ def write_marker_tables(markers: DataFrame, root: str, *, append: bool = False)
 
 def scan_marker_tables(spark: SparkSession, root: str) -> DataFrame:
     """``scan_marker_table`` with ``extras``: a map of the columns that a file has beside the fixed ones, empty values left out.  Headers may differ from file to file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "markers.csv").load(f"{root.rstrip('/')}/*").select("path", "content")
+    fs, base = pafs.FileSystem.from_uri(root.rstrip("/"))
+    folders = [(f.base_name,) for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if f.type == pafs.FileType.Directory]  # one listing; tasks open the files
+    files = spark.createDataFrame(folders, "session_id string").repartition(max(1, len(folders) // 256))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(root.rstrip("/"))
         for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                rows = list(csv.DictReader(io.StringIO(bytes(content).decode("utf-8-sig"), newline="")))
-                fixed = {c: [r.get(c) or None for r in rows] for c in COLUMNS}
-                extras = [json.dumps({k: v for k, v in r.items() if k and k not in COLUMNS and v}) for r in rows]
-                yield pd.DataFrame({"session_id": path.rsplit("/", 2)[1], **fixed, "extras": extras}, columns=["session_id", *COLUMNS, "extras"])
+            made = []
+            for session in frame["session_id"]:
+                try:
+                    with fs.open_input_stream(f"{base}/{session}/markers.csv") as f:
+                        content = f.read().decode("utf-8-sig")
+                except FileNotFoundError:
+                    continue
+                for r in csv.DictReader(io.StringIO(content, newline="")):
+                    made.append((session, *(r.get(c) or None for c in COLUMNS), json.dumps({k: v for k, v in r.items() if k and k not in COLUMNS and v})))
+                if len(made) >= 10_000:
+                    yield pd.DataFrame(made, columns=["session_id", *COLUMNS, "extras"])
+                    made = []
+            yield pd.DataFrame(made, columns=["session_id", *COLUMNS, "extras"])
 
     text = files.mapInPandas(run, "session_id string, " + ", ".join(f"{c} string" for c in COLUMNS) + ", extras string")
     kinds = {"id": "bigint", "duration_s": "double", "start_ts": "double", "end_ts": "double"}
