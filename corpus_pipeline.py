@@ -17,7 +17,7 @@ from sigloom.llm.queries import held_out_of
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (null and empty texts too), or whose language cannot be told, go.  Learns from the labelled rows of its input."""
+    """Documents without a letter (null and empty texts too), or that are like no learned language (scrambled letters, other scripts, keys), go.  Learns from the labelled rows of its input."""
     model = language.fit(language.sample(docs.filter(~held_out_of(4, 2))))
     return language.keep_identified(docs, model)
 

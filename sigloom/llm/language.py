@@ -1,7 +1,7 @@
 """Language identification with a byte convolutional network, trained here in numpy.
 
 Bytes are embedded, filters of several widths slide over fixed-length windows, each filter keeps its
-maximum over the window, and a softmax gives the languages.  A document is cut into windows that
+maximum over the window, and a softmax gives the languages and, learned from scrambled texts, none of them.  A document is cut into windows that
 cover all of it; its probabilities are the mean over its windows.
 
 Fitting uses a bounded sample of labelled rows of every language (``rows`` documents dealt over the languages,
@@ -33,7 +33,7 @@ def has_letter(text: str) -> bool:
 
 @dataclass
 class LanguageModel:
-    """Weights: byte embedding (row 256 pads), all filters in one matrix (narrow ones end in zero rows), output layer."""
+    """Weights: byte embedding (row 256 pads), all filters in one matrix (narrow ones end in zero rows), output layer (its last column is no language)."""
 
     languages: list[str]
     embedding: np.ndarray = field(repr=False)
@@ -82,33 +82,65 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, size: int = WINDOW) -> tup
     return got, row
 
 
-def fit(samples: list[tuple[str, str]], *, epochs: int = 4, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> LanguageModel | None:
-    """Train on (text, language) pairs by Adam; None without any pair."""
+def unlike(texts: list[str], rng: np.random.Generator) -> list[str]:
+    """Stretches in no language, one for every two texts: a text's letters dealt anew over its places, drawn evenly from
+    those it holds, or from a block of code points of which no text holds any."""
+    seen = {ord(c) >> 7 for t in texts for c in t}
+    blocks = {b: own for b in range(1, 512) if b not in seen and (own := [c for c in map(chr, range(b << 7, (b + 1) << 7)) if c.isalpha()])}
+    near = np.array([1 / b for b in blocks])  # low blocks are the alphabets, high ones mostly ideographs
+    out = []
+    for k, t in enumerate(texts[::2]):
+        letters = [c for c in t if c.isalpha()]
+        if k % 3 == 0:
+            drawn = rng.permutation(letters)
+        elif k % 3 == 1:
+            drawn = rng.choice(sorted(set(letters)), len(letters))
+        else:
+            drawn = rng.choice(blocks[int(rng.choice(list(blocks), p=near / near.sum()))], len(letters))
+        fresh = iter(drawn)
+        out.append("".join(str(next(fresh)) if c.isalpha() else c for c in t))
+    return out
+
+
+def fit(samples: list[tuple[str, str]], *, epochs: int = 4, batch: int = 64, least_batches: int = 200, rate: float = 4e-3, weight: float = 0.5, seed: int = 7) -> LanguageModel | None:
+    """Train on (text, language) pairs by Adam; None without any pair.
+
+    What is ``unlike`` the texts is learned beside them as no language, each stretch at ``weight`` of a real one.  Some real
+    windows get a run of it and keep their language, as texts do that hold keys, addresses or numbers.
+    """
     if not samples:
         return None
     languages = sorted({y for _, y in samples})
     rng = np.random.default_rng(seed)
+    samples = [*samples, *((t, None) for t in unlike([t for t, _ in samples], rng))]
     parts = [windows_of(d, o) for _, _, d, o in slices(pa.array([t for t, _ in samples], pa.string()))]
     x = np.concatenate([p[0] for p in parts])
     row = np.concatenate([p[1] + sum(q[1][-1] + 1 for q in parts[:i]) for i, p in enumerate(parts)])
-    y = np.array([languages.index(v) for _, v in samples])[row]
+    y = np.array([languages.index(v) if v is not None else len(languages) for _, v in samples])[row]
     wide, f = max(WIDTHS), FILTERS * len(WIDTHS)
     mask = np.concatenate([np.repeat((np.arange(wide) < w).astype(np.float32), DIM)[:, None] * np.ones((1, FILTERS), np.float32) for w in WIDTHS], axis=1)
     normal = lambda *s: rng.standard_normal(s).astype(np.float32)
-    m = LanguageModel(languages, normal(257, DIM) * 0.5, normal(wide * DIM, f) * 0.2 * mask, np.zeros(f, np.float32), normal(f, len(languages)) * 0.2, np.zeros(len(languages), np.float32))
+    m = LanguageModel(languages, normal(257, DIM) * 0.5, normal(wide * DIM, f) * 0.2 * mask, np.zeros(f, np.float32), normal(f, len(languages) + 1) * 0.2, np.zeros(len(languages) + 1, np.float32))
     m.embedding[256] = 0
+    none = y == len(languages)
     names = ["embedding", "filters", "bias", "out", "out_bias"]
     first, second, step = {n: 0.0 for n in names}, {n: 0.0 for n in names}, 0
-    for _ in range(epochs):
-        for own in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
+    batches, noise = max(1, len(x) // batch), np.flatnonzero(none)
+    for _ in range(max(epochs, -(-least_batches // batches))):
+        for own in np.array_split(rng.permutation(len(x)), batches):
             w = x[own].copy()
             short = rng.random(len(own)) < 0.3  # short texts are met as well
             for i in np.flatnonzero(short):
-                w[i, rng.integers(12, WINDOW) :] = 256
+                w[i, rng.integers(48, WINDOW) if none[own[i]] else int(WINDOW ** rng.uniform(0.3, 1)) :] = 256
+            for i in np.flatnonzero((rng.random(len(own)) < 0.2) & ~none[own]):
+                n = rng.integers(8, WINDOW // 3)
+                a = rng.integers(0, WINDOW - n)
+                w[i, a : a + n] = np.where(w[i, a : a + n] == 256, 256, x[rng.choice(noise), :n])
             columns, best, top = m.pooled(w)
             p = softmax(top @ m.out + m.out_bias)
             p[np.arange(len(own)), y[own]] -= 1
             p /= len(own)
+            p[none[own]] *= weight
             g = {"out": top.T @ p, "out_bias": p.sum(0)}
             d = (p @ m.out.T) * (top > 0)
             places = (best + np.arange(len(own))[:, None] * (WINDOW - wide + 1)).ravel()
@@ -175,12 +207,13 @@ def _predict(kept):
             for first, last, data, offsets in slices(plain, 256 << 10):
                 n = last - first
                 lettered = np.array([has_letter(t) for t in plain.slice(first, n).to_pylist()])
-                total = np.zeros((n, len(model.languages) if model else 1))
+                total = np.zeros((n, len(model.languages) + 1 if model else 2))
                 if model:
                     windows, row = windows_of(data, offsets)
                     for at in range(0, len(windows), 256):
                         np.add.at(total, row[at : at + 256], model.values(windows[at : at + 256]))
                     total /= np.bincount(row, minlength=n)[:, None]
+                total = total[:, :-1]  # the last one is no language
                 best = total.argmax(1)
                 names += [model.languages[b] if model and ok else "und" for b, ok in zip(best, lettered)]
                 scores.append(np.where(lettered, np.clip(total.max(1), 0, 1), 0.0))
@@ -203,6 +236,6 @@ def predict(docs: DataFrame, model: LanguageModel | None, *, text: str = "text",
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None, *, text: str = "text", least: float = 1.04) -> DataFrame:
     """The documents whose language is told with a score of at least ``least`` times that of a guess among the learned
-    languages; texts without a letter go.  With one language learned all others stay."""
+    languages (with one learned, between it and none); texts without a letter go."""
     name = free_name(docs, "language")
-    return predict(docs, model, text=text, name=name).filter((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.score") >= (least / len(model.languages) if model and len(model.languages) > 1 else 0.0))).drop(name)
+    return predict(docs, model, text=text, name=name).filter((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.score") >= (least / max(len(model.languages), 2) if model else 0.0))).drop(name)

@@ -274,6 +274,22 @@ def test_language_learns_every_script_and_rare_labels(spark):
     assert len(language.sample(alike, cuts=1)) == 1500 and language.sample(made.limit(0)) == []
 
 
+def test_texts_in_no_learned_language_go_and_others_stay(spark, sf):
+    """The bound on the score must tell: texts like no learned language fall below it, those of the tables do not."""
+    docs = table(spark, sf.replace("sf0.001", "sf0.01"), "documents").select("doc_id", "text", "lang")
+    model = language.fit(language.sample(docs.filter(~queries.held_out_of(4, 2))))
+    rng = np.random.default_rng(12)
+    write = lambda letters, n: " ".join("".join(rng.choice(list(letters), rng.integers(2, 10))) for _ in range(n))
+    kinds = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуыя", "greek": "αβγδεζηθικλμνξοπρστ", "chinese": "的一是不了在人有我他这个们中来上"}
+    strange = spark.createDataFrame([(k, write(letters, 60), kind) for kind, letters in kinds.items() for k in range(100)], docs.schema)
+    left = {r.lang: r["count"] for r in language.keep_identified(strange, model).groupBy("lang").count().collect()}
+    assert max(left.values(), default=0) <= 10  # of 100
+    lettered = docs.filter(F.col("text").rlike(r"\p{L}"))
+    assert language.keep_identified(lettered, model).count() >= 0.995 * lettered.count()
+    one = language.fit(language.sample(docs.filter("lang = 'en'")))  # with one language learned, between it and none
+    assert language.keep_identified(strange, one).count() <= 40 and language.keep_identified(docs.filter("lang = 'en'"), one).count() >= 0.99 * docs.filter("lang = 'en'").count()
+
+
 def test_toxicity_held_out_accuracy_and_edges(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     got = queries.op7_toxicity(spark, sf).join(table(spark, sf, "labels"), "doc_id").filter("held_out and toxic is not null").select("toxic", "predicted", "score").collect()
